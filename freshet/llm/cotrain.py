@@ -27,6 +27,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SHAPES, ENDINGS = 18, 128
 LENGTHS, LANGS, SOURCES = 24, 16, 128
@@ -219,9 +220,7 @@ def with_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0.
             p = model.scores(c, dense_metadata(m))
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p[:, k]) for k in range(3)]], names=[*b.schema.names, *names])
 
-    schema = docs.schema
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in names]])
     return docs.mapInArrow(score, schema).withColumn("accepted", F.col("score") >= threshold)
 
 
