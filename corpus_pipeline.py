@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")))
     space = r"\x20\x09-\x0D"
     pattern = F.concat(F.lit(rf"^(?:[{space}]*+[^{space}]++){{0,"), F.col("taken").cast("string"), F.lit("}+"))
-    text = F.when(F.col("taken") < F.col("whole"), F.regexp_extract("text", pattern, 0)).otherwise(F.col("text"))
+    text = F.when(F.col("taken") < F.col("whole"), F.regexp_substr("text", pattern)).otherwise(F.col("text"))
     cut = F.when(F.col("taken") < F.col("whole"), F.char_length("new").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("new", text).select("doc_id", F.col("new").alias("text"), "lang", "source", cut.alias("n_chars"))
 
