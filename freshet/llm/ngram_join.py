@@ -9,15 +9,17 @@ and the component that links put it in. It is exact:
    puts shingles that are frequent in a sample last, so cells are small; the
    sample only shapes the order. Exact copies are one node from here on.
 2. *Stars.* In each cell the member that holds most frequent shingles is the
-   hub. Distinct (member, hub) pairs, as many as rows, are verified exactly and
-   joined into components. Cells whose members are by now one component are done.
+   hub. Distinct (member, hub) pairs, as many as rows, that the bitmap bound below
+   leaves are verified exactly and joined into components. Cells whose members are
+   by now one component are done, and of cells with equal members the first counts.
 3. *Signature trees.* In each remaining cell the members are leaves of a tree
    whose nodes hold the OR of token bitmaps, the range of set sizes and of
    components. A dual traversal from (root, root) drops a pair of nodes when its
    size ranges cannot reach the threshold, when all below is one component, or
    when the most that its members can share, ``popcount(A & B)`` plus the tokens
-   that collided within a bitmap, is too little. Cells over ``_CELL`` members are
-   cut into blocks, and each pair of blocks is a traversal of its own.
+   that collided within a bitmap, is too little. A bitmap has four bits or more a
+   token, so members form units by bitmap width, and of ``_CELL`` members at most;
+   each pair of units of like width is a traversal of its own, the wider folded.
 4. Surviving pairs are verified exactly, and their links complete the components.
 
 Defined results: a null text, or one without words, has an empty set, links with
@@ -41,8 +43,8 @@ from .shingles import lists_column, shingle_set
 
 _CELL = 1024
 _FAN = 4
-_BITS = 1024
-_SLICE = 1 << 16
+_NARROW, _WIDE = 8, 15  # powers of two: bits of the smallest and largest bitmap
+_SLICE = 1 << 22  # words of bitmap met at once
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -68,16 +70,16 @@ def frequent_shingles(docs: DataFrame, n: int, every: int, least: int, most: int
 
 
 def prefix_rows(docs: DataFrame, frequent: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node, central, rare, prefix of every row; the prefix only where a task first meets a set."""
+    """doc_id, n, node, central, rare, prefix, bits of every row; the last two only where a task first meets a set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = "doc_id long, n long, node long, central int, rare int, prefix array<long>"
+    schema = "doc_id long, n long, node long, central int, rare int, prefix array<long>, bits binary"
 
     def make(batches):
         import pyarrow as pa
 
         last, met = shared.value, set()
         for b in batches:
-            sizes, nodes, central, rare, prefixes = [], [], [], [], []
+            sizes, nodes, central, rare, prefixes, bits = [], [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), n)
                 at = np.minimum(np.searchsorted(last, s), max(len(last) - 1, 0))
@@ -90,35 +92,43 @@ def prefix_rows(docs: DataFrame, frequent: np.ndarray, n: int, num: int, den: in
                 central.append(len(s) - len(rest))
                 rare.append(min(len(rest), keep))
                 prefixes.append(s[:0] if node in met else np.concatenate([rest, s[often]])[:keep])
+                bits.append(None if node in met else bitmap(s).tobytes())
                 met.add(node)
                 if len(met) > 2_000_000:
                     met.clear()
             cols = [b.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64))]
-            cols += [pa.array(central, pa.int32()), pa.array(rare, pa.int32()), lists_column(prefixes)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "central", "rare", "prefix"])
+            cols += [pa.array(central, pa.int32()), pa.array(rare, pa.int32()), lists_column(prefixes), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "central", "rare", "prefix", "bits"])
 
     return docs.mapInArrow(make, schema)
 
 
-def shared_cells(docs: DataFrame, salts: int) -> DataFrame:
-    """hash, node, n, hub, hub_n of members of cells with two nodes or more. Cells of frequent shingles are salted."""
-    salt = F.when(F.col("pos") >= F.col("rare"), F.pmod("node", F.lit(salts))).otherwise(0).cast("int")
+def shared_cells(docs: DataFrame, salts: int, num: int, den: int) -> DataFrame:
+    """hash, often, node, n, early, hub, hub_n of members of cells with two nodes or more.
+
+    Cells of frequent shingles are salted. ``early``: the place in the prefix is
+    one in which the smaller set of a link has its first common shingle.
+    """
+    often = F.col("pos") >= F.col("rare")
+    salt = F.when(often, F.pmod("node", F.lit(salts))).otherwise(0).cast("int")
+    early = (num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
     rows = docs.select("node", "n", "central", "rare", F.posexplode("prefix").alias("pos", "hash"))
-    rows = rows.select("hash", salt.alias("salt"), "node", "n", "central", (F.col("pos") >= F.col("rare")).alias("often"))
+    rows = rows.select("hash", salt.alias("salt"), "node", "n", "central", often.alias("often"), early.alias("early"))
     rows = rows.repartition("hash", "salt")  # one exchange, used twice
     best = F.max(F.struct("central", "n", "node")).alias("best")
-    ends = [F.min("node").alias("low"), F.max("node").alias("high")]
-    cells = rows.groupBy("hash", "salt").agg(best, *ends, F.max("often").alias("often")).where("often or low <> high")
-    cells = cells.groupBy("hash").agg(F.max("best").alias("best"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("often").alias("often"))
-    cells = cells.where("low <> high")
+    tops = [F.max("often").alias("often"), F.max("early").alias("early")]
+    cells = rows.groupBy("hash", "salt").agg(best, F.min("node").alias("low"), F.max("node").alias("high"), *tops)
+    cells = cells.where("often or low <> high")
+    cells = cells.groupBy("hash").agg(F.max("best").alias("best"), F.min("low").alias("low"), F.max("high").alias("high"), *tops)
+    cells = cells.where("low <> high and early")
     spread = F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     cells = cells.select("hash", spread.alias("salt"), F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n"))
-    found = rows.join(cells.hint("shuffle_hash"), ["hash", "salt"])
-    return found.select("hash", "node", "n", "hub", "hub_n").distinct()
+    found = rows.drop("central").join(cells.hint("shuffle_hash"), ["hash", "salt"])
+    return found.drop("salt").distinct()
 
 
 def node_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """node, n, set, bits of the given classes (node, rep), from the text of one document of each."""
+    """node, set of the given classes (node, rep), from the text of one document of each."""
     texts = docs.join(classes.select("node", "rep"), docs["doc_id"].eqNullSafe(F.col("rep")))
     texts = texts.select("node", "text")
 
@@ -132,19 +142,46 @@ def node_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
                 if np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) == node:  # ids may repeat
                     nodes.append(node)
                     sets.append(s)
-            bits = [bitmap(s).tobytes() for s in sets]
-            cols = [pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists_column(sets), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "set", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists_column(sets)], names=["node", "set"])
 
-    return texts.mapInArrow(make, "node long, n long, set array<long>, bits binary")
+    return texts.mapInArrow(make, "node long, set array<long>")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    out = np.zeros(_BITS, np.uint8)
-    out[(s >> np.uint64(64 - _BITS.bit_length() + 1)).astype(np.int64)] = 1
+    """Tokens by their low bits, four bits or more a token up to the widest; halves fold onto each other."""
+    bits = 1 << min(max((4 * len(s) - 1).bit_length(), _NARROW), _WIDE)
+    out = np.zeros(bits, np.uint8)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view("<u8")
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] | bits[half:]
+    return bits
+
+
+def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps allow to link. bits: node, n, bits."""
+    both = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    both = both.join(bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ok = []
+            for n_a, n_b, x, y in zip(*(b.column(k).to_pylist() for k in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                words = min(len(x), len(y)) // 8
+                x, y = (folded(np.frombuffer(v, "<u8"), words) for v in (x, y))
+                ex = min(n - int(np.bitwise_count(v).sum()) for n, v in ((n_a, x), (n_b, y)))
+                ok.append((num + den) * (int(np.bitwise_count(x & y).sum()) + ex) >= num * (n_a + n_b))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(meet, "a long, b long")
+
+
 class Forest:
     """Signature trees over the members of many cells at once.
 
@@ -178,8 +215,9 @@ class Forest:
         sizes = (den * x["hi"][a] >= num * x["lo"][b]) & (den * x["hi"][b] >= num * x["lo"][a])
         mixed = (np.minimum(x["c0"][a], x["c0"][b]) != np.maximum(x["c1"][a], x["c1"][b]))
         left = np.flatnonzero(sizes & mixed)
-        for i in range(0, len(left), _SLICE):
-            part = left[i : i + _SLICE]
+        step = max(1, _SLICE // max(1, x["or"].shape[1]))
+        for i in range(0, len(left), step):
+            part = left[i : i + step]
             common = np.bitwise_count(x["or"][a[part]] & x["or"][b[part]]).sum(1, dtype=np.int64)
             most = common + np.minimum(x["ex"][a[part]], x["ex"][b[part]])
             out[part] = (num + den) * most >= num * lo[part]
@@ -202,9 +240,10 @@ class Forest:
 
 
 def tree_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes that the trees of (hash, i, j) leave. Rows: hash, i, j, side, node, comp, n, bits.
+    """Pairs of nodes that the trees of (hash, i, j) leave. Rows: width, hash, i, j, side, node, comp, n, bits.
 
     ``i = j``: one tree met with itself; else side 0 is met with side 1.
+    ``width`` is the power of two of the bits to compare in.
     """
 
     def run(table):
@@ -212,7 +251,8 @@ def tree_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         cell = np.stack([table[c].to_numpy() for c in ("hash", "i", "j")], 1)
         side, node, comp, n = (table[c].to_numpy() for c in ("side", "node", "comp", "n"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(len(node), -1)
+        words = (1 << int(table["width"][0].as_py())) // 64
+        bits = np.stack([folded(np.frombuffer(x, "<u8"), words) for x in table["bits"].to_pylist()])
         new_cell = np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)])
         new_tree = new_cell | np.concatenate([[True], side[1:] != side[:-1]])
         forest = Forest(np.cumsum(new_tree) - 1, n, comp, bits)
@@ -225,28 +265,50 @@ def tree_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         both = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    def walk(batches, most=40_000):
+    def walk(batches, most=4 << 20):
+        """Whole cells of one width at a time, of about ``most`` bytes of bitmaps."""
         import pyarrow as pa
 
-        held = None
+        held: list = []
+        size = 0
+
+        def flush(last: bool):
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table[c].to_numpy() for c in ("width", "hash", "i", "j")], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+            end = len(keys) if last else int(starts[-1])  # the last cell may go on
+            edges = np.append(starts[starts < end], end)
+            cuts, at = [], 0
+            for k in range(len(edges) - 1):
+                full = (edges[k + 1] - edges[at]) * (1 << int(keys[edges[at], 0])) // 8 > most
+                if k + 1 == len(edges) - 1 or full or keys[edges[k + 1], 0] != keys[edges[at], 0]:
+                    cuts.append((int(edges[at]), int(edges[k + 1])))
+                    at = k + 1
+            rest = table.slice(end)
+            held, size = (rest.to_batches() if rest.num_rows else []), rest.nbytes
+            for a, b in cuts:
+                yield run(table.slice(a, b - a).combine_chunks())
+
         for b in batches:
-            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if held.num_rows >= most:  # up to the last cell, which may go on
-                cell = np.stack([held[c].to_numpy() for c in ("hash", "i", "j")], 1)
-                cut = int(np.flatnonzero((cell != cell[-1]).any(1))[-1]) + 1 if (cell != cell[-1]).any() else 0
-                if cut:
-                    yield run(held.slice(0, cut).combine_chunks())
-                    held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield run(held.combine_chunks())
-
-    order = ["hash", "i", "j", "side", "n", "node"]
-    dealt = rows.repartition("hash", "i", "j").sortWithinPartitions(*order)
-    return dealt.select("hash", "i", "j", "side", "node", "comp", "n", "bits").mapInArrow(walk, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, each: int = 2000) -> DataFrame:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+                if size > 4 * most:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    order = ["width", "hash", "i", "j", "side", "n", "node"]
+    dealt = rows.repartition("width", "hash", "i", "j").sortWithinPartitions(*order)
+    return dealt.select(*order, "comp", "bits").mapInArrow(walk, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int, each: int = 2000) -> DataFrame:
     """The pairs (a, b) that link; b may be in very many pairs, so its set is dealt out by salt."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = scratch.keep(classes.join(ends, "node"), f"{name}-nodes")
+    sets = scratch.keep(node_sets(docs, wanted, n), f"{name}-sets")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("salts"))
     left = pairs.join(hubs, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     left = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
@@ -254,7 +316,37 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, each: int =
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return left.join(right, ["b", "salt"]).where(den * common >= num * union).select("a", "b")
+    links = left.join(right, ["b", "salt"]).where(den * common >= num * union).select("a", "b")
+    links = scratch.keep(links, f"{name}-links")
+    scratch.drop(f"{name}-sets", f"{name}-nodes")
+    return links
+
+
+def tree_rows(members: DataFrame, num: int, den: int) -> DataFrame:
+    """What ``tree_candidates`` takes but the bits: members of mixed cells, once for each pair of units they are in."""
+    one, two = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))
+    cells = members.groupBy("hash", "often").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("cell"), one.alias("x"), two.alias("y")
+    )
+    first = cells.where("c0 <> c1").groupBy("cell", "x", "y").agg(F.min(F.struct("often", "hash")).alias("first"))
+    found = members.join(first.select(F.col("first.hash").alias("hash")), "hash")
+    units = found.groupBy("hash", "width").agg(F.ceil(F.count(F.lit(1)) / _CELL).cast("int").alias("blocks"))
+    units = units.groupBy("hash").agg(F.collect_list(F.struct("width", "blocks")).alias("units"))  # one for each width
+    own = F.filter("units", lambda u: u["width"] == F.col("width"))[0]["blocks"]
+    rows = found.join(units, "hash").withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    near = F.filter("units", lambda u: F.abs(u["width"] - F.col("width")) <= 1)
+    others = F.flatten(F.transform(near, lambda u: F.transform(F.sequence(F.lit(0), u["blocks"] - 1), lambda k: u["width"] * 1_000_000 + k)))
+    rows = rows.withColumn("unit", F.col("width") * 1_000_000 + F.col("block")).withColumn("other", F.explode(others))
+    return rows.select(
+        F.floor(F.least("unit", "other") / 1_000_000).cast("int").alias("width"),
+        "hash",
+        F.least("unit", "other").cast("long").alias("i"),
+        F.greatest("unit", "other").cast("long").alias("j"),
+        (F.col("unit") > F.col("other")).cast("int").alias("side"),
+        "node",
+        "comp",
+        "n",
+    )
 
 
 def jaccard_components(
@@ -269,44 +361,33 @@ def jaccard_components(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_shingles(docs, shingle, every, often, most_frequent)
     rows = scratch.keep(prefix_rows(docs, frequent, shingle, num, den), "rows")
-    shared = scratch.keep(shared_cells(rows, salts=16), "shared")
-
+    shared = scratch.keep(shared_cells(rows, 16, num, den), "shared")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    wanted = classes.join(shared.select("node").distinct(), "node")
-    sets = scratch.keep(node_sets(docs, wanted, shingle), "sets")
+    bits = rows.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"])
+    bits = scratch.keep(bits.join(shared.select("node").distinct(), "node"), "bits")
 
     fits = f"node <> hub and {den} * n >= {num} * hub_n and {den} * hub_n >= {num} * n"
     stars = shared.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = scratch.keep(verified(scratch.keep(stars, "stars"), sets, num, den), "star-links")
+    stars = scratch.keep(possible(stars, bits, num, den), "stars")
+    links = verified(stars, docs, classes, scratch, "star", shingle, num, den)
     label = components(links, scratch, "star")
 
     # cells that still hold more than one component
+    width = F.least(F.greatest(F.ceil(F.log2(4 * F.col("n"))), F.lit(_NARROW)), F.lit(_WIDE)).cast("int")
     comp = F.coalesce("label", "node").alias("comp")
-    members = scratch.keep(shared.select("hash", "node", "n").join(label, "node", "left").select("hash", "node", "n", comp), "members")
-    mixed = members.groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("cell"))
-    mixed = mixed.where("c0 <> c1").select("hash", F.ceil(F.col("cell") / _CELL).cast("int").alias("blocks"))
-    open_rows = members.join(mixed, "hash").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = open_rows.select(
-        "hash",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-        "node",
-        "comp",
-        "n",
-    )
-    candidates = tree_candidates(open_rows.join(sets.select("node", "bits"), "node"), num, den)
-    more = verified(scratch.keep(candidates, "candidates"), sets, num, den)
-    links = scratch.keep(links.unionByName(more), "links")
-    label = components(links, scratch, "all")
+    members = shared.join(label, "node", "left").select("hash", "often", "node", "n", width.alias("width"), comp)
+    members = scratch.keep(members, "members")
+    open_rows = tree_rows(members, num, den).join(bits.select("node", "bits"), "node")
+    candidates = scratch.keep(tree_candidates(open_rows, num, den), "candidates")
+    more = verified(candidates, docs, classes, scratch, "tree", shingle, num, den)
+    label = components(links.unionByName(more), scratch, "all")
 
     named = rows.select("doc_id", "n", "node").join(label, "node", "left")
     group = F.when(F.col("n") > 0, F.coalesce("label", "node"))
     named = scratch.keep(named.select("doc_id", "n", group.alias("group")), "named")
     smallest = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"))
     out = named.join(smallest, "group", "left")
-    scratch.drop("rows", "shared", "sets", "members", "stars", "candidates")
+    scratch.drop("rows", "shared", "bits", "members", "stars", "candidates")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
