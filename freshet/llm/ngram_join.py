@@ -17,7 +17,7 @@ and the component that links put it in. It is exact:
    components. A dual traversal from (root, root) drops a pair of nodes when its
    size ranges cannot reach the threshold, when all below is one component, or
    when the most that its members can share, ``popcount(A & B)`` plus the tokens
-   that collided within a bitmap, is too little. A bitmap has four bits or more a
+   that collided within a bitmap, is too little. A bitmap has two bits or more a
    token, so members form units by bitmap width, and of ``_CELL`` members at most;
    each pair of units of like width is a traversal of its own, the wider folded.
 4. Surviving pairs are verified exactly, and their links complete the components.
@@ -148,8 +148,8 @@ def node_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Tokens by their low bits, four bits or more a token up to the widest; halves fold onto each other."""
-    bits = 1 << min(max((4 * len(s) - 1).bit_length(), _NARROW), _WIDE)
+    """Tokens by their low bits, two bits or more a token up to the widest; halves fold onto each other."""
+    bits = 1 << min(max((2 * len(s) - 1).bit_length(), _NARROW), _WIDE)
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view("<u8")
@@ -350,7 +350,7 @@ def tree_rows(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, num: int = 3, den: int = 4, shingle: int = 5, every: int = 32, often: int = 3, most_frequent: int = 100_000
+    docs: DataFrame, num: int = 3, den: int = 4, shingle: int = 5, every: int = 16, often: int = 2, most_frequent: int = 200_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); links at ``num / den``.
 
@@ -363,8 +363,8 @@ def jaccard_components(
     rows = scratch.keep(prefix_rows(docs, frequent, shingle, num, den), "rows")
     shared = scratch.keep(shared_cells(rows, 16, num, den), "shared")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    bits = rows.where("bits is not null").select("node", "n", "bits").dropDuplicates(["node"])
-    bits = scratch.keep(bits.join(shared.select("node").distinct(), "node"), "bits")
+    bits = rows.where("bits is not null").select("node", "n", "bits").join(shared.select("node").distinct(), "node", "left_semi")
+    bits = scratch.keep(bits.dropDuplicates(["node"]), "bits")
 
     fits = f"node <> hub and {den} * n >= {num} * hub_n and {den} * hub_n >= {num} * n"
     stars = shared.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -373,7 +373,7 @@ def jaccard_components(
     label = components(links, scratch, "star")
 
     # cells that still hold more than one component
-    width = F.least(F.greatest(F.ceil(F.log2(4 * F.col("n"))), F.lit(_NARROW)), F.lit(_WIDE)).cast("int")
+    width = F.least(F.greatest(F.ceil(F.log2(2 * F.col("n"))), F.lit(_NARROW)), F.lit(_WIDE)).cast("int")
     comp = F.coalesce("label", "node").alias("comp")
     members = shared.join(label, "node", "left").select("hash", "often", "node", "n", width.alias("width"), comp)
     members = scratch.keep(members, "members")
