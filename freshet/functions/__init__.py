@@ -1 +1 @@
-
+"""Column expressions: values in, values out, no shuffles."""
