@@ -101,25 +101,75 @@ class WordCoder:
     """Ids of whole texts from ids of their words.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in order. Words are kept with their ids as bytes.
+    are its words' ids in order. The first ``most`` distinct words are kept with
+    their ids as bytes. New words of letters, with a mark after them or not, are
+    encoded many at a time: each run of letters or marks ends in one token that
+    has the end-of-word suffix, which tells where a word's ids end. If the counts
+    don't agree, and for all other words, each is encoded alone.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 1_000_000):
+    def __init__(self, path: str, dtype: str, most: int = 200_000, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.coder, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        coded = self.coder.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in coded]
+
+    def _together(self, words: list[str], runs: list[int]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part, ends = words[i : i + 1000], np.cumsum(runs[i : i + 1000])
+            ids = np.array(self.coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            marks = np.flatnonzero(self.last[ids])
+            if len(marks) != ends[-1]:
+                out += self._alone(part)
+                continue
+            data, width, at = ids.tobytes(), ids.itemsize, 0
+            for end in ((marks[ends - 1] + 1) * width).tolist():
+                out.append(data[at:end])
+                at = end
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode().split() if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        new = list(new)
-        for w, e in zip(new, self.coder.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        plain, runs, keys, odd = [], [], [], []
+        for key in {w for words in split for w in words if w not in self.known}:
+            w = key.decode()
+            low = w.lower()
+            if low.isalpha():
+                n = 1
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                n = 2
+            else:
+                odd.append(key)
+                continue
+            plain.append(w)
+            runs.append(n)
+            keys.append(key)
+        new = dict(zip(odd, self._alone([k.decode() for k in odd]), strict=True)) if odd else {}
+        new.update(zip(keys, self._together(plain, runs), strict=True))
+        if len(self.known) < self.most:
+            self.known.update(new)
+        known = self.known
+        get = lambda w: known[w] if w in known else new[w]
+        return [b"".join(map(get, words)) for words in split]
+
+    def stream(self, column, size: int = 1 << 20):
+        """Ids of each text of an Arrow column; about ``size`` characters at a time."""
+        held, n = [], 0
+        for t in column:
+            held.append(t.as_py())
+            n += len(held[-1] or "")
+            if n >= size:
+                yield from self.encode(held)
+                held, n = [], 0
+        yield from self.encode(held)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, wide: bool = False) -> DataFrame:
@@ -144,7 +194,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 keys = batch.column(0)
                 nulls += keys.null_count
                 ids.append(keys.drop_null().to_numpy(zero_copy_only=False))
-                for data in coder.encode(batch.column(1).to_pylist()):
+                for data in coder.stream(batch.column(1)):
                     out.write(data + end)
                     total += (len(data) + len(end)) // len(end)
                     ends.append(total)
