@@ -172,6 +172,17 @@ class WordCoder:
         yield from self.encode(held)
 
 
+_CODERS: dict[tuple[str, str], WordCoder] = {}
+
+
+def word_coder(path: str, dtype: str) -> WordCoder:
+    """The coder of this worker, kept with its words for the next task."""
+    if (path, dtype) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path, dtype] = WordCoder(path, dtype)
+    return _CODERS[path, dtype]
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, wide: bool = False) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards below ``folder``; a row of ``MANIFEST`` for each. Lazy: keep the result."""
     import pyarrow as pa
@@ -185,7 +196,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        coder = WordCoder(tokenizer or default_tokenizer(), dtype)
+        coder = word_coder(tokenizer or default_tokenizer(), dtype)
         end = np.array([end_id], dtype).tobytes()
         shard = TaskContext.get().partitionId()
         path, ids, ends, nulls, total = f"{folder}/shard-{shard:06d}.eft", [], [], 0, 0
