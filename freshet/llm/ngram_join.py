@@ -114,7 +114,8 @@ def shared_cells(docs: DataFrame, salts: int, num: int, den: int) -> DataFrame:
     early = (num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
     rows = docs.select("node", "n", "central", "rare", F.posexplode("prefix").alias("pos", "hash"))
     rows = rows.select("hash", salt.alias("salt"), "node", "n", "central", often.alias("often"), early.alias("early"))
-    rows = rows.repartition("hash", "salt")  # one exchange, used twice
+    # one exchange, used twice: both uses read the same columns under the same filter
+    rows = rows.where("hash is not null and salt is not null").repartition("hash", "salt")
     best = F.max(F.struct("central", "n", "node")).alias("best")
     tops = [F.max("often").alias("often"), F.max("early").alias("early")]
     cells = rows.groupBy("hash", "salt").agg(best, F.min("node").alias("low"), F.max("node").alias("high"), *tops)
@@ -123,8 +124,8 @@ def shared_cells(docs: DataFrame, salts: int, num: int, den: int) -> DataFrame:
     cells = cells.where("low <> high and early")
     spread = F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     cells = cells.select("hash", spread.alias("salt"), F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n"))
-    found = rows.drop("central").join(cells.hint("shuffle_hash"), ["hash", "salt"])
-    return found.drop("salt").distinct()
+    found = rows.join(cells.hint("shuffle_hash"), ["hash", "salt"])
+    return found.distinct().drop("salt", "central")  # both follow from hash and node
 
 
 def node_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
