@@ -42,6 +42,7 @@ from .scratch import Scratch
 from .shingles import lists_column, shingle_set
 
 _CELL = 1024
+_SENT = 1_000_000  # rows (node, rep) that are broadcast at most: 16 MB
 _FAN = 4
 _NARROW, _WIDE = 8, 15  # powers of two: bits of the smallest and largest bitmap
 _SLICE = 1 << 22  # words of bitmap met at once
@@ -129,8 +130,11 @@ def shared_cells(docs: DataFrame, salts: int, num: int, den: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """node, set of the given classes (node, rep), from the text of one document of each."""
-    texts = docs.join(classes.select("node", "rep"), docs["doc_id"].eqNullSafe(F.col("rep")))
+    """node, set of the given classes (a kept table of node, rep), from the text of one document of each."""
+    wanted = classes.select("node", "rep")
+    if wanted.count() <= _SENT:  # two longs a row; beyond that both sides are shuffled
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("rep")))
     texts = texts.select("node", "text")
 
     def make(batches):
