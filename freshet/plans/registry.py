@@ -32,4 +32,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import claims, grids, metrics  # noqa: F401
+    from . import claims, grids, histories, metrics  # noqa: F401
