@@ -11,8 +11,10 @@ add up to one.
 
 Counts cover all training text. N-grams are counted per task and summed by a
 shuffle; the levels of the tree, their divergences and the states are DataFrame
-work. What a scoring task loads is the table of states, of ``max_states`` at
-most (those that gain most), from the shared folder.
+work. What a scoring task loads from the shared folder is a table of the
+``max_states`` states that gain most, and a bitmap of fixed size over all other
+states. Bytes whose context may end in one of those are scored by ordinary joins
+with the whole tree, so every state that passes the tests counts.
 
 Word counts for the unigram base are summed by a shuffle too. Words among the
 ``max_words`` most frequent are looked up in a table of that size; all others go
@@ -45,6 +47,7 @@ END = b"\n"
 DISCOUNT = 0.6
 _CHUNK = 2 << 20
 _SLOTS = 22
+_BITS = 27
 _WORD, _GRAM, _DOCS = 0, 1, 2
 
 
@@ -163,16 +166,61 @@ def states_of(levels: list[DataFrame], all_symbols: int, least: int, nats: float
     return reduce(DataFrame.unionByName, out)
 
 
+def _bits(k, ctx: np.ndarray) -> np.ndarray:
+    """The place of states in the bitmap."""
+    return ((ctx.astype(np.uint64) << np.uint64(3) | np.asarray(k).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
+
+
+def bitmap_rows(states: DataFrame) -> DataFrame:
+    """word, bits: the words of the bitmap that have any of these states."""
+    import pyarrow as pa
+
+    def make(batches):
+        for b in batches:
+            at = _bits(*(b.column(i).to_numpy() for i in (0, 1)))
+            bits = np.uint64(1) << (at & np.uint64(63))
+            cols = [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "bits"])
+
+    rows = states.select("k", "ctx").mapInArrow(make, "word long, bits long")
+    return rows.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def key_logs(keys: DataFrame, states: DataFrame, symbols: DataFrame, root: np.ndarray) -> DataFrame:
+    """key, log: what ``Tree.log10`` gives of these distinct keys, by joins with the whole tree."""
+    first = keys.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(root)], "symbol long, p double")
+    out = keys.withColumn("symbol", F.col("key").bitwiseAND(F.lit(255))).join(F.broadcast(first), "symbol").drop("symbol")
+    for k in range(1, DEPTH + 1):
+        gram = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        st = states.where(F.col("k") == k).select("ctx", "total", "kinds")
+        sy = symbols.where(F.col("k") == k).select(F.col("key").alias("gram"), "n")
+        out = out.withColumn("gram", gram).withColumn("ctx", F.shiftright("gram", 8)).join(st, "ctx", "left").join(sy, "gram", "left")
+        seen = F.coalesce(F.col("n") - DISCOUNT, F.lit(0.0))
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((seen + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total"))
+        out = out.select("key", p.alias("p"))
+    return out.select("key", F.log10("p").alias("log"))
+
+
+def root_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Probabilities of the symbols without context."""
+    root = np.ones(256)
+    root[keys] += n
+    return root / root.sum()
+
+
 class Tree:
-    """States and their symbols as sorted arrays; log10 probabilities of keys."""
+    """States and their symbols as sorted arrays; log10 probabilities of keys.
+
+    The probability of a key that may meet a state of ``others`` only is nan.
+    """
 
-    def __init__(self, states: list, symbols: list, root: np.ndarray):
-        self.states, self.symbols, self.root = states, symbols, root
+    def __init__(self, states: list, symbols: list, root: np.ndarray, others: np.ndarray | None = None):
+        self.states, self.symbols, self.root, self.others = states, symbols, root, others
         self.keys = np.full(1 << _SLOTS, ~np.uint64(0), np.uint64)
         self.logs = np.zeros(1 << _SLOTS)
 
     @classmethod
-    def load(cls, uri: str) -> Tree:
+    def load(cls, uri: str, partial: bool = False) -> Tree:
         import pyarrow.parquet as pq
 
         system, path = opened(uri)
@@ -188,9 +236,12 @@ class Tree:
             return out
 
         states, symbols = by_level(st, "ctx"), by_level(sy, "key")
-        root = np.ones(256)
-        root[symbols[0]["key"]] += symbols[0]["n"]
-        return cls(states, symbols, root / root.sum())
+        others = None
+        if partial:
+            words = pq.read_table(f"{path}/others", filesystem=system)
+            others = np.zeros(1 << _BITS - 6, np.uint64)
+            others[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        return cls(states, symbols, root_of(symbols[0]["key"], symbols[0]["n"]), others)
 
     def probabilities(self, keys: np.ndarray) -> np.ndarray:
         """From the root down: each state that a context ends in discounts into what came before."""
@@ -198,10 +249,13 @@ class Tree:
         signed = keys.astype(np.int64)
         for k in range(1, DEPTH + 1):
             st, sy = self.states[k], self.symbols[k]
-            if not len(st["ctx"]):
-                continue
             gram = signed & ((1 << 8 * (k + 1)) - 1)
             ctx = gram >> 8
+            if self.others is not None:
+                at = _bits(k, ctx)
+                p = np.where(self.others[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1), np.nan, p)
+            if not len(st["ctx"]):
+                continue
             at = np.minimum(np.searchsorted(st["ctx"], ctx), len(st["ctx"]) - 1)
             there = st["ctx"][at] == ctx
             total, kinds = st["total"][at].astype(float), st["kinds"][at]
@@ -227,7 +281,7 @@ class Tree:
 _LOADED: dict[str, tuple] = {}
 
 
-def loaded(uri: str) -> tuple[Tree, np.ndarray, np.ndarray]:
+def loaded(uri: str, partial: bool) -> tuple[Tree, np.ndarray, np.ndarray]:
     """The tree and the frequent words' hashes and counts; kept for a worker's next task."""
     import pyarrow.parquet as pq
 
@@ -237,23 +291,26 @@ def loaded(uri: str) -> tuple[Tree, np.ndarray, np.ndarray]:
         top = pq.read_table(f"{path}/frequent", filesystem=system)
         hashes = top["key"].to_numpy().view(np.uint64)
         order = np.argsort(hashes)
-        _LOADED[uri] = Tree.load(uri), hashes[order], top["n"].to_numpy()[order]
+        _LOADED[uri] = Tree.load(uri, partial), hashes[order], top["n"].to_numpy()[order]
     return _LOADED[uri]
 
 
-def score_rows(docs: DataFrame, folder: str, rows_trained: int) -> DataFrame:
-    """Per text: counts, the part of the base score of frequent words, the score, and the other words."""
+def score_rows(docs: DataFrame, folder: str, rows_trained: int, partial: bool) -> DataFrame:
+    """Per text: counts, the parts of the base score of frequent words and of the score by loaded states, the other words and keys."""
     import pyarrow as pa
 
     def score(batches):
-        tree, top, top_n = loaded(folder)
+        tree, top, top_n = loaded(folder, partial)
         logs = np.log10(top_n + 1.0)
         end_log, end_known = math.log10(rows_trained + 1), int(rows_trained > 0)
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for docs in chunks(b.column(2)):
                 keys, sizes = gram_keys(docs)
-                out[4].append(np.add.reduceat(tree.log10(keys), np.cumsum(sizes) - sizes))
+                each = tree.log10(keys)
+                open_ = np.isnan(each)
+                out[4].append(np.add.reduceat(np.where(open_, 0.0, each), np.cumsum(sizes) - sizes))
+                out[6].append((keys[open_].view(np.int64), np.add.reduceat(open_.astype(np.int64), np.cumsum(sizes) - sizes)))
                 flat = [w for ws in docs for w in ws]
                 h = word_hashes(flat)
                 owner = np.repeat(np.arange(len(docs)), [len(ws) for ws in docs])
@@ -268,15 +325,15 @@ def score_rows(docs: DataFrame, folder: str, rows_trained: int) -> DataFrame:
                 out[5].append((rest.view(np.int64), np.diff(cuts)))
             if not b.num_rows:
                 continue
-            rest = np.concatenate([r for r, _ in out[5]])
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate([c for _, c in out[5]]))]).astype(np.int32)
             cols = [b.column(0), b.column(1), *[pa.array(np.concatenate(out[k])) for k in (0, 1)]]
             cols += [pa.array(np.concatenate(out[k]).astype(float)) for k in (2, 4)]
-            cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest)))
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"]
+            for k in (5, 6):
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate([c for _, c in out[k]]))]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r for r, _ in out[k]]))))
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "open"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, open array<long>"
     return docs.mapInArrow(score, schema)
 
 
@@ -299,21 +356,37 @@ def score_texts(
 
     grams = counts.where(F.col("kind") == _GRAM).select("key", "n")
     levels = [scratch.keep(x, f"level{k}") for k, x in enumerate(suffix_levels(grams))]
-    best = states_of(levels, symbols, least, nats).orderBy(F.desc("gain"), "k", "ctx").limit(max_states)
-    states = scratch.keep(best, "states")
+    states = scratch.keep(states_of(levels, symbols, least, nats), "all_states")
     entries = [levels[0].select(F.lit(0).alias("k"), "key", "n")]
     for k in range(1, DEPTH + 1):
         own = states.where(F.col("k") == k).select("ctx")
         entries.append(levels[k].join(own, "ctx", "left_semi").select(F.lit(k).alias("k"), "key", "n"))
-    scratch.keep(reduce(DataFrame.unionByName, entries), "symbols")
+    entries = reduce(DataFrame.unionByName, entries)
+    partial = states.count() > max_states
+    if partial:
+        entries = scratch.keep(entries, "all_symbols")
+        top = scratch.keep(states.orderBy(F.desc("gain"), "k", "ctx").limit(max_states), "states")
+        scratch.keep(bitmap_rows(states.join(top, ["k", "ctx"], "left_anti")), "others")
+        near = entries.withColumn("ctx", F.shiftright("key", 8)).join(top.select("k", "ctx"), ["k", "ctx"], "left_semi")
+        scratch.keep(near.select("k", "key", "n").unionByName(entries.where("k = 0")), "symbols")
+    else:
+        scratch.keep(states, "states")
+        scratch.keep(entries, "symbols")
     words = counts.where(F.col("kind") == _WORD).select("key", "n")
     scratch.keep(words.orderBy(F.desc("n"), "key").limit(max_words), "frequent")
     scratch.drop(*[f"level{k}" for k in range(DEPTH + 1)])
 
-    scored = scratch.keep(score_rows(rows, scratch.root, trained).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = scratch.keep(score_rows(rows, scratch.root, trained, partial).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("rest").alias("key")).join(words, "key")
     rest = rest.groupBy("row").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
-    out = scored.drop("rest").join(rest, "row", "left")
+    out = scored.drop("rest", "open").join(rest, "row", "left")
+    if partial:
+        opened_ = scratch.keep(scored.select("row", F.explode("open").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "open")
+        first = entries.where("k = 0").select("key", "n").collect()  # one row a symbol
+        root = root_of(np.array([r["key"] for r in first], int), np.array([r["n"] for r in first], int))
+        logs = opened_.join(key_logs(opened_.select("key").distinct(), states, entries, root), "key")
+        logs = logs.groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+        out = out.join(logs, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0))).drop("more_score")
     norm = math.log10(train_tokens + vocabulary + 1)
     return out.select(
         "doc_id",
