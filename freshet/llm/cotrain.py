@@ -7,14 +7,17 @@ unlabelled rows that it is surest of, and the other view learns from them too.
 Each view is then calibrated on labelled rows held back from training, and one
 calibrated combination scores every document.
 
-Models are fitted on bounded samples, ``max_labelled`` labelled and ``max_pool``
-unlabelled rows with the smallest seeded hashes; features and scores cover every
-row and every whole text.
+Labels are a bounded sample, ``max_labelled`` rows with the smallest seeded
+hashes. Every other step covers every row and every whole text: all rows without
+a label are scored in each round, a share of them is exchanged, and the content
+view is fitted by Newton steps whose gradients and Hessians tasks sum up. The
+metadata view has few distinct rows; their counts are its data.
 
 Defined results: a null or empty text has zero features and is scored like any
 other; null lang or source is a value of its own; documents that repeat an id
 are each scored; labels that repeat an id count by their mean, null labels not
-at all. Without labels of both classes the score is 1 and every row is accepted.
+at all. Without labels of both classes the score is 1 and every row is accepted;
+where too few labels leave one class to training or to calibration, all serve both.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -29,8 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .scratch import Scratch
+
 SHAPES, ENDINGS = 18, 128
 LENGTHS, LANGS, SOURCES = 24, 16, 128
+#: Rows are ranked by places: steps of a logit, each split by a hash so that equal rows can be told apart.
+_STEPS, _SPREAD = 16, 64
 
 
 def content_features(text: str | None) -> np.ndarray:
@@ -94,6 +101,12 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, content array<float>, metadata array<int>")
 
 
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, n=1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the log loss at ``w``."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ ((p - y) * n), (x * ((p * (1 - p) + 1e-6) * n)[:, None]).T @ x
+
+
 @dataclass
 class Logistic:
     """Logistic regression with an L2 penalty, fitted by Newton steps."""
@@ -101,16 +114,17 @@ class Logistic:
     w: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> Logistic:
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25, n=1.0, more=None, start=None, close: float = 1e-6) -> Logistic:
+        """``n``: how often each row counts; ``more`` of weights: the sums of ``newton_sums`` over further rows."""
         x = np.asarray(x, np.float64)
-        w = np.zeros(x.shape[1])
+        w = np.zeros(x.shape[1]) if start is None else start.copy()
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            grad = x.T @ (p - y) + penalty * w
-            hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + penalty * np.eye(len(w))
-            step = np.linalg.solve(hess, grad)
+            grad, hess = newton_sums(x, y, w, n)
+            if more is not None:
+                grad, hess = (a + b for a, b in zip((grad, hess), more(w), strict=True))
+            step = np.linalg.solve(hess + penalty * np.eye(len(w)), grad + penalty * w)
             w -= step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < close:
                 break
         return cls(w)
 
@@ -139,30 +153,163 @@ class CoTrained:
         return sigmoid(np.stack([*both, last], 1))
 
 
-def co_train(c, m, y, pool_c, pool_m, rounds: int = 4, grow: float = 0.05, sure: float = 0.9) -> CoTrained:
+def _views(batch) -> list[np.ndarray]:
+    """Both views of an Arrow batch of features."""
+    content, metadata = (batch.column(c).flatten().to_numpy() for c in ("content", "metadata"))
+    return [content.reshape(batch.num_rows, -1), dense_metadata(metadata.reshape(batch.num_rows, -1))]
+
+
+def _places(z: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return (np.abs(z) * _STEPS).astype(np.int64) * _SPREAD + spread
+
+
+class Pool:
+    """All rows without a label: which of them the views label, and sums over those."""
+
+    def __init__(self, rows: DataFrame, seed: int, sure: float):
+        self.scratch = Scratch(rows.sparkSession, "co-training")
+        spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_SPREAD))
+        self.rows = self.scratch.keep(feature_rows(rows).select("content", "metadata", spread.alias("spread")), "pool")
+        self.size, self.least = self.rows.count(), math.log(sure / (1 - sure))
+        self.taken: list[DataFrame] = []
+        self.past: list[tuple] = []
+
+    def choose(self, models: list[Logistic], quotas: tuple[float, float]) -> int:
+        """Each view takes the rows it is surest of, about ``quotas`` of class 0 and 1; the rows taken."""
+        cuts: list[tuple] = []
+        for v in (0, 1):
+            found = self._hold(models, cuts, v).groupBy("good", "place").agg(F.sum("n").alias("n")).collect()  # places are bounded
+            at = []
+            for good in (0, 1):
+                here = sorted(((r["place"], r["n"]) for r in found if r["good"] == good), reverse=True)
+                cut, got = 1 << 40, 0
+                for place, n in here:
+                    if got >= max(1, int(quotas[good])):
+                        break
+                    cut, got = place, got + n
+                at.append(cut)
+            cuts.append(tuple(at))
+        now = self.scratch.keep(self._take(models, cuts), f"taken{len(self.past)}")
+        self.past.append((models, cuts))
+        self.taken.append(now)
+        return now.count()
+
+    @staticmethod
+    def _apply(batch, past, models, cuts, least):
+        """Whether each row is free of earlier rounds, which view takes it (-1: none), and both views' logits."""
+        views, spread = _views(batch), batch.column("spread").to_numpy()
+        free = np.ones(batch.num_rows, bool)
+        for used, ends in [*past, (models, cuts)]:
+            z = [m.logit(x) for m, x in zip(used, views, strict=True)]
+            by = np.full(batch.num_rows, -1)
+            for v, (bad, good) in enumerate(ends):
+                by[free & (by < 0) & (np.abs(z[v]) >= least) & (_places(z[v], spread) >= np.where(z[v] >= 0, good, bad))] = v
+            if used is not models:
+                free &= by < 0
+        return free, by, z, spread
+
+    def _hold(self, models, cuts, v) -> DataFrame:
+        import pyarrow as pa
+
+        least, apply, past, cuts = self.least, self._apply, list(self.past), list(cuts)
+
+        def count(batches):
+            total: dict[tuple, int] = {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                free, by, z, spread = apply(b, past, models, cuts, least)
+                at = free & (by < 0) & (np.abs(z[v]) >= least)
+                keys, n = np.unique(_places(z[v], spread)[at] * 2 + (z[v][at] >= 0), return_counts=True)
+                for k, m in zip(keys.tolist(), n.tolist(), strict=True):
+                    total[k] = total.get(k, 0) + m
+            keys = np.fromiter(total.keys(), np.int64, len(total))
+            cols = [pa.array(keys % 2), pa.array(keys // 2), pa.array(np.fromiter(total.values(), np.int64, len(total)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["good", "place", "n"])
+
+        return self.rows.mapInArrow(count, "good long, place long, n long")
+
+    def _take(self, models, cuts) -> DataFrame:
+        """The rows taken now with ``target``, the view that learns from them, and their label."""
+        import pyarrow as pa
+
+        least, apply, past = self.least, self._apply, list(self.past)
+
+        def take(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                _, by, z, _ = apply(b, past, models, cuts, least)
+                at = np.flatnonzero(by >= 0)
+                y = (np.where(by == 1, z[1], z[0]) >= 0).astype(np.int32)
+                cols = [b.column(c).take(pa.array(at)) for c in ("content", "metadata")]
+                cols += [pa.array((1 - by[at]).astype(np.int32)), pa.array(y[at])]
+                yield pa.RecordBatch.from_arrays(cols, names=["content", "metadata", "target", "y"])
+
+        return self.rows.mapInArrow(take, "content array<float>, metadata array<int>, target int, y int")
+
+    def _all_taken(self) -> DataFrame:
+        out = self.taken[0]
+        for t in self.taken[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def content_sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``newton_sums`` of the content view over the rows it learns from."""
+        import pyarrow as pa
+
+        def packed(total):
+            return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        def part(batches):
+            total = np.zeros((len(w) + 1, len(w)))
+            for b in batches:
+                if b.num_rows:
+                    x = b.column("content").flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
+                    grad, hess = newton_sums(x, b.column("y").to_numpy(), w)
+                    total[0] += grad
+                    total[1:] += hess
+            yield packed(total)
+
+        def merge(batches):
+            total = np.zeros((len(w) + 1) * len(w))
+            for b in batches:
+                for v in b.column(0):
+                    total += np.frombuffer(v.as_py())
+            yield packed(total)
+
+        sums = self._all_taken().where("target = 0").select("content", "y").mapInArrow(part, "sums binary")
+        if sums.rdd.getNumPartitions() > 64:
+            sums = sums.repartition(16).mapInArrow(merge, "sums binary")
+        total = sum(np.frombuffer(r["sums"]).reshape(len(w) + 1, len(w)) for r in sums.collect())
+        return total[0], total[1:]
+
+    def metadata_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct rows the metadata view learns from, their labels and numbers."""
+        got = self._all_taken().where("target = 1").groupBy("metadata", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("metadata", "y").collect()
+        m = np.array([r["metadata"] for r in got], int).reshape(len(got), 4)
+        return dense_metadata(m), np.array([r["y"] for r in got], float), np.array([r["n"] for r in got], float)
+
+
+def co_train(c, m, y, pool: Pool, rounds: int = 4, grow: float = 0.05) -> CoTrained:
     """Every fifth labelled row calibrates; the rest and the exchanged pseudo-labels train."""
     hold = np.arange(len(y)) % 5 == 0
     train = ~hold
-    sets = [[(c[train], y[train])], [(m[train], y[train])]]
-    views, pools, free = [c, m], [pool_c, pool_m], np.ones(len(pool_c), bool)
-    models: list[Logistic] = []
-    for k in range(rounds + 1):
-        models = [Logistic.fit(np.concatenate([a for a, _ in s]), np.concatenate([b for _, b in s])) for s in sets]
-        if k == rounds or not free.any():
+    if any(len(y[s]) == 0 or y[s].min() == y[s].max() for s in (hold, train)):
+        hold = train = np.ones(len(y), bool)
+    models = [Logistic.fit(x[train], y[train]) for x in (c, m)]
+    for _ in range(rounds if pool.size else 0):
+        each = grow * pool.size
+        # as many of each class as the labels have, so that the surer class does not take over
+        if not pool.choose(models, (each * (1 - y.mean()), each * y.mean())):
             break
-        each = max(1, int(grow * len(pool_c)))
-        for v in (0, 1):
-            p = sigmoid(models[v].logit(pools[v]))
-            at = np.flatnonzero(free & (np.abs(p - 0.5) >= sure - 0.5))
-            at = at[np.argsort(-np.abs(p[at] - 0.5), kind="stable")]
-            # as many of each class as the labels have, so that the surer class does not take over
-            good = at[p[at] >= 0.5][: max(1, int(each * y.mean()))]
-            bad = at[p[at] < 0.5][: max(1, int(each * (1 - y.mean())))]
-            new = np.concatenate([good, bad])
-            if len(new):
-                sets[1 - v].append((pools[1 - v][new], (p[new] >= 0.5).astype(float)))
-                free[new] = False
-    raw = [models[v].logit(views[v][hold]) for v in (0, 1)]
+        x, labels, n = pool.metadata_counts()
+        both = np.concatenate([np.ones(int(train.sum())), n])
+        models = [
+            Logistic.fit(c[train], y[train], more=pool.content_sums, start=models[0].w, close=1e-3),
+            Logistic.fit(np.concatenate([m[train], x]), np.concatenate([y[train], labels]), n=both),
+        ]
+    raw = [model.logit(view[hold]) for model, view in zip(models, (c, m), strict=True)]
     ones = np.ones(int(hold.sum()))
     calibrations = [Logistic.fit(np.stack([ones, z], 1), y[hold], 1e-3) for z in raw]
     both = [k.logit(np.stack([ones, z], 1)) for k, z in zip(calibrations, raw, strict=True)]
@@ -178,26 +325,25 @@ def _sample(docs: DataFrame, ids: DataFrame, draw, most: int):
     return got, np.array([labels[i] for i in got["doc_id"]], float) if more else None
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_pool: int = 12_000, seed: int = 5) -> CoTrained | None:
-    """Both classifiers from bounded samples; None without labels of both classes."""
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, sure: float = 0.9, seed: int = 5) -> CoTrained | None:
+    """Both classifiers from a bounded sample of labels and all rows without one; None without labels of both classes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     draw = F.xxhash64(F.lit(seed), "doc_id")
     there = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = there.orderBy(draw, "doc_id").limit(max_labelled)
-    free = rows.select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(draw, "doc_id").limit(max_pool)
     labelled, y = _sample(rows, ids, draw, max_labelled)
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
-    pool, _ = _sample(rows, free, draw, max_pool)
+    pool = Pool(rows.join(known, "doc_id", "left_anti"), seed, sure)
 
     def arrays(frame):
         c = np.stack(frame["content"].to_numpy()) if len(frame) else np.empty((0, SHAPES + ENDINGS), np.float32)
         m = np.stack(frame["metadata"].to_numpy()) if len(frame) else np.empty((0, 4), int)
         return c, dense_metadata(m)
 
-    return co_train(*arrays(labelled), y, *arrays(pool))
+    return co_train(*arrays(labelled), y, pool)
 
 
 def with_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from freshet.llm import suffix_tree
+from freshet.llm import cotrain, suffix_tree
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +17,24 @@ def test_suffix_tree_states_beyond_the_table(spark):
     assert len(whole) > 100 and whole.keys() == cut.keys() == none.keys()
     for other in (cut, none):
         assert np.allclose([whole[k] for k in whole], [other[k] for k in whole], rtol=1e-9, atol=1e-9)
+
+
+def test_quality_exchanges_all_unlabelled_rows(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(("w" if i % 2 else "7") * int(n) for n in rng.integers(2, 9, 30)) for i in range(15_000)]  # both views tell the classes
+    rows = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    pool = cotrain.Pool(rows, 5, 0.9)
+    assert pool.size == 15_000
+    c, m = (np.stack(x) for x in zip(*[(cotrain.content_features(t), cotrain.dense_metadata(np.array([cotrain.metadata_indices("en", f"s{i % 2}", len(t))]))[0]) for i, t in enumerate(texts[:200])], strict=True))
+    cotrain.co_train(c, m, np.arange(200) % 2.0, pool, rounds=2, grow=0.2)
+    # two rounds and views, a fifth of all rows each, in whole places; a sample of 12,000 rows has no more than 9,600
+    assert 11_000 < sum(t.count() for t in pool.taken) <= 15_000
+    y = np.concatenate([np.array(t.select("y").collect()).ravel() for t in pool.taken])
+    assert 0.4 < y.mean() < 0.6
+
+
+def test_quality_of_few_labels(spark):
+    rows = spark.createDataFrame([(i, "good words in a line" if i % 2 else "77 88 || 99", "en", "s", 9) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["accepted"] for r in cotrain.with_quality(rows, cotrain.fit_quality(rows, labels)).collect()}
+    assert all(got[i] == (i % 2 == 1) for i in range(40))
