@@ -347,6 +347,19 @@ def augment(tile_cells: DataFrame, size: int) -> DataFrame:
     return tile_cells.select(*rest, turned.alias("t")).select(*rest, "t.variant", "t.r", "t.c")
 
 
+def augment_grid(cells: DataFrame, size: int) -> DataFrame:
+    """Flips and quarter turns of all tiles side by side, ``row0, col0, variant, r, c``; tiles at the far edges are as small as what is left."""
+    ends = cells.groupBy("grid_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    tiles = cells.join(ends, "grid_id").withColumns({"r": F.col("row") % size, "c": F.col("col") % size})
+    tiles = tiles.withColumns({"row0": F.col("row") - F.col("r"), "col0": F.col("col") - F.col("c")})
+    m, n = (F.least(F.lit(size), F.col(e) - F.col(o)) - 1 for e, o in (("rows", "row0"), ("cols", "col0")))
+    r, c = F.col("r"), F.col("c")
+    ways = {"identity": (r, c), "flip_lr": (r, n - c), "flip_ud": (m - r, c), "rot90": (n - c, r), "rot180": (m - r, n - c), "rot270": (c, m - r)}
+    turned = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), a.alias("r"), b.alias("c")) for k, (a, b) in ways.items()]))
+    rest = ["grid_id", "row0", "col0", "value"]
+    return tiles.select(*rest, turned.alias("t")).select(*rest, "t.variant", "t.r", "t.c")
+
+
 def ensemble(cells: DataFrame, threshold: float) -> DataFrame:
     """Mean, population spread and share over a threshold of each cell's members."""
     v = F.col("value")

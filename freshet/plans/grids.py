@@ -201,6 +201,25 @@ def join_align_pad(spark, d):
     return g.align_pad(*_two(spark, d))
 
 
+_MOVED = f"SELECT grid_id, (row + 5)::INT AS row, (col + 7)::INT AS col, value FROM ({G})"
+
+
+def _moved(spark, d):
+    """All cells twice, the second time in a grid that lies 5 rows and 7 columns further."""
+    cells = fx.cells(spark, d, 50)
+    return cells, cells.withColumns({"row": F.col("row") + 5, "col": F.col("col") + 7})
+
+
+@query("join_align_crop_moved", f"SELECT grid_id, row, col, a.value AS value_a, b.value AS value_b FROM ({G}) a JOIN ({_MOVED}) b USING (grid_id, row, col)")
+def join_align_crop_moved(spark, d):
+    return g.align_crop(*_moved(spark, d))
+
+
+@query("join_align_pad_moved", f"SELECT grid_id, row, col, a.value AS value_a, b.value AS value_b FROM ({G}) a FULL JOIN ({_MOVED}) b USING (grid_id, row, col)")
+def join_align_pad_moved(spark, d):
+    return g.align_pad(*_moved(spark, d))
+
+
 def _out(col: str):
     return ["grid_id", "row", "col", col]
 
@@ -296,6 +315,17 @@ def prj_augment_tiles(spark, d):
     return g.augment(tile, 16)
 
 
+_AUG_ALL = f"""WITH g AS ({G}), e AS (SELECT grid_id, max(row) + 1 AS nr, max(col) + 1 AS nc FROM g GROUP BY 1),
+t AS (SELECT grid_id, row - row % 16 AS row0, col - col % 16 AS col0, row % 16 AS y, col % 16 AS x, least(16, nr - row + row % 16) - 1 AS m, least(16, nc - col + col % 16) - 1 AS n, value FROM g JOIN e USING (grid_id))
+SELECT grid_id, row0::INT AS row0, col0::INT AS col0, variant, r::INT AS r, c::INT AS c, value FROM (SELECT grid_id, row0, col0, value, unnest([{{'variant': 'identity', 'r': y, 'c': x}}, {{'variant': 'flip_lr', 'r': y, 'c': n - x}}, {{'variant': 'flip_ud', 'r': m - y, 'c': x}}, {{'variant': 'rot90', 'r': n - x, 'c': y}}, {{'variant': 'rot180', 'r': m - y, 'c': n - x}}, {{'variant': 'rot270', 'r': x, 'c': m - y}}], recursive := true) FROM t)"""
+
+
+@query("prj_augment_all_tiles", _AUG_ALL)
+def prj_augment_all_tiles(spark, d):
+    """Every tile of every grid; ``prj_augment_tiles`` is the first tile alone, as its SQL says."""
+    return g.augment_grid(fx.cells(spark, d, 50), 16)
+
+
 _ENS = f"SELECT row, col, avg(value) AS mean, stddev_pop(value) AS spread, count(*) FILTER (value > 0.05) / count(value) AS exceedance, count(value) AS members FROM ({G}) GROUP BY 1, 2"
 
 
