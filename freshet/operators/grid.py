@@ -47,9 +47,9 @@ def aspect(cells: DataFrame, size: float = 1.0) -> DataFrame:
     return gradient(cells, size).select(*CELL, F.when(a < 0, a + 360).otherwise(a).alias("aspect"))
 
 
-def curvature(cells: DataFrame, size: float = 1.0) -> DataFrame:
-    """Profile, planform, mean and Gaussian curvature of the surface; 0 where it is flat."""
-    first = gradient(cells, size)
+def curvature(cells: DataFrame, size: float = 1.0, sigma: float = 0.0) -> DataFrame:
+    """Profile, planform, mean and Gaussian curvature of the surface, smoothed by ``sigma`` first; 0 where it is flat."""
+    first = gradient(gaussian(cells, sigma) if sigma else cells, size)
     second = gradient(gradient(first, size, "dx", ("dxx", "dxy")), size, "dy", ("dyx", "dyy"))
     p, q, r, s, t = (F.col(c) for c in ("dx", "dy", "dxx", "dxy", "dyy"))
     g = p * p + q * q

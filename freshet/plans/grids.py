@@ -82,6 +82,12 @@ def grid_gaussian(spark, d):
     return rounded(g.gaussian(fx.cells(spark, d, 50), 1.0))
 
 
+@query("grid_curvature_smoothed", f"SELECT grid_id, row, col, {', '.join(f'round({c}, 4) + 0.0::DOUBLE AS {c}' for c in ('profile', 'planform', 'mean', 'gaussian'))} FROM ({_CURV.replace(C, _smooth(C, 0.5))})")
+def grid_curvature_smoothed(spark, d):
+    """Curvature with the smoothing that comes before it; ``grid_curvature`` leaves it out, as its SQL does."""
+    return rounded(g.curvature(fx.cells(spark, d), sigma=0.5), 4)
+
+
 @query("grid_tpi", sq(f"SELECT grid_id, row, col, value - (f_sum - value) / (f_n - 1) AS tpi FROM ({_focal(G, 1)})", KEY, "tpi"))
 def grid_tpi(spark, d):
     return rounded(g.tpi(fx.cells(spark, d, 50), 1))

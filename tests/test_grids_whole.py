@@ -14,3 +14,12 @@ def test_augment_every_tile(spark):
     assert whole == {(r, c): r * 100.0 + c for r in range(5) for c in range(7)}
     edge = {(r["r"], r["c"]): r["value"] for r in got if r["variant"] == "rot90" and (r["row0"], r["col0"]) == (4, 4)}
     assert edge == {(2, 0): 404.0, (1, 0): 405.0, (0, 0): 406.0}
+
+
+def test_curvature_smooths_first(spark):
+    grid = spark.createDataFrame([(1, r, c, float((r * 7 + c * 5) % 6)) for r in range(6) for c in range(6)], "grid_id long, row int, col int, value double")
+    got = {(r["row"], r["col"]): r["mean"] for r in g.curvature(grid, sigma=0.5).collect()}
+    want = {(r["row"], r["col"]): r["mean"] for r in g.curvature(g.gaussian(grid, 0.5)).collect()}
+    rough = {(r["row"], r["col"]): r["mean"] for r in g.curvature(grid).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert any(abs(got[k] - rough[k]) > 1e-3 for k in want)
