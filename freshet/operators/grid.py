@@ -329,12 +329,15 @@ def assign_cells(cells: DataFrame, size: int, step: int, rows: int, cols: int, l
     return got.where(F.col("n") >= least_valid * size * size)
 
 
-def blend_tiles(tiles: DataFrame, size: int, edge: int) -> DataFrame:
-    """``grid_id, row, col, value``: overlapping tile values blended with weights that taper to the tile edge."""
+def blend_tiles(tiles: DataFrame, size: int, edge: int, cells: DataFrame | None = None) -> DataFrame:
+    """``grid_id, row, col, value``: overlapping tile values blended with weights that taper to the tile edge; 0 at those of ``cells`` that no tile has."""
     near = F.least(F.col("r"), F.col("c"), size - 1 - F.col("r"), size - 1 - F.col("c"))
     w = F.least((near + 1) / edge, F.lit(1.0))
     x = tiles.withColumn("w", w).groupBy("grid_id", (F.col("row0") + F.col("r")).alias("row"), (F.col("col0") + F.col("c")).alias("col"))
-    return x.agg(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")), F.lit(0.0)).alias("value"))
+    got = x.agg(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")), F.lit(0.0)).alias("value"))
+    if cells is None:
+        return got
+    return cells.select(*CELL).join(got, CELL, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def augment(tile_cells: DataFrame, size: int) -> DataFrame:

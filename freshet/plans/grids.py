@@ -312,6 +312,22 @@ def agg_blend_tiles(spark, d):
     return rounded(g.blend_tiles(tiles, 16, 4))
 
 
+_OWN = f"SELECT * EXCLUDE (value), value - avg(value) OVER (PARTITION BY grid_id, row0, col0) AS value FROM ({_TC})"
+_BLEND_ALL = f"SELECT grid_id, row, col, coalesce(b.value, 0) AS value FROM ({G}) c LEFT JOIN ({_BLEND.replace(_TC, _OWN)}) b USING (grid_id, row, col)"
+
+
+@query("agg_blend_all_cells", sq(_BLEND_ALL, KEY, "value"))
+def agg_blend_all_cells(spark, d):
+    """Tiles that differ where they overlap (less each tile's mean), blended over every cell; ``agg_blend_tiles`` has covered cells alone, as its SQL does."""
+    at = lambda c, n: F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 16), F.lit(12)), lambda s: (F.col(c) >= s) & (F.col(c) < s + 16)))
+    cells = fx.cells(spark, d, 50)
+    tiles = cells.withColumn("row0", at("row", 50)).withColumn("col0", at("col", 64))
+    means = tiles.groupBy("grid_id", "row0", "col0").agg(F.avg("value").alias("mean"))
+    tiles = tiles.join(means, ["grid_id", "row0", "col0"]).withColumn("value", F.col("value") - F.col("mean"))
+    tiles = tiles.withColumn("r", F.col("row") - F.col("row0")).withColumn("c", F.col("col") - F.col("col0"))
+    return rounded(g.blend_tiles(tiles, 16, 4, cells))
+
+
 _AUG = f"SELECT grid_id, variant, r::INT AS r, c::INT AS c, value FROM (SELECT grid_id, value, unnest([{{'variant': 'identity', 'r': row, 'c': col}}, {{'variant': 'flip_lr', 'r': row, 'c': 15 - col}}, {{'variant': 'flip_ud', 'r': 15 - row, 'c': col}}, {{'variant': 'rot90', 'r': 15 - col, 'c': row}}, {{'variant': 'rot180', 'r': 15 - row, 'c': 15 - col}}, {{'variant': 'rot270', 'r': col, 'c': 15 - row}}], recursive := true) FROM ({G}) WHERE row < 16 AND col < 16)"
 
 
