@@ -7,24 +7,29 @@ unlabelled rows that it is surest of, and the other view learns from them too.
 Each view is then calibrated on labelled rows held back from training, and one
 calibrated combination scores every document.
 
-Labels are a bounded sample, ``max_labelled`` rows with the smallest seeded
+Labels are a bounded sample, ``max_labelled`` ids with the smallest seeded
 hashes. Every other step covers every row and every whole text: all rows without
 a label are scored in each round, a share of them is exchanged, and the content
-view is fitted by Newton steps whose gradients and Hessians tasks sum up. The
-metadata view has few distinct rows; their counts are its data.
+view is fitted by Newton steps whose gradients and Hessians tasks sum up, of
+labelled rows too. The metadata view has few distinct rows; their counts are its
+data. The driver holds weights and such sums, and three numbers for each labelled
+row that calibrates; neither texts nor features reach it.
 
 Defined results: a null or empty text has zero features and is scored like any
-other; null lang or source is a value of its own; documents that repeat an id
-are each scored; labels that repeat an id count by their mean, null labels not
-at all. Without labels of both classes the score is 1 and every row is accepted;
+other, a very long one by its whole text; null lang or source is a value of its
+own; documents that repeat an id are each scored, and train as one of them;
+labels that repeat an id count by their mean, null labels not at all; ties of the
+score fall the same way. Without labels of both classes the score is 1 and every row is accepted;
 where too few labels leave one class to training or to calibration, all serve both.
-An empty table gives an empty result. Extra columns are ignored.
+An empty table gives an empty result. Extra columns are passed on by
+``with_quality``, but for those of the four names it adds.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -114,20 +119,23 @@ class Logistic:
     w: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25, n=1.0, more=None, start=None, close: float = 1e-6) -> Logistic:
-        """``n``: how often each row counts; ``more`` of weights: the sums of ``newton_sums`` over further rows."""
-        x = np.asarray(x, np.float64)
-        w = np.zeros(x.shape[1]) if start is None else start.copy()
+    def newton(cls, size: int, sums, penalty: float = 1.0, steps: int = 25, start=None, close: float = 1e-6) -> Logistic:
+        """``sums`` of weights: gradient and Hessian of the log loss over the rows."""
+        w = np.zeros(size) if start is None else start.copy()
         for _ in range(steps):
-            grad, hess = newton_sums(x, y, w, n)
-            if more is not None:
-                grad, hess = (a + b for a, b in zip((grad, hess), more(w), strict=True))
-            step = np.linalg.solve(hess + penalty * np.eye(len(w)), grad + penalty * w)
+            grad, hess = sums(w)
+            step = np.linalg.solve(hess + penalty * np.eye(size), grad + penalty * w)
             w -= step
             if np.abs(step).max() < close:
                 break
         return cls(w)
 
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, n=1.0) -> Logistic:
+        """Rows in memory; ``n``: how often each counts."""
+        x = np.asarray(x, np.float64)
+        return cls.newton(x.shape[1], lambda w: newton_sums(x, y, w, n), penalty)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.asarray(x, np.float64) @ self.w, -30, 30)
 
@@ -174,6 +182,9 @@ class Pool:
         self.taken: list[DataFrame] = []
         self.past: list[tuple] = []
 
+    def clear(self) -> None:
+        self.scratch.clear()
+
     def choose(self, models: list[Logistic], quotas: tuple[float, float]) -> int:
         """Each view takes the rows it is surest of, about ``quotas`` of class 0 and 1; the rows taken."""
         cuts: list[tuple] = []
@@ -248,102 +259,115 @@ class Pool:
 
         return self.rows.mapInArrow(take, "content array<float>, metadata array<int>, target int, y int")
 
-    def _all_taken(self) -> DataFrame:
-        out = self.taken[0]
-        for t in self.taken[1:]:
-            out = out.unionByName(t)
-        return out
+    def learnt(self, view: int) -> DataFrame | None:
+        """The rows that a view (0 content, 1 metadata) learns from so far."""
+        if not self.taken:
+            return None
+        return reduce(DataFrame.unionByName, self.taken).where(F.col("target") == view).select("content", "metadata", "y")
 
-    def content_sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``newton_sums`` of the content view over the rows it learns from."""
-        import pyarrow as pa
 
-        def packed(total):
-            return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+def content_sums(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``newton_sums`` of the content view over ``rows`` (content, y): summed in tasks, then in a few of them."""
+    import pyarrow as pa
+
+    def packed(total):
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        def part(batches):
-            total = np.zeros((len(w) + 1, len(w)))
-            for b in batches:
-                if b.num_rows:
-                    x = b.column("content").flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
-                    grad, hess = newton_sums(x, b.column("y").to_numpy(), w)
-                    total[0] += grad
-                    total[1:] += hess
-            yield packed(total)
-
-        def merge(batches):
-            total = np.zeros((len(w) + 1) * len(w))
-            for b in batches:
-                for v in b.column(0):
-                    total += np.frombuffer(v.as_py())
-            yield packed(total)
-
-        sums = self._all_taken().where("target = 0").select("content", "y").mapInArrow(part, "sums binary")
-        if sums.rdd.getNumPartitions() > 64:
-            sums = sums.repartition(16).mapInArrow(merge, "sums binary")
-        total = sum(np.frombuffer(r["sums"]).reshape(len(w) + 1, len(w)) for r in sums.collect())
-        return total[0], total[1:]
-
-    def metadata_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct rows the metadata view learns from, their labels and numbers."""
-        got = self._all_taken().where("target = 1").groupBy("metadata", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("metadata", "y").collect()
-        m = np.array([r["metadata"] for r in got], int).reshape(len(got), 4)
-        return dense_metadata(m), np.array([r["y"] for r in got], float), np.array([r["n"] for r in got], float)
-
-
-def co_train(c, m, y, pool: Pool, rounds: int = 4, grow: float = 0.05) -> CoTrained:
-    """Every fifth labelled row calibrates; the rest and the exchanged pseudo-labels train."""
-    hold = np.arange(len(y)) % 5 == 0
-    train = ~hold
-    if any(len(y[s]) == 0 or y[s].min() == y[s].max() for s in (hold, train)):
-        hold = train = np.ones(len(y), bool)
-    models = [Logistic.fit(x[train], y[train]) for x in (c, m)]
+    def part(batches):
+        total = np.zeros((len(w) + 1, len(w)))
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
+                grad, hess = newton_sums(x, b.column(1).to_numpy(), w)
+                total[0] += grad
+                total[1:] += hess
+        yield packed(total)
+
+    def merge(batches):
+        total = np.zeros((len(w) + 1) * len(w))
+        for b in batches:
+            for v in b.column(0):
+                total += np.frombuffer(v.as_py())
+        yield packed(total)
+
+    sums = rows.select("content", "y").mapInArrow(part, "sums binary")
+    if sums.rdd.getNumPartitions() > 64:
+        sums = sums.repartition(16).mapInArrow(merge, "sums binary")
+    total = sum(np.frombuffer(r["sums"]).reshape(len(w) + 1, len(w)) for r in sums.collect())
+    return total[0], total[1:]
+
+
+def fit_views(content: DataFrame, metadata: DataFrame, start: np.ndarray | None = None) -> list[Logistic]:
+    """Both views from their rows (content, metadata, y)."""
+    first = Logistic.newton(SHAPES + ENDINGS, lambda w: content_sums(content, w), start=start, close=1e-3)
+    got = metadata.groupBy("metadata", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("metadata", "y").collect()  # few distinct rows
+    m = dense_metadata(np.array([r["metadata"] for r in got], int).reshape(len(got), 4))
+    return [first, Logistic.fit(m, np.array([r["y"] for r in got], float), n=np.array([r["n"] for r in got], float))]
+
+
+def logits(rows: DataFrame, models: list[Logistic]) -> DataFrame:
+    """content, metadata (both views' logits) and y."""
+    import pyarrow as pa
+
+    def make(batches):
+        for b in batches:
+            if b.num_rows:
+                z = [pa.array(m.logit(x)) for m, x in zip(models, _views(b), strict=True)]
+                yield pa.RecordBatch.from_arrays([*z, b.column("y")], names=["content", "metadata", "y"])
+
+    return rows.select("content", "metadata", "y").mapInArrow(make, "content double, metadata double, y int")
+
+
+def co_train(labelled: DataFrame, pool: Pool, rounds: int = 4, grow: float = 0.05) -> CoTrained | None:
+    """``labelled``: content, metadata, y, hold. Rows to hold calibrate; the rest and the exchanged pseudo-labels train."""
+    n = {(r["hold"], r["y"]): r["n"] for r in labelled.groupBy("hold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if {y for _, y in n} != {0, 1}:
+        return None
+    apart = len(n) == 4
+    train, held = (labelled.where("not hold"), labelled.where("hold")) if apart else (labelled, labelled)
+    train = train.select("content", "metadata", "y")
+    good = sum(v for (_, y), v in n.items() if y) / sum(n.values())
+    models = fit_views(train, train)
     for _ in range(rounds if pool.size else 0):
         each = grow * pool.size
         # as many of each class as the labels have, so that the surer class does not take over
-        if not pool.choose(models, (each * (1 - y.mean()), each * y.mean())):
+        if not pool.choose(models, (each * (1 - good), each * good)):
             break
-        x, labels, n = pool.metadata_counts()
-        both = np.concatenate([np.ones(int(train.sum())), n])
-        models = [
-            Logistic.fit(c[train], y[train], more=pool.content_sums, start=models[0].w, close=1e-3),
-            Logistic.fit(np.concatenate([m[train], x]), np.concatenate([y[train], labels]), n=both),
-        ]
-    raw = [model.logit(view[hold]) for model, view in zip(models, (c, m), strict=True)]
-    ones = np.ones(int(hold.sum()))
-    calibrations = [Logistic.fit(np.stack([ones, z], 1), y[hold], 1e-3) for z in raw]
+        models = fit_views(*[train.unionByName(pool.learnt(v)) for v in (0, 1)], start=models[0].w)
+    rows = logits(held, models).collect()  # three numbers a row, of the labelled sample
+    raw, y = [np.array([r[v] for r in rows]) for v in ("content", "metadata")], np.array([r["y"] for r in rows], float)
+    ones = np.ones(len(y))
+    calibrations = [Logistic.fit(np.stack([ones, z], 1), y, 1e-3) for z in raw]
     both = [k.logit(np.stack([ones, z], 1)) for k, z in zip(calibrations, raw, strict=True)]
-    return CoTrained(*models, calibrations, Logistic.fit(np.stack([ones, *both], 1), y[hold], 1e-3))
+    return CoTrained(*models, calibrations, Logistic.fit(np.stack([ones, *both], 1), y, 1e-3))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, draw, most: int):
-    """Features of at most ``most`` rows of ``docs`` with these (at most ``most``) ids, in the order of ``draw``."""
-    found = docs.join(F.broadcast(ids), "doc_id").orderBy(draw).limit(most)
-    more = [c for c in ids.columns if c != "doc_id"]
-    got = feature_rows(found).withColumn("place", F.monotonically_increasing_id()).toPandas()
-    labels = {r["doc_id"]: r[more[0]] for r in ids.collect()} if more else {}
-    return got, np.array([labels[i] for i in got["doc_id"]], float) if more else None
+def labelled_rows(rows: DataFrame, known: DataFrame, seed: int, most: int, scratch: Scratch) -> DataFrame:
+    """content, metadata, y, hold of the ids of ``known`` (doc_id, label) with the ``most`` smallest hashes; every fifth or so is to hold."""
+    draw = F.xxhash64(F.lit(seed), "doc_id")
+    there = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = scratch.keep(there.orderBy(draw, "doc_id").limit(most), "ids")  # at most so many rows of two numbers
+    found = feature_rows(rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"))
+    once = found.groupBy("doc_id").agg(F.min(F.struct("content", "metadata")).alias("view"))
+    hold = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0
+    once = once.join(F.broadcast(ids), "doc_id").select("view.content", "view.metadata", F.col("label").alias("y"), hold.alias("hold"))
+    return scratch.keep(once.coalesce(4), "labelled")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, sure: float = 0.9, seed: int = 5) -> CoTrained | None:
     """Both classifiers from a bounded sample of labels and all rows without one; None without labels of both classes."""
+    scratch = Scratch(docs.sparkSession, "labelled")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    draw = F.xxhash64(F.lit(seed), "doc_id")
-    there = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    ids = there.orderBy(draw, "doc_id").limit(max_labelled)
-    labelled, y = _sample(rows, ids, draw, max_labelled)
-    if not len(y) or y.min() == y.max():
+    labelled = labelled_rows(rows, known, seed, max_labelled, scratch)
+    if labelled.agg(F.count_distinct("y").alias("n")).first()["n"] < 2:
         return None
     pool = Pool(rows.join(known, "doc_id", "left_anti"), seed, sure)
-
-    def arrays(frame):
-        c = np.stack(frame["content"].to_numpy()) if len(frame) else np.empty((0, SHAPES + ENDINGS), np.float32)
-        m = np.stack(frame["metadata"].to_numpy()) if len(frame) else np.empty((0, 4), int)
-        return c, dense_metadata(m)
-
-    return co_train(*arrays(labelled), y, pool)
+    model = co_train(labelled, pool)
+    pool.clear()
+    scratch.clear()
+    return model
 
 
 def with_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:

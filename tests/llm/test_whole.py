@@ -25,8 +25,8 @@ def test_quality_exchanges_all_unlabelled_rows(spark):
     rows = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     pool = cotrain.Pool(rows, 5, 0.9)
     assert pool.size == 15_000
-    c, m = (np.stack(x) for x in zip(*[(cotrain.content_features(t), cotrain.dense_metadata(np.array([cotrain.metadata_indices("en", f"s{i % 2}", len(t))]))[0]) for i, t in enumerate(texts[:200])], strict=True))
-    cotrain.co_train(c, m, np.arange(200) % 2.0, pool, rounds=2, grow=0.2)
+    labelled = cotrain.feature_rows(rows.where("doc_id < 200")).withColumns({"y": (F.col("doc_id") % 2).cast("int"), "hold": F.floor(F.col("doc_id") / 2) % 5 == 0})
+    cotrain.co_train(labelled, pool, rounds=2, grow=0.2)
     # two rounds and views, a fifth of all rows each, in whole places; a sample of 12,000 rows has no more than 9,600
     assert 11_000 < sum(t.count() for t in pool.taken) <= 15_000
     y = np.concatenate([np.array(t.select("y").collect()).ravel() for t in pool.taken])
