@@ -4,12 +4,14 @@ Every candidate span gets three votes: a *regex* labeler (a stricter shape), a
 *gazetteer* labeler (known domains, issuers, calling codes, reserved ranges) and
 a *context* labeler (a cue word in front). A labeler may abstain. Expectation
 maximisation over the counts of all vote patterns estimates each labeler's
-reliability without labels; the posteriors then train a naive Bayes span
-classifier on votes, digit count and length, which decides on the looser
-candidates. Spans of the four base kinds always stay.
+reliability for each kind without labels; the posteriors then train a naive Bayes
+span classifier on the votes and on features no labeler sees (digit count, length,
+separators, what stands in front), which decides on the looser candidates. Spans
+of the four base kinds always stay.
 
-Only the counts of vote patterns (kinds x votes x small buckets: a fixed number,
-whatever the input) reach the driver; candidates never leave their rows.
+Only the counts of patterns (kinds x votes x small buckets: a fixed number,
+whatever the input) reach the driver; candidates never leave their rows. Very
+long texts are scanned whole; a text of many spans costs in proportion to them.
 
 Defined results: a null text counts as empty and has no spans; a null or
 repeated id is carried through; an empty table gives an empty result; extra
@@ -31,9 +33,10 @@ from .spans import find_spans, listing
 
 KINDS = ["email", "ip", "card", "phone"]
 
-#: The base patterns. Look-behinds and possessive repeats only keep long runs linear:
+#: The base patterns. Look-behinds and possessive repeats only keep long runs linear, and
+#: groups of any number of repeats free of recursion: what is repeated and what ends it share no character.
 #: a match can start inside a run of its own first characters only right after the match before it.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -64,7 +67,7 @@ class Labels:
 
     def regex(self, hit: Column) -> Column:
         shape = {
-            "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,24}$",
+            "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}$",
             "ip": r"^(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$",
             "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
             "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20.-]?[0-9]{2,5}){1,5}$",
@@ -132,9 +135,12 @@ def _with_votes(spans: Column, kind: str, base: bool) -> Column:
         votes = [lab.regex(s["hit"]), lab.gazetteer(s["hit"]), lab.context(s["before"])]
         digits = F.least(F.floor(F.char_length(lab.digits(s["hit"])) / 2), F.lit(10))
         length = F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(5))
-        feature = F.concat_ws(
-            "|", F.lit(kind), *[F.coalesce(v.cast("string"), F.lit("-")) for v in votes], digits.cast("string"), length.cast("string")
-        )
+        gaps = F.least(F.char_length(F.regexp_replace(s["hit"], "[A-Za-z0-9]", "")), F.lit(6))
+        last = F.right(s["before"], F.lit(1))
+        front = F.when(last == "", "start").when(last == " ", "space").when(last.rlike("[0-9]"), "digit").when(last.rlike("[A-Za-z]"), "letter")
+        front = front.when(last.rlike(r"\s"), "line").otherwise("mark")
+        own = [digits.cast("string"), length.cast("string"), gaps.cast("string"), front]
+        feature = F.concat_ws("|", F.lit(kind), *[F.coalesce(v.cast("string"), F.lit("-")) for v in votes], *own)
         return F.struct(
             s["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("kind"),
@@ -146,60 +152,59 @@ def _with_votes(spans: Column, kind: str, base: bool) -> Column:
     return F.coalesce(F.transform(spans, one), none)
 
 
-def estimate(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], list[dict[str, float]]]:
-    """EM over feature counts: each feature's posterior of being personal data, and the labelers' reliabilities.
+def estimate(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], dict[str, list[dict[str, float]]]]:
+    """EM over feature counts: each feature's posterior of being personal data, and the labelers' reliabilities by kind.
 
     The labelers are taken as independent given the truth; an abstention says
     nothing. Labelers start as mostly right, which fixes what the classes mean.
     """
-    rows = [(f, f.split("|"), n) for f, n in counts.items()]
-    good = [{"1": 0.8, "0": 0.2} for _ in range(3)]
-    bad = [{"1": 0.3, "0": 0.7} for _ in range(3)]
-    prior, post = 0.5, {}
-    for _ in range(rounds):
-        sums = [[defaultdict(float), defaultdict(float)] for _ in range(3)]
-        mass = total = 0.0
-        for f, parts, n in rows:
-            a, b = math.log(prior), math.log(1 - prior)
-            for k, v in enumerate(parts[1:4]):
-                if v != "-":
-                    a, b = a + math.log(good[k][v]), b + math.log(bad[k][v])
-            p = post[f] = 1 / (1 + math.exp(max(-60.0, min(60.0, b - a))))
-            mass, total = mass + n * p, total + n
-            for k, v in enumerate(parts[1:4]):
-                if v != "-":
-                    sums[k][0][v] += n * p
-                    sums[k][1][v] += n * (1 - p)
-        prior = min(0.99, max(0.01, (mass + 1) / (total + 2)))
-        for k in range(3):
-            for table, seen in ((good[k], sums[k][0]), (bad[k], sums[k][1])):
-                both = seen["0"] + seen["1"] + 2
-                table.update({v: (seen[v] + 1) / both for v in ("0", "1")})
-    return post, [{"sensitivity": good[k]["1"], "false_alarms": bad[k]["1"]} for k in range(3)]
+    post, reliabilities = {}, {}
+    for kind in {f.split("|", 1)[0] for f in counts}:
+        rows = [(f, f.split("|")[1:4], n) for f, n in counts.items() if f.startswith(kind + "|")]
+        good = [{"1": 0.8, "0": 0.2} for _ in range(3)]
+        bad = [{"1": 0.3, "0": 0.7} for _ in range(3)]
+        prior = 0.5
+        for _ in range(rounds):
+            sums = [[defaultdict(float), defaultdict(float)] for _ in range(3)]
+            mass = total = 0.0
+            for f, votes, n in rows:
+                a, b = math.log(prior), math.log(1 - prior)
+                for k, v in enumerate(votes):
+                    if v != "-":
+                        a, b = a + math.log(good[k][v]), b + math.log(bad[k][v])
+                p = post[f] = 1 / (1 + math.exp(max(-60.0, min(60.0, b - a))))
+                mass, total = mass + n * p, total + n
+                for k, v in enumerate(votes):
+                    if v != "-":
+                        sums[k][0][v] += n * p
+                        sums[k][1][v] += n * (1 - p)
+            prior = min(0.99, max(0.01, (mass + 1) / (total + 2)))
+            for k in range(3):
+                for table, seen in ((good[k], sums[k][0]), (bad[k], sums[k][1])):
+                    both = seen["0"] + seen["1"] + 2
+                    table.update({v: (seen[v] + 1) / both for v in ("0", "1")})
+        reliabilities[kind] = [{"sensitivity": good[k]["1"], "false_alarms": bad[k]["1"]} for k in range(3)]
+    return post, reliabilities
 
 
 def train_classifier(counts: dict[str, int], posterior: dict[str, float]) -> dict[str, float]:
-    """Naive Bayes on the posteriors: the log-odds of each feature string."""
-    names = ["kind", "regex", "gazetteer", "context", "digits", "length"]
+    """Naive Bayes by kind on the posteriors: the log-odds of each feature string."""
     sums: dict[tuple, list[float]] = defaultdict(lambda: [1.0, 1.0])
-    whole = [1.0, 1.0]
+    whole: dict[str, list[float]] = defaultdict(lambda: [1.0, 1.0])
     for f, n in counts.items():
         p = posterior[f]
-        whole[0] += n * p
-        whole[1] += n * (1 - p)
         kind, *rest = f.split("|")
-        for name, v in zip(names[1:], rest, strict=True):
-            cell = sums[kind if name in ("digits", "length") else "", name, v]
+        for cell in (whole[kind], *[sums[kind, place, v] for place, v in enumerate(rest)]):
             cell[0] += n * p
             cell[1] += n * (1 - p)
 
     def odds(f: str) -> float:
         kind, *rest = f.split("|")
-        out = math.log(whole[0] / whole[1])
-        for name, v in zip(names[1:], rest, strict=True):
+        out = math.log(whole[kind][0] / whole[kind][1])
+        for place, v in enumerate(rest):
             if v != "-":
-                a, b = sums[kind if name in ("digits", "length") else "", name, v]
-                out += math.log(a / whole[0]) - math.log(b / whole[1])
+                a, b = sums[kind, place, v]
+                out += math.log(a / whole[kind][0]) - math.log(b / whole[kind][1])
         return out
 
     return {f: odds(f) for f in counts}
@@ -215,12 +220,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         docs.select(F.col(id_col), F.col(text_col).alias("text")).select(id_col, F.concat(*parts).alias("spans")), "candidates"
     )
     features = rows.select(F.explode("spans").alias("s")).groupBy(F.col("s.feature").alias("feature")).count()
-    counts = {r["feature"]: r["count"] for r in features.collect()}  # a fixed number of vote patterns at most
+    counts = {r["feature"]: r["count"] for r in features.collect()}  # a fixed number of patterns at most
     posterior, _ = estimate(counts)
     accepted = [f for f, o in train_classifier(counts, posterior).items() if o >= math.log(least / (1 - least))]
-    clash = lambda s: F.exists("spans", lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    good = F.filter("spans", lambda s: s["base"] | (s["feature"].isin(accepted) & ~clash(s)))
-    return rows.select(id_col, good.alias("spans"))
+    likely = F.filter("spans", lambda s: ~s["base"] & s["feature"].isin(accepted))
+    rows = rows.select(id_col, F.filter("spans", lambda s: s["base"]).alias("spans"), likely.alias("likely"))
+    clash = lambda s: F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return rows.select(id_col, F.concat("spans", F.filter("likely", lambda s: ~clash(s))).alias("spans"))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ def find_spans(text: Column, pattern: str, context: int = 24) -> Column:
     ``before`` has up to ``context`` characters in front of the match, back to
     the previous match at most. No match, or a null text: an empty array.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
+    # both are evaluated once: inside a lambda they would be again for every match
+    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    zipped = F.filter(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc, x):
@@ -34,7 +35,6 @@ def find_spans(text: Column, pattern: str, context: int = 24) -> Column:
         out = F.concat(F.coalesce(acc["out"], F.array().cast(f"array<{SPAN}>")), F.array(span))
         return F.struct(end.cast("long").alias("at"), out.alias("out"))
 
-    zipped = F.transform(hits, lambda h, i: F.struct(F.get(pieces, i).alias("piece"), h.alias("hit")))
     found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
     return F.coalesce(F.when(text.rlike(pattern), found), F.array().cast(f"array<{SPAN}>"))
 
