@@ -13,12 +13,14 @@ An Elias-Fano sequence of ``n`` values below ``u`` takes about
 positions of ones, so no table of 64-bit offsets exists on disk or in memory.
 
 Defined results: a null text counts as empty and has the end id alone; rows
-with a null id come first, repeated ids follow each other ordered by text; an
-empty table gives no shard and an empty result. Extra columns are ignored.
+with a null id come first, repeated ids follow each other ordered by text; a very
+long text is coded whole, in one piece; an empty table gives no shard and an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -97,79 +99,130 @@ class EliasFano:
         return cls(n, bits, low, np.frombuffer(data, "<u8", words, 24 + 8 * lows))
 
 
+#: Characters by which a text's pieces can't be told here: those past Latin Extended-A, the dotted capital I, white space
+#: other than the usual six, and the start of a special token's string. (For RE2.)
+_HARD = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{17f}]|<\|"
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
+#: The tokenizer's own pieces, for such characters in lower case; and a line's end.
+_PIECE = re.compile(f"\n|'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+
+
+def _gathered(table: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``table`` (run k has ``sizes[k]`` items) in the order of ``which``, end to end; and where each ends."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    starts = (np.cumsum(sizes) - sizes)[which]
+    return table[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class WordCoder:
-    """Ids of whole texts from ids of their words.
-
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in order. The first ``most`` distinct words are kept with
-    their ids as bytes. New words of letters, with a mark after them or not, are
-    encoded many at a time: each run of letters or marks ends in one token that
-    has the end-of-word suffix, which tells where a word's ids end. If the counts
-    don't agree, and for all other words, each is encoded alone.
+    """Ids of whole texts from ids of their distinct words, and those from ids of distinct pieces.
+
+    The tokenizer lowers case, drops white space and cuts words into pieces
+    (letters, a number, marks) that it codes each by itself. New pieces are coded
+    many at a time: each ends in one token that has the end-of-word suffix, which
+    tells where its ids end; if the counts don't agree, each is coded alone. Texts
+    with characters that might be cut in another way are coded as they are.
+
+    Pieces are kept with their ids as bytes: those of the last ``most`` met or so.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 200_000, suffix: str = "</w>"):
+    def __init__(self, path: str, dtype: str, most: int = 400_000, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.coder, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
+        self.coder, self.dtype, self.most = Tokenizer.from_file(path), np.dtype(dtype), most
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _alone(self, words: list[str]) -> list[bytes]:
-        coded = self.coder.encode_batch_fast(words, add_special_tokens=False)
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        coded = self.coder.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in coded]
 
-    def _together(self, words: list[str], runs: list[int]) -> list[bytes]:
+    def _together(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(words), 1000):
-            part, ends = words[i : i + 1000], np.cumsum(runs[i : i + 1000])
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
             ids = np.array(self.coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             marks = np.flatnonzero(self.last[ids])
-            if len(marks) != ends[-1]:
+            if len(marks) != len(part):
                 out += self._alone(part)
                 continue
             data, width, at = ids.tobytes(), ids.itemsize, 0
-            for end in ((marks[ends - 1] + 1) * width).tolist():
+            for end in ((marks + 1) * width).tolist():
                 out.append(data[at:end])
                 at = end
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        plain, runs, keys, odd = [], [], [], []
-        for key in {w for words in split for w in words if w not in self.known}:
-            w = key.decode()
-            low = w.lower()
-            if low.isalpha():
-                n = 1
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                n = 2
-            else:
-                odd.append(key)
-                continue
-            plain.append(w)
-            runs.append(n)
-            keys.append(key)
-        new = dict(zip(odd, self._alone([k.decode() for k in odd]), strict=True)) if odd else {}
-        new.update(zip(keys, self._together(plain, runs), strict=True))
-        if len(self.known) < self.most:
-            self.known.update(new)
-        known = self.known
-        get = lambda w: known[w] if w in known else new[w]
-        return [b"".join(map(get, words)) for words in split]
-
-    def stream(self, column, size: int = 1 << 20):
-        """Ids of each text of an Arrow column; about ``size`` characters at a time."""
-        held, n = [], 0
-        for t in column:
-            held.append(t.as_py())
-            n += len(held[-1] or "")
-            if n >= size:
-                yield from self.encode(held)
-                held, n = [], 0
-        yield from self.encode(held)
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. What ``now`` lacks may still be in ``before``, from where it comes back."""
+        now, before = self.now, self.before
+        new = []
+        for p in pieces:
+            if p not in now:
+                if p in before:
+                    now[p] = before[p]
+                else:
+                    new.append(p)
+        now.update(zip(new, self._together(new), strict=True))
+        out = [now[p] for p in pieces]
+        if len(now) > self.most // 2:
+            self.before, self.now = now, {}
+        return out
+
+    def _plain(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without hard characters, and where each text ends."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        words = split.flatten().dictionary_encode()
+        cut = pa.array(_PIECE.findall("\n".join([*words.dictionary.to_pylist(), ""])), pa.string()).dictionary_encode()
+        pieces = cut.dictionary.to_pylist()
+        end = pieces.index("\n") if "\n" in pieces else -1
+        coded = self._coded(pieces[:end] + pieces[end + 1 :] if end >= 0 else pieces)
+        if end >= 0:
+            coded.insert(end, b"")
+        width = self.dtype.itemsize
+        sizes = np.array([len(c) // width for c in coded], np.int64)
+        which = cut.indices.to_numpy()
+        table, ends = _gathered(np.frombuffer(b"".join(coded), self.dtype), sizes, which)
+        ends = ends[which == end]  # of words
+        ids, ends = _gathered(table, np.diff(ends, prepend=0), words.indices.to_numpy())
+        return ids, np.concatenate([[0], ends])[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow column of texts, end to end, and how many each text has; null counts as empty."""
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, _HARD).to_numpy(zero_copy_only=False)
+        if not hard.any():
+            ids, ends = self._plain(texts)
+            return ids, np.diff(ends, prepend=0)
+        counts, parts = np.zeros(len(texts), np.int64), [np.empty(0, self.dtype)] * 2
+        if not hard.all():
+            parts[0], ends = self._plain(texts.filter(pc.invert(pc.match_substring_regex(texts, _HARD))))
+            counts[~hard] = np.diff(ends, prepend=0)
+        coded = self._alone(texts.filter(pc.match_substring_regex(texts, _HARD)).to_pylist())
+        parts[1] = np.frombuffer(b"".join(coded), self.dtype)
+        counts[hard] = [len(c) // self.dtype.itemsize for c in coded]
+        ids, own = np.empty(counts.sum(), self.dtype), np.repeat(hard, counts)
+        ids[~own], ids[own] = parts
+        return ids, counts
+
+    def stream(self, column, size: int = 8 << 20):
+        """``encode`` of slices of about ``size`` bytes of texts."""
+        import pyarrow.compute as pc
+
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+            yield self.encode(column.slice(at, end - at))
+            at = end
 
 
 _CODERS: dict[tuple[str, str], WordCoder] = {}
@@ -197,7 +250,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if first is None:
             return
         coder = word_coder(tokenizer or default_tokenizer(), dtype)
-        end = np.array([end_id], dtype).tobytes()
+        end = np.array(end_id, dtype)
         shard = TaskContext.get().partitionId()
         path, ids, ends, nulls, total = f"{folder}/shard-{shard:06d}.eft", [], [], 0, 0
         with written(path) as out:
@@ -205,20 +258,21 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 keys = batch.column(0)
                 nulls += keys.null_count
                 ids.append(keys.drop_null().to_numpy(zero_copy_only=False))
-                for data in coder.stream(batch.column(1)):
-                    out.write(data + end)
-                    total += (len(data) + len(end)) // len(end)
-                    ends.append(total)
-            keys = np.concatenate(ids)
+                for flat, counts in coder.stream(batch.column(1)):
+                    out.write(np.insert(flat, np.cumsum(counts), end).tobytes())
+                    ends.append(total + np.cumsum(counts + 1))
+                    total = int(ends[-1][-1])
+            keys, ends = np.concatenate(ids), np.concatenate(ends)
             least = int(keys[0]) if len(keys) else 0
-            b_ends = EliasFano.encode(np.array(ends, np.uint64)).to_bytes()
+            b_ends = EliasFano.encode(ends.astype(np.uint64)).to_bytes()
             b_keys = EliasFano.encode((keys - least).astype(np.uint64)).to_bytes()
             out.write(b_ends + b_keys)
-            out.write(struct.pack(_FOOT, MAGIC, len(end), total, len(ends), nulls, len(b_ends), len(b_keys), least, 0))
+            out.write(struct.pack(_FOOT, MAGIC, end.itemsize, total, len(ends), nulls, len(b_ends), len(b_keys), least, 0))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(ends)], "n_tokens": [total]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
+    # the head of the text splits what repeats an id, or has none
+    return rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
 
 
 def _chain(first, rest):

@@ -246,6 +246,22 @@ def test_token_shards(docs, none):
     assert tokenbin.token_output(none).count() == 0
 
 
+def test_word_coder_equals_the_tokenizer():
+    """Case, marks, contractions, numbers, characters it can't cut itself, special tokens; all in one column and again from what it kept."""
+    import pyarrow as pa
+
+    odd = ["It's  DON'T we'LL 12½ x²y Ünï ﬁ ŉa İx \x1c á Á K <|endoftext|> e´´ 😀 ΣΑΣ ...'s '' ' d'd", "", None, " a ", "naïve ß ÿ×÷ ²³¹", "a b\u0085c"]
+    odd += ["'tis 'TWAS rock'n'roll ''s", "ſt Ŀa ŀ Ǆ", "H\u0331 o\u0301", "\t\n", "x_y-z__ 3.14e-5 $$$%%", *TEXTS]
+    coder = tokenbin.WordCoder(tokenbin.default_tokenizer(), "<u2", most=40)
+    want = [e.ids for e in coder.coder.encode_batch_fast([t or "" for t in odd], add_special_tokens=False)]
+    for size in (1 << 20, 50):
+        got = []
+        for ids, counts in coder.stream(pa.array(odd), size):
+            ends = np.cumsum(counts)
+            got += [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)]
+        assert got == want
+
+
 @pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (5, 3), (1000, 100_000), (777, 50), (3000, 10**12)])
 def test_elias_fano(n, top):
     values = np.sort(np.random.default_rng(n).integers(0, top, n)).astype(np.uint64)
