@@ -2,7 +2,11 @@
 
 Every stage is a function of (spark, docs, sf_dir). All but the last return the
 columns of ``documents``; each is written and read again before the next starts.
-Ids name documents: rows that repeat an id stay or go together.
+Ids name documents: rows that repeat an id stay or go together. Columns beside
+those of ``documents`` are dropped at once, whatever their names. A null text is
+an empty one: it is scored, links with nothing, holds no item, has no words to
+mix (so it goes there) and codes as the end id alone. Very long texts are worked
+on whole. Ties go to the smallest id. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    docs = docs.select(COLUMNS)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return with_quality(docs, model).where("accepted").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of the n-gram join."""
+    docs = docs.select(COLUMNS)
     kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
@@ -35,11 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    docs = docs.select(COLUMNS)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, by target weights, once each; a text that a budget cuts ends there."""
+    docs = docs.select(COLUMNS)
     chosen = mix(docs, share_num=9, share_den=10, max_epochs=1, seed=20, weights=WEIGHTS)
     chosen = chosen.groupBy(F.col("doc_id").alias("chosen_id")).agg(F.max("taken").alias("taken"), F.max("n_tokens").alias("whole"))
     found = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")))
@@ -63,7 +71,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Neither the classifier nor the tokenizer can be stated in SQL; tests hold the run against a brute-force version.
+#: Neither the classifier nor the tokenizer can be stated in SQL; tests hold each stage and the run against brute force,
+#: the classifier's against its own model applied row by row.
 ORACLE_SQL = None
 
 
