@@ -106,10 +106,15 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, content array<float>, metadata array<int>")
 
 
-def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, n=1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and Hessian of the log loss at ``w``."""
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return x.T @ ((p - y) * n), (x * ((p * (1 - p) + 1e-6) * n)[:, None]).T @ x
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, n=1.0) -> np.ndarray:
+    """Rows: the gradient, and the Hessian, of the log loss at ``w``; the loss itself is the last item of one more row."""
+    z = np.clip(x @ w, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    out = np.zeros((len(w) + 2, len(w)))
+    out[0] = x.T @ ((p - y) * n)
+    out[1:-1] = (x * ((p * (1 - p) + 1e-6) * n)[:, None]).T @ x
+    out[-1, -1] = np.sum((np.logaddexp(0, z) - y * z) * n)
+    return out
 
 
 @dataclass
@@ -120,13 +125,20 @@ class Logistic:
 
     @classmethod
     def newton(cls, size: int, sums, penalty: float = 1.0, steps: int = 25, start=None, close: float = 1e-6) -> Logistic:
-        """``sums`` of weights: gradient and Hessian of the log loss over the rows."""
+        """``sums`` of weights: what ``newton_sums`` gives over the rows. A step that raises the loss is halved."""
         w = np.zeros(size) if start is None else start.copy()
+        step, best, scale = np.zeros(size), np.inf, 1.0
         for _ in range(steps):
-            grad, hess = sums(w)
-            step = np.linalg.solve(hess + penalty * np.eye(size), grad + penalty * w)
-            w -= step
-            if np.abs(step).max() < close:
+            total = sums(w)
+            loss = total[-1, -1] + penalty / 2 * (w @ w)
+            if loss > best + 1e-9 * abs(best):
+                scale /= 2
+                w = w + scale * step  # half way back
+            else:
+                best, scale = loss, 1.0
+                step = np.linalg.solve(total[1:-1] + penalty * np.eye(size), total[0] + penalty * w)
+                w = w - step
+            if scale * np.abs(step).max() < close:
                 break
         return cls(w)
 
@@ -174,10 +186,11 @@ def _places(z: np.ndarray, spread: np.ndarray) -> np.ndarray:
 class Pool:
     """All rows without a label: which of them the views label, and sums over those."""
 
-    def __init__(self, rows: DataFrame, seed: int, sure: float):
-        self.scratch = Scratch(rows.sparkSession, "co-training")
+    def __init__(self, features: DataFrame, seed: int, sure: float):
+        """``features``: doc_id, content, metadata."""
+        self.scratch = Scratch(features.sparkSession, "co-training")
         spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_SPREAD))
-        self.rows = self.scratch.keep(feature_rows(rows).select("content", "metadata", spread.alias("spread")), "pool")
+        self.rows = self.scratch.keep(features.select("content", "metadata", spread.alias("spread")), "pool")
         self.size, self.least = self.rows.count(), math.log(sure / (1 - sure))
         self.taken: list[DataFrame] = []
         self.past: list[tuple] = []
@@ -266,35 +279,34 @@ class Pool:
         return reduce(DataFrame.unionByName, self.taken).where(F.col("target") == view).select("content", "metadata", "y")
 
 
-def content_sums(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def content_sums(rows: DataFrame, w: np.ndarray) -> np.ndarray:
     """``newton_sums`` of the content view over ``rows`` (content, y): summed in tasks, then in a few of them."""
     import pyarrow as pa
 
+    shape = (len(w) + 2, len(w))
+
     def packed(total):
         return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     def part(batches):
-        total = np.zeros((len(w) + 1, len(w)))
+        total = np.zeros(shape)
         for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
-                grad, hess = newton_sums(x, b.column(1).to_numpy(), w)
-                total[0] += grad
-                total[1:] += hess
+            for at in range(0, b.num_rows, 2000):
+                x, y = (b.column(i).slice(at, 2000) for i in (0, 1))
+                total += newton_sums(x.flatten().to_numpy().reshape(len(y), -1).astype(np.float64), y.to_numpy(), w)
         yield packed(total)
 
     def merge(batches):
-        total = np.zeros((len(w) + 1) * len(w))
+        total = np.zeros(shape)
         for b in batches:
             for v in b.column(0):
-                total += np.frombuffer(v.as_py())
+                total += np.frombuffer(v.as_py()).reshape(shape)
         yield packed(total)
 
     sums = rows.select("content", "y").mapInArrow(part, "sums binary")
     if sums.rdd.getNumPartitions() > 64:
         sums = sums.repartition(16).mapInArrow(merge, "sums binary")
-    total = sum(np.frombuffer(r["sums"]).reshape(len(w) + 1, len(w)) for r in sums.collect())
-    return total[0], total[1:]
+    return sum(np.frombuffer(r["sums"]).reshape(shape) for r in sums.collect())
 
 
 def fit_views(content: DataFrame, metadata: DataFrame, start: np.ndarray | None = None) -> list[Logistic]:
@@ -339,15 +351,15 @@ def co_train(labelled: DataFrame, pool: Pool, rounds: int = 4, grow: float = 0.0
     ones = np.ones(len(y))
     calibrations = [Logistic.fit(np.stack([ones, z], 1), y, 1e-3) for z in raw]
     both = [k.logit(np.stack([ones, z], 1)) for k, z in zip(calibrations, raw, strict=True)]
-    return CoTrained(*models, calibrations, Logistic.fit(np.stack([ones, *both], 1), y, 1e-3))
+    return CoTrained(*models, calibrations, Logistic.fit(np.stack([ones, *both], 1), y))
 
 
-def labelled_rows(rows: DataFrame, known: DataFrame, seed: int, most: int, scratch: Scratch) -> DataFrame:
+def labelled_rows(features: DataFrame, known: DataFrame, seed: int, most: int, scratch: Scratch) -> DataFrame:
     """content, metadata, y, hold of the ids of ``known`` (doc_id, label) with the ``most`` smallest hashes; every fifth or so is to hold."""
     draw = F.xxhash64(F.lit(seed), "doc_id")
-    there = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    there = known.join(features.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = scratch.keep(there.orderBy(draw, "doc_id").limit(most), "ids")  # at most so many rows of two numbers
-    found = feature_rows(rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"))
+    found = features.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
     once = found.groupBy("doc_id").agg(F.min(F.struct("content", "metadata")).alias("view"))
     hold = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0
     once = once.join(F.broadcast(ids), "doc_id").select("view.content", "view.metadata", F.col("label").alias("y"), hold.alias("hold"))
@@ -356,14 +368,15 @@ def labelled_rows(rows: DataFrame, known: DataFrame, seed: int, most: int, scrat
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, sure: float = 0.9, seed: int = 5) -> CoTrained | None:
     """Both classifiers from a bounded sample of labels and all rows without one; None without labels of both classes."""
-    scratch = Scratch(docs.sparkSession, "labelled")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    scratch = Scratch(docs.sparkSession, "quality")
+    features = scratch.keep(feature_rows(docs), "features")
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    labelled = labelled_rows(rows, known, seed, max_labelled, scratch)
+    labelled = labelled_rows(features, known, seed, max_labelled, scratch)
     if labelled.agg(F.count_distinct("y").alias("n")).first()["n"] < 2:
         return None
-    pool = Pool(rows.join(known, "doc_id", "left_anti"), seed, sure)
+    pool = Pool(features.join(known, "doc_id", "left_anti"), seed, sure)
+    scratch.drop("features")
     model = co_train(labelled, pool)
     pool.clear()
     scratch.clear()

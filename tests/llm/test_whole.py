@@ -23,7 +23,7 @@ def test_quality_exchanges_all_unlabelled_rows(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(("w" if i % 2 else "7") * int(n) for n in rng.integers(2, 9, 30)) for i in range(15_000)]  # both views tell the classes
     rows = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    pool = cotrain.Pool(rows, 5, 0.9)
+    pool = cotrain.Pool(cotrain.feature_rows(rows), 5, 0.9)
     assert pool.size == 15_000
     labelled = cotrain.feature_rows(rows.where("doc_id < 200")).withColumns({"y": (F.col("doc_id") % 2).cast("int"), "hold": F.floor(F.col("doc_id") / 2) % 5 == 0})
     cotrain.co_train(labelled, pool, rounds=2, grow=0.2)
