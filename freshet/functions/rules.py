@@ -80,7 +80,13 @@ def overall_grade(points: Column) -> Column:
 
 def duration_label(minutes: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in DURATIONS.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, minutes), F.concat(minutes.cast("string"), F.lit("-min")))
+    return F.coalesce(F.try_element_at(known, minutes.cast("int")), F.concat(minutes.cast("string"), F.lit("-min")))
+
+
+def duration_minutes(label: Column) -> Column:
+    """The minutes of a label; null for one that is none."""
+    known = F.create_map(*[F.lit(x) for k, v in DURATIONS.items() for x in (v, k)])
+    return F.coalesce(F.try_element_at(known, label).cast("long"), F.regexp_extract(label, "^([0-9]+)-min$", 1).try_cast("long"))
 
 
 def sanitize(text: Column) -> Column:

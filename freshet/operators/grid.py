@@ -20,6 +20,11 @@ def _col():
     return Window.partitionBy("grid_id", "col").orderBy("row")
 
 
+def _at(value: str, w, step: int) -> Column:
+    """The value so many cells on along a window; null where that cell is missing, whatever lies beyond it."""
+    return F.first_value(value).over(w.rangeBetween(step, step))
+
+
 #: D8 codes by (row, col) step, in the order in which the first steepest wins.
 D8 = {(-1, -1): 32, (-1, 0): 64, (-1, 1): 128, (0, -1): 16, (0, 1): 1, (1, -1): 8, (1, 0): 4, (1, 1): 2}
 
@@ -28,7 +33,7 @@ def gradient(cells: DataFrame, size: float = 1.0, value: str = "value", names: t
     """Add column and row derivatives: central inside, one-sided at edges."""
 
     def along(w) -> Column:
-        before, after = F.lag(value).over(w), F.lead(value).over(w)
+        before, after = _at(value, w, -1), _at(value, w, 1)
         inside = (after - before) / (2 * size)
         return F.coalesce(inside, (after - F.col(value)) / size, (F.col(value) - before) / size, F.lit(0.0))
 
@@ -66,8 +71,8 @@ def curvature(cells: DataFrame, size: float = 1.0, sigma: float = 0.0) -> DataFr
 
 def with_reflection(cells: DataFrame, k: int) -> DataFrame:
     """The cells and ``k`` mirrored rows and columns around each grid; the edge cell repeats."""
-    ends = Window.partitionBy("grid_id")
-    x = cells.withColumn("rows", F.max("row").over(ends) + 1).withColumn("cols", F.max("col").over(ends) + 1)
+    ends = cells.groupBy("grid_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    x = cells.join(ends, "grid_id")
 
     def mirrored(df, at: str, n: str):
         low = F.when(F.col(at) < k, -1 - F.col(at))
@@ -97,23 +102,25 @@ def focal(cells: DataFrame, k: int, border: str = "null", value: str = "value")
 
 
 def gaussian(cells: DataFrame, sigma: float, value: str = "value") -> DataFrame:
-    """Gaussian smoothing, cut at 4 sigma, mirrored at borders: two passes of weighted neighbours."""
+    """Gaussian smoothing, cut at 4 sigma, mirrored at borders: two passes of weighted neighbours; null where one is missing."""
     k = int(4 * sigma + 0.5)
     weights = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-k, k + 1)]
     kernel = [w / sum(weights) for w in weights]
     x = with_reflection(cells, k)
     for w in (_row(), _col()):
-        parts = [F.lag(value, -i).over(w) * kernel[i + k] if i else F.col(value) * kernel[k] for i in range(-k, k + 1)]
+        parts = [_at(value, w, i) * kernel[i + k] if i else F.col(value) * kernel[k] for i in range(-k, k + 1)]
         x = x.withColumn(value, reduce(lambda a, b: a + b, parts))
     return x.where("row >= 0 and row < rows and col >= 0 and col < cols").drop("rows", "cols")
 
 
 def neighbours(cells: DataFrame, value: str = "value") -> DataFrame:
     """Add the eight neighbours' values as ``n<drow>_<dcol>`` (m for minus); null outside."""
-    sides = cells.withColumn("w", F.lag(value).over(_row())).withColumn("e", F.lead(value).over(_row()))
-    out = {"nm1_m1": ("w", -1), "nm1_0": (value, -1), "nm1_1": ("e", -1), "n1_m1": ("w", 1), "n1_0": (value, 1), "n1_1": ("e", 1)}
-    made = {n: (F.lag(c).over(_col()) if step < 0 else F.lead(c).over(_col())) for n, (c, step) in out.items()}
-    return sides.withColumns(made).withColumnsRenamed({"w": "n0_m1", "e": "n0_1"})
+    others = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(_name((a, b))).alias("name")) for a, b in D8])
+    told = cells.where(F.col(value).isNotNull()).select("grid_id", "row", "col", F.col(value).alias("told"), F.explode(others).alias("s"))
+    # a cell tells each neighbour its value: holes and corners need no care
+    told = told.groupBy("grid_id", (F.col("row") - F.col("s.a")).alias("row"), (F.col("col") - F.col("s.b")).alias("col"))
+    named = told.agg(*[F.max(F.when(F.col("s.name") == _name(s), F.col("told"))).alias(_name(s)) for s in D8])
+    return cells.join(named, CELL, "left")
 
 
 def _name(step: tuple[int, int]) -> str:
@@ -297,9 +304,9 @@ def log_normalize(df: DataFrame, offset: float = 1.0, key: str = "grid_id") -> D
     return zscore(logs, key)
 
 
-def local_normalize(cells: DataFrame, k: int) -> DataFrame:
-    """z and min-max within the window of each cell."""
-    x = focal(cells, k)
+def local_normalize(cells: DataFrame, k: int, border: str = "null") -> DataFrame:
+    """z and min-max within the window of each cell; ``border``: ``reflect`` mirrors the grid first."""
+    x = focal(cells, k, border)
     sd = F.when(F.col("f_std") < 1e-8, 1.0).otherwise(F.col("f_std"))
     part = F.coalesce(F.try_divide(F.col("value") - F.col("f_min"), F.col("f_max") - F.col("f_min")), F.lit(0.0))
     return x.select(*CELL, ((F.col("value") - F.col("f_mean")) / sd).alias("local_z"), part.alias("local_minmax"))

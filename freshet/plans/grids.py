@@ -21,6 +21,33 @@ def _grad(src: str, v: str = "value", dx: str = "dx", dy: str = "dy") -> str:
   WINDOW gr AS (PARTITION BY grid_id, row ORDER BY col), gc AS (PARTITION BY grid_id, col ORDER BY row)"""
 
 
+_HOLES = f"SELECT * FROM ({G}) WHERE abs(value) > 0.02"
+
+
+def _gap(src: str) -> str:
+    """The gradient of a grid with holes: a missing neighbour is missing, whatever lies behind it."""
+
+    def along(p, o):
+        a, b = (f"first_value(value) OVER (PARTITION BY grid_id, {p} ORDER BY {o} RANGE BETWEEN 1 {x} AND 1 {x})" for x in ("FOLLOWING", "PRECEDING"))
+        return f"coalesce(({a} - {b}) / 2, {a} - value, value - {b}, 0)"
+
+    return f"SELECT grid_id, row, col, {along('row', 'col')} AS dx, {along('col', 'row')} AS dy FROM ({src})"
+
+
+def _holes(spark, d):
+    return fx.cells(spark, d, 50).where("abs(value) > 0.02")
+
+
+@query("grid_gradient_holes", sq(_gap(_HOLES), KEY, "dx dy"))
+def grid_gradient_holes(spark, d):
+    return rounded(g.gradient(_holes(spark, d)).select(*g.CELL, "dx", "dy"))
+
+
+@query("grid_slope_percent", sq(f"SELECT grid_id, row, col, sqrt(dx * dx + dy * dy) * 100 AS slope FROM ({_gap(_HOLES)})", KEY, "slope"))
+def grid_slope_percent(spark, d):
+    return rounded(g.slope(_holes(spark, d), units="percent"))
+
+
 def _near(src: str) -> str:
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     named = [(g._name(s), s) for s in steps]
@@ -94,6 +121,17 @@ def grid_tpi(spark, d):
 
 
 _N = [g._name(s) for s in g.D8]
+_NEAR_COUNT = f"SELECT grid_id, row, col, {' + '.join(f'({n} IS NOT NULL)::INT' for n in _N)} AS around, {' + '.join(f'coalesce({n}, 0)' for n in _N)} AS total FROM ({_near(_HOLES)})"
+
+
+@query("grid_neighbours_holes", sq(_NEAR_COUNT, KEY + " around", "total"))
+def grid_neighbours_holes(spark, d):
+    """How many of the eight neighbours are there in a grid with holes, and their sum."""
+    x = g.neighbours(_holes(spark, d))
+    around = sum((F.col(n).isNotNull().cast("int") for n in _N), F.lit(0))
+    return rounded(x.select(*g.CELL, around.alias("around"), sum((F.coalesce(n, F.lit(0.0)) for n in _N), F.lit(0.0)).alias("total")))
+
+
 _TRI = f"""SELECT grid_id, row, col, abs(8 * value - ({' + '.join(f'coalesce({n}, 0)' for n in _N)})) AS tri_sum,
   ({' + '.join(f'coalesce(abs({n} - value), 0)' for n in _N)}) / ({' + '.join(f'({n} IS NOT NULL)::INT' for n in _N)} + 1) AS tri_mean FROM ({_near(G)})"""
 
@@ -277,6 +315,16 @@ def norm_local(spark, d):
     return rounded(g.local_normalize(fx.cells(spark, d, 50), 2))
 
 
+_LOCR = f"""SELECT a.grid_id, a.row, a.col, (a.value - avg(b.value)) / greatest(stddev_pop(b.value), 1e-8) AS local_z, (a.value - min(b.value)) / greatest(max(b.value) - min(b.value), 1e-8) AS local_minmax
+  FROM ({G}) a JOIN ({_REFLECT.format(src=G, k=2)}) b ON a.grid_id = b.grid_id AND b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY a.grid_id, a.row, a.col, a.value"""
+
+
+@query("norm_local_reflect", sq(_LOCR, KEY, "local_z local_minmax"))
+def norm_local_reflect(spark, d):
+    """Windows mirrored at the border; ``norm_local`` cuts them there."""
+    return rounded(g.local_normalize(fx.cells(spark, d, 50), 2, "reflect"))
+
+
 _META = f"SELECT grid_id, max(row) + 1 AS nrows, max(col) + 1 AS ncols FROM ({G}) GROUP BY 1"
 _PATCH = f"""SELECT grid_id || '_' || size || '_' || row0 || '_' || col0 AS tile_id, grid_id, size, row0, col0 FROM ({_META}), (VALUES (16, 12), (8, 6)) s(size, step),
   LATERAL (SELECT unnest(range(0, nrows - size + 1, step))::INT AS row0) a, LATERAL (SELECT unnest(range(0, ncols - size + 1, step))::INT AS col0) b WHERE nrows >= size AND ncols >= size"""

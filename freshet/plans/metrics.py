@@ -10,9 +10,9 @@ from ..sources import fixtures as fx
 from .registry import query, rounded
 
 
-def sq(inner: str, same: str, doubles: str) -> str:
+def sq(inner: str, same: str, doubles: str, digits: int = 6) -> str:
     """SQL that passes some columns on and rounds others like ``rounded``."""
-    names = [*same.split(), *[f"round({c}::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c in doubles.split()]]
+    names = [*same.split(), *[f"round({c}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles.split()]]
     return f"SELECT {', '.join(names)} FROM ({inner})"
 
 

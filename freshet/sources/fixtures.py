@@ -76,7 +76,39 @@ def history(spark, sf_dir: str) -> DataFrame:
     return hourly.crossJoin(F.broadcast(ends)).select("component", "ts", F.round(scaled, 9).alias("score"))
 
 
+def stations(spark, sf_dir: str) -> DataFrame:
+    """Customers as rain stations: station_id, nation, x (longitude), y (latitude), value."""
+    c = table(spark, sf_dir, "customer")
+    x, y = ((F.col("c_custkey") % m - m / 2).cast("double") for m in (360, 180))
+    return c.select(F.col("c_custkey").alias("station_id"), F.col("c_nationkey").alias("nation"), x.alias("x"), y.alias("y"), F.col("c_acctbal").alias("value"))
+
+
+def ddf(spark, sf_dir: str) -> DataFrame:
+    """A frequency table: 24-hour depths by period, by the root of the duration's share of a day, higher where the balance is."""
+    known = {10: 4.5, 25: 5.2, 100: 6.4, 500: 7.8}
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(b).alias("b")) for m in (60, 180, 360, 1440) for p, b in known.items()]))
+    rows = stations(spark, sf_dir).select("station_id", "value", both.alias("k"))
+    depth = F.col("k.b") * F.sqrt(F.col("k.m") / 1440) * (1 + F.col("value") / 100000)
+    return rows.select("station_id", F.col("k.m").alias("duration_minutes"), F.col("k.p").alias("return_period_years"), F.round(depth, 6).alias("depth_in"))
+
+
+def requests(spark, sf_dir: str) -> DataFrame:
+    """Orders as requests for a depth: request_id, station_id, duration_minutes, return_period_years."""
+    pick = lambda values, c: F.get(F.array(*[F.lit(v) for v in values]), (F.col(c) % len(values)).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.col("o_custkey").alias("station_id"),
+        pick([60, 180, 720, 1440], "o_orderkey").alias("duration_minutes"),
+        pick([10, 25, 100, 500, 1000], "o_orderkey").alias("return_period_years"),
+    )
+
+
 #: The same in DuckDB.
+SQL_STATIONS = "SELECT c_custkey AS station_id, c_nationkey AS nation, (c_custkey % 360 - 180)::DOUBLE AS x, (c_custkey % 180 - 90)::DOUBLE AS y, c_acctbal AS value FROM customer"
+SQL_DDF = f"""SELECT station_id, m AS duration_minutes, p AS return_period_years, round(b * sqrt(m / 1440::DOUBLE) * (1 + value / 100000), 6) AS depth_in
+  FROM ({SQL_STATIONS}), (VALUES (60), (180), (360), (1440)) a(m), (VALUES (10, 4.5::DOUBLE), (25, 5.2::DOUBLE), (100, 6.4::DOUBLE), (500, 7.8::DOUBLE)) c(p, b)"""
+SQL_REQUESTS = """SELECT o_orderkey AS request_id, o_custkey AS station_id, [60, 180, 720, 1440][o_orderkey % 4 + 1] AS duration_minutes,
+  [10, 25, 100, 500, 1000][o_orderkey % 5 + 1] AS return_period_years FROM orders"""
 SQL_CELLS = """SELECT 0::BIGINT AS grid_id, vec_id::INT AS row, col::INT AS col, v::DOUBLE AS value
   FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS col FROM embeddings)"""
 SQL_GRIDS = f"SELECT row // 50 AS grid_id, (row % 50)::INT AS row, col, value FROM ({SQL_CELLS})"

@@ -1 +1 @@
-
+"""Streaming operators."""
