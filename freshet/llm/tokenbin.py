@@ -127,7 +127,7 @@ class WordCoder:
     Pieces are kept with their ids as bytes: those of the last ``most`` met or so.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 400_000, suffix: str = "</w>"):
+    def __init__(self, path: str, dtype: str, most: int = 250_000, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.coder, self.dtype, self.most = Tokenizer.from_file(path), np.dtype(dtype), most
@@ -213,16 +213,25 @@ class WordCoder:
         ids[~own], ids[own] = parts
         return ids, counts
 
-    def stream(self, column, size: int = 8 << 20):
-        """``encode`` of slices of about ``size`` bytes of texts."""
+    def stream(self, columns, size: int = 8 << 20):
+        """``encode`` of about ``size`` bytes of texts at a time, from Arrow columns one after the other."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
-        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(column):
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
-            yield self.encode(column.slice(at, end - at))
-            at = end
+        held, n = [], 0
+        for column in columns:
+            total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(column):
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size - n, "right")))
+                held.append(column.slice(at, end - at))
+                n += int(total[end - 1] - (total[at - 1] if at else 0))
+                at = end
+                if n >= size or at < len(column):
+                    yield self.encode(pa.concat_arrays(held))
+                    held, n = [], 0
+        if held:
+            yield self.encode(pa.concat_arrays(held))
 
 
 _CODERS: dict[tuple[str, str], WordCoder] = {}
@@ -254,14 +263,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         shard = TaskContext.get().partitionId()
         path, ids, ends, nulls, total = f"{folder}/shard-{shard:06d}.eft", [], [], 0, 0
         with written(path) as out:
-            for batch in _chain(first, batches):
-                keys = batch.column(0)
-                nulls += keys.null_count
-                ids.append(keys.drop_null().to_numpy(zero_copy_only=False))
-                for flat, counts in coder.stream(batch.column(1)):
-                    out.write(np.insert(flat, np.cumsum(counts), end).tobytes())
-                    ends.append(total + np.cumsum(counts + 1))
-                    total = int(ends[-1][-1])
+            def texts():
+                nonlocal nulls
+                for batch in _chain(first, batches):
+                    keys = batch.column(0)
+                    nulls += keys.null_count
+                    ids.append(keys.drop_null().to_numpy(zero_copy_only=False))
+                    yield batch.column(1)
+
+            for flat, counts in coder.stream(texts()):
+                out.write(np.insert(flat, np.cumsum(counts), end).tobytes())
+                ends.append(total + np.cumsum(counts + 1))
+                total = int(ends[-1][-1])
             keys, ends = np.concatenate(ids), np.concatenate(ends)
             least = int(keys[0]) if len(keys) else 0
             b_ends = EliasFano.encode(ends.astype(np.uint64)).to_bytes()
