@@ -56,11 +56,11 @@ _INT = f"""SELECT request_id, p, m, {_piece('p', r.DEPTHS_24H, 'ln({}::DOUBLE)',
   FROM (SELECT o_orderkey AS request_id, 2 + o_orderkey % 900 AS p, 30 + o_custkey % 2000 AS m FROM orders)"""
 
 
-@query("join_ddf_interpolate", f"SELECT request_id, p AS return_period_years, m AS duration_minutes, round(v, 6) AS depth_in, round(v * 0.85, 6) AS lower_bound, round(v * 1.15, 6) AS upper_bound FROM ({_INT})")
+@query("join_ddf_interpolate", f"SELECT request_id, p AS return_period_years, m AS duration_minutes, round(v, 10) AS depth_in, round(v * 0.85, 10) AS lower_bound, round(v * 1.15, 10) AS upper_bound FROM ({_INT})")
 def join_ddf_interpolate(spark, d):
     o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), (2 + F.col("o_orderkey") % 900).alias("return_period_years"), (30 + F.col("o_custkey") % 2000).alias("duration_minutes"))
     v = r.interpolated_depth(F.col("return_period_years"), F.col("duration_minutes"))
-    return o.withColumns({"depth_in": F.round(v, 6), "lower_bound": F.round(v * 0.85, 6), "upper_bound": F.round(v * 1.15, 6)})
+    return o.withColumns({"depth_in": F.round(v, 10), "lower_bound": F.round(v * 0.85, 10), "upper_bound": F.round(v * 1.15, 10)})
 
 
 #: Areas in square miles with factors for a day's rain.

@@ -13,7 +13,7 @@ from .registry import query, rounded
 _K = "regexp_extract(props, '[0-9]+')::DOUBLE"
 ASKED = f"""SELECT event_id AS request_id, (user_id * 7 % 200 - 100)::DOUBLE AS latitude, CASE WHEN event_type = 'error' THEN NULL ELSE (user_id * 11 % 370 - 185)::DOUBLE END AS longitude,
   CASE WHEN event_type <> 'click' THEN value END AS current_rainfall, CASE WHEN value < 200 THEN (user_id % 50 - 5)::DOUBLE END AS elevation, {_K} * 1.2 AS soil_moisture, CASE WHEN value > 5 THEN value / 4 END AS drainage_capacity,
-  {_K} * 1.1 AS building_density, (user_id * 20)::DOUBLE AS population_density, CASE WHEN value > 3 THEN [value / 10, value / 20, value / 40] ELSE [] END AS forecast_rainfall, CASE WHEN value > 50 THEN [value, 1] END AS historical_rainfall,
+  {_K} * 1.1 AS building_density, (user_id * 20.37)::DOUBLE AS population_density, CASE WHEN value > 3 THEN [value / 10, value / 20, value / 40] ELSE [] END AS forecast_rainfall, CASE WHEN value > 50 THEN [value, 1] END AS historical_rainfall,
   [{_K}]::DOUBLE[] AS historical_water_levels FROM events"""
 
 
@@ -30,7 +30,7 @@ def asked(spark, d):
         (k * 1.2).alias("soil_moisture"),
         F.when(v > 5, v / 4).alias("drainage_capacity"),
         (k * 1.1).alias("building_density"),
-        (u * 20).cast("double").alias("population_density"),
+        (u * 20.37).alias("population_density"),
         F.when(v > 3, F.array(v / 10, v / 20, v / 40)).otherwise(none).alias("forecast_rainfall"),
         F.when(v > 50, F.array(v, F.lit(1.0))).alias("historical_rainfall"),
         F.array(k).alias("historical_water_levels"),

@@ -88,8 +88,8 @@ def ddf(spark, sf_dir: str) -> DataFrame:
     known = {10: 4.5, 25: 5.2, 100: 6.4, 500: 7.8}
     both = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(b).alias("b")) for m in (60, 180, 360, 1440) for p, b in known.items()]))
     rows = stations(spark, sf_dir).select("station_id", "value", both.alias("k"))
-    depth = F.col("k.b") * F.sqrt(F.col("k.m") / 1440) * (1 + F.col("value") / 100000)
-    return rows.select("station_id", F.col("k.m").alias("duration_minutes"), F.col("k.p").alias("return_period_years"), F.round(depth, 6).alias("depth_in"))
+    depth = F.col("k.b") * F.sqrt(F.col("k.m") / 1440) * F.sqrt(1 + F.col("value") / 50000)
+    return rows.select("station_id", F.col("k.m").alias("duration_minutes"), F.col("k.p").alias("return_period_years"), F.round(depth, 9).alias("depth_in"))
 
 
 def requests(spark, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def requests(spark, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB.
 SQL_STATIONS = "SELECT c_custkey AS station_id, c_nationkey AS nation, (c_custkey % 360 - 180)::DOUBLE AS x, (c_custkey % 180 - 90)::DOUBLE AS y, c_acctbal AS value FROM customer"
-SQL_DDF = f"""SELECT station_id, m AS duration_minutes, p AS return_period_years, round(b * sqrt(m / 1440::DOUBLE) * (1 + value / 100000), 6) AS depth_in
+SQL_DDF = f"""SELECT station_id, m AS duration_minutes, p AS return_period_years, round(b * sqrt(m / 1440::DOUBLE) * sqrt(1 + value / 50000), 9) AS depth_in
   FROM ({SQL_STATIONS}), (VALUES (60), (180), (360), (1440)) a(m), (VALUES (10, 4.5::DOUBLE), (25, 5.2::DOUBLE), (100, 6.4::DOUBLE), (500, 7.8::DOUBLE)) c(p, b)"""
 SQL_REQUESTS = """SELECT o_orderkey AS request_id, o_custkey AS station_id, [60, 180, 720, 1440][o_orderkey % 4 + 1] AS duration_minutes,
   [10, 25, 100, 500, 1000][o_orderkey % 5 + 1] AS return_period_years FROM orders"""
