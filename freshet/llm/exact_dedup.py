@@ -10,15 +10,14 @@ no group can be larger than about ``rows / max_heavy``.
 Defined results: a null text counts as empty; texts are equal when identical
 after deleting ``[\\x20\\x09-\\x0D]``; of equal texts the one with the most code
 points stays, then the smallest id, a null id last. Of rows that also repeat
-the id exactly one is kept. An empty table gives an empty result. Extra columns
-are ignored.
+the id exactly one is kept. Very long texts are hashed whole. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .scratch import Scratch
 
@@ -57,10 +56,11 @@ def exact_dedup(
         "rows",
     )
 
-    # the row that stays has the largest (n, -id), then the first place
+    # the row that stays has the largest n, then the smallest id, then the first place; ~x falls as x rises, for every long
     rank = F.struct(
-        F.col("n"), (-F.coalesce("doc_id", F.lit(_NO_ID))).alias("neg"), (-F.col("row")).alias("place"), F.col("doc_id")
-    )
+        F.col("n"), F.bitwise_not(F.coalesce("doc_id", F.lit(_NO_ID))).alias("neg"), F.col("doc_id").isNotNull().alias("known"),
+        (-F.col("row")).alias("place"), F.col("doc_id"),
+    )
     groups = [F.count(F.lit(1)).alias("group_size"), F.max(rank).alias("best")]
     maybe = F.broadcast(heavy_digests(rows, max_heavy))
     winners = (
@@ -70,15 +70,9 @@ def exact_dedup(
 
     split = rows.join(F.broadcast(winners), "digest", "left")
     heavy = split.where(F.col("group_size").isNotNull())
-    by_digest = Window.partitionBy("digest")
-    light = split.where(F.col("group_size").isNull()).select(
-        "digest",
-        "doc_id",
-        "row",
-        F.count(F.lit(1)).over(by_digest).alias("group_size"),
-        F.max(rank).over(by_digest).alias("best"),
-    )
-    both = heavy.select("digest", "doc_id", "row", "group_size", "best").unionByName(light)
+    light = split.where(F.col("group_size").isNull()).select("digest", "n", "doc_id", "row")
+    light = light.join(light.groupBy("digest").agg(*groups), "digest")
+    both = heavy.select("digest", "doc_id", "row", "group_size", "best").unionByName(light.drop("n"))
     return both.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
