@@ -233,6 +233,39 @@ def clip(cells: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFr
     return inside.withColumn("row", F.col("row") - row0).withColumn("col", F.col("col") - col0)
 
 
+def clip_box(cells: DataFrame, meta: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """Cells and meta within a world box (west, south, east, north): indices truncated towards zero, held inside the grid, counted from the new corner.
+
+    ``meta``: grid_id, nrows, ncols, xll, yll, cellsize; row 0 is north.
+    """
+    west, south, east, north = box
+    top = F.col("yll") + F.col("nrows") * F.col("cellsize")
+    at = lambda x, n: F.least(F.greatest((x / F.col("cellsize")).cast("int"), F.lit(0)), F.col(n)).cast("int")
+    m = meta.withColumns({"r0": at(top - north, "nrows"), "r1": at(top - south, "nrows"), "c0": at(west - F.col("xll"), "ncols"), "c1": at(east - F.col("xll"), "ncols")})
+    inside = cells.join(m.select("grid_id", "r0", "r1", "c0", "c1"), "grid_id").where("row >= r0 and row < r1 and col >= c0 and col < c1")
+    got = inside.select("grid_id", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "value")
+    new = m.select(
+        "grid_id", (F.col("r1") - F.col("r0")).alias("nrows"), (F.col("c1") - F.col("c0")).alias("ncols"), (F.col("xll") + F.col("c0") * F.col("cellsize")).alias("xll"),
+        (top - F.col("r1") * F.col("cellsize")).alias("yll"), "cellsize",
+    )
+    return got, new
+
+
+def world_coverage(cells: DataFrame, meta: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Per grid: valid cells, all or those whose centre a world box holds, their share, and the bounds of the valid ones in world units."""
+    x = cells.join(meta, "grid_id")
+    size = F.col("cellsize")
+    west, north = F.col("xll") + F.col("col") * size, F.col("yll") + (F.col("nrows") - F.col("row")) * size
+    if box is not None:
+        x = x.where((west + size / 2).between(box[0], box[2]) & (north - size / 2).between(box[1], box[3]))
+    ok = F.col("value").isNotNull()
+    at = lambda f, c: f(F.when(ok, c))
+    return x.groupBy("grid_id").agg(
+        F.count_if(ok).alias("valid"), (F.count_if(ok) / F.count(F.lit(1))).alias("share"), at(F.min, west).alias("west"), at(F.min, north - size).alias("south"),
+        at(F.max, west + size).alias("east"), at(F.max, north).alias("north"),
+    )
+
+
 def resample(cells: DataFrame, factor: float) -> DataFrame:
     """Bilinear values at cell centres ``factor`` times as far apart; null where a neighbour is missing."""
     ends = cells.groupBy("grid_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
@@ -370,8 +403,8 @@ def augment_grid(cells: DataFrame, size: int) -> DataFrame:
     return tiles.select(*rest, turned.alias("t")).select(*rest, "t.variant", "t.r", "t.c")
 
 
-def ensemble(cells: DataFrame, threshold: float) -> DataFrame:
-    """Mean, population spread and share over a threshold of each cell's members."""
+def ensemble(cells: DataFrame, threshold: float, sample: bool = False) -> DataFrame:
+    """Mean, spread (of the population, or of a ``sample``, as for dropout) and share over a threshold of each cell's members."""
     v = F.col("value")
     got = cells.groupBy("row", "col")
-    return got.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), (F.count_if(v > threshold) / F.count(v)).alias("exceedance"), F.count(v).alias("members"))
+    return got.agg(F.avg(v).alias("mean"), (F.stddev_samp(v) if sample else F.stddev_pop(v)).alias("spread"), (F.count_if(v > threshold) / F.count(v)).alias("exceedance"), F.count(v).alias("members"))

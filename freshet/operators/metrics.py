@@ -244,3 +244,23 @@ def loss_metrics(scored: DataFrame, pos_weight: float = 2.0, alpha: float = 0.25
         (1 - (hit + smooth) / (hit + 0.3 * fp + 0.7 * fn + smooth)).alias("tversky"),
         F.avg(F.pow(p - y, 2)).alias("brier"),
     )
+
+
+def loss_mixes(scored: DataFrame, weights: dict[str, dict[str, float]], key: str = "case_id") -> DataFrame:
+    """Weighted sums of the losses of ``loss_metrics``, by name."""
+    losses = loss_metrics(scored, key=key)
+    return losses.select(key, *[sum((F.col(c) * w for c, w in parts.items()), F.lit(0.0)).alias(n) for n, parts in weights.items()])
+
+
+def status_values(results: DataFrame, key: str, category: str) -> DataFrame:
+    """``key, category, metric, value`` of check results (key, check, status): passed 1, warning a half, failed 0, else null."""
+    s = F.lower("status")
+    value = F.when(s.isin("pass", "passed"), 1.0).when(s.isin("warn", "warning"), 0.5).when(s.isin("fail", "failed"), 0.0)
+    return results.select(key, F.lit(category).alias("category"), F.col("check").alias("metric"), value.alias("value"))
+
+
+def batch_compare(pairs: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """A row for each of ``cases``: rmse, r2, accuracy and mean difference, or why there are none."""
+    m = regression(pairs, key).select(key, "n", "rmse", "r2")
+    m = m.join(classification(pairs, key=key).select(key, "accuracy"), key).join(depth_difference(pairs, key=key).select(key, "mean_difference"), key)
+    return cases.join(m, key, "left").withColumn("error", F.when(F.col("n").isNull(), "no pairs"))

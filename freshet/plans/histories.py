@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.claims import median_by_ranges
 from ..sources import fixtures as fx
 from .metrics import sq
 from .registry import query, rounded
@@ -45,9 +46,20 @@ _Q = f"SELECT quantile_cont(amount_paid, 0.25) AS q1, quantile_cont(amount_paid,
 
 @query("qc_outliers_iqr", f"SELECT claim_id FROM ({CL}), ({_Q}) WHERE amount_paid < q1 - 1.5 * (q3 - q1) OR amount_paid > q3 + 1.5 * (q3 - q1)")
 def qc_outliers_iqr(spark, d):
-    claims = fx.claims(spark, d).select("claim_id", "amount_paid")
-    ends = claims.agg(F.percentile("amount_paid", 0.25).alias("q1"), F.percentile("amount_paid", 0.75).alias("q3"))  # one row
-    reach = (F.col("q3") - F.col("q1")) * 1.5
+    return _outside(fx.claims(spark, d).select("claim_id", "amount_paid"), 1.5)
+
+
+@query("qc_outliers_iqr_near", f"SELECT claim_id FROM ({CL}), ({_Q}) WHERE amount_paid < q1 - 0.4 * (q3 - q1) OR amount_paid > q3 + 0.4 * (q3 - q1)")
+def qc_outliers_iqr_near(spark, d):
+    """With a shorter reach, which some claims are beyond."""
+    return _outside(fx.claims(spark, d).select("claim_id", "amount_paid"), 0.4)
+
+
+def _outside(claims, k):
+    """Claims beyond the quartiles by ``k`` of their range; quartiles by value ranges, one row each."""
+    q1, q3 = (median_by_ranges(claims, "amount_paid", probability=p).withColumnRenamed("value", n) for p, n in ((0.25, "q1"), (0.75, "q3")))
+    ends = q1.crossJoin(q3)
+    reach = (F.col("q3") - F.col("q1")) * k
     out = (F.col("amount_paid") < F.col("q1") - reach) | (F.col("amount_paid") > F.col("q3") + reach)
     return claims.crossJoin(F.broadcast(ends)).where(out).select("claim_id")
 
