@@ -22,7 +22,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 4000):
+def small_batches(spark: SparkSession, rows: int = 2000):
     """Rows go to Python so many at a time at most: whole texts in larger batches take too much of an executor's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(key)
