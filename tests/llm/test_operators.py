@@ -147,6 +147,53 @@ def test_suffix_tree(docs, none):
     assert suffix_tree.score_texts(none, held).count() == 0
 
 
+def brute_tree_scores(train, texts, least=8, nats=2.0, depth=5, discount=0.6):
+    """The tree in dictionaries: states by the count and divergence tests, each discounted into the next shorter one."""
+    stream = lambda t: b"\n" * depth + b" ".join([*words(t), b"\n"])
+    grams = [Counter() for _ in range(depth + 1)]
+    for t in train:
+        x = stream(t)
+        for i in range(depth, len(x)):
+            for k in range(depth + 1):
+                grams[k][x[i - k : i], x[i]] += 1
+    totals, kinds = [Counter() for _ in grams], [Counter() for _ in grams]
+    for k, g in enumerate(grams):
+        for (c, _), n in g.items():
+            totals[k][c] += n
+            kinds[k][c] += 1
+    gain = [Counter() for _ in grams]
+    for k in range(1, depth + 1):
+        for (c, b), n in grams[k].items():
+            q = grams[k - 1][c[1:], b] / totals[k - 1][c[1:]]
+            gain[k][c] += n * math.log(n / totals[k][c] / q)
+    states = [{c for c in totals[k] if k and totals[k][c] >= least and gain[k][c] >= nats * kinds[k][c]} for k in range(depth + 1)]
+    out = []
+    for t in texts:
+        x, score = stream(t), 0.0
+        for i in range(depth, len(x)):
+            p = (1 + grams[0][b"", x[i]]) / (256 + totals[0][b""])
+            for k in range(1, depth + 1):
+                c = x[i - k : i]
+                if c in states[k]:
+                    p = (max(grams[k][c, x[i]] - discount, 0.0) + discount * kinds[k][c] * p) / totals[k][c]
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def test_suffix_tree_scores(spark):
+    rng = np.random.default_rng(6)
+    some = ["the", "cat", "sat", "on", "mat", "a", "dog", "ran", "Über", "naïve", "x1"]
+    rows = [(i, " ".join(rng.choice(some, rng.integers(0, 60)))) for i in range(150)] + [(200, None), (201, ""), (None, "the cat"), (3, "the cat sat")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 1
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in suffix_tree.score_texts(frame, held).collect())
+    scores = brute_tree_scores([t for i, t in rows if (i or 0) % 5 != 1], [t for _, t in rows])
+    want = sorted((str(i), len(words(t)) + 1, v) for (i, t), v in zip(rows, scores, strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
+
+
 def test_suffix_tree_sums_to_one():
     """After any context the probabilities of the 256 symbols add up to one."""
     keys, _ = suffix_tree.gram_keys([words("the cat sat on the mat the cat ate")] * 9)
