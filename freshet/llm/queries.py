@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotrain, decontam, exact_dedup, mixing, ngram_join, pii, secrets, suffix_tree, tokenbin, warc
+from . import cotrain, decontam, exact_dedup, merkle, mixing, ngram_join, pii, secrets, suffix_tree, tokenbin, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_secret_scan": secrets.SQL,
     "op10_decontaminate": decontam.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
