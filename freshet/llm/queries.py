@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotrain, decontam, exact_dedup, merkle, mixing, ngram_join, pii, secrets, suffix_tree, tokenbin, warc
+from . import cotrain, decontam, exact_dedup, merkle, mixing, ngram_join, pii, secrets, simhash, suffix_tree, tokenbin, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontam.op10_decontaminate,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_simhash_trie": simhash.op13_simhash_trie,
 }
 
 SQL = {
