@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotrain, decontam, exact_dedup, merkle, mixing, ngram_join, pii, secrets, simhash, suffix_tree, tokenbin, warc
+from . import cotrain, decontam, exact_dedup, merkle, mixing, negatives, ngram_join, pii, secrets, simhash, suffix_tree, tokenbin, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_simhash_trie": simhash.op13_simhash_trie,
 }
@@ -24,5 +25,6 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_secret_scan": secrets.SQL,
     "op10_decontaminate": decontam.SQL,
+    "op11_hard_negatives": negatives.SQL,
     "op12_merkle_manifest": merkle.SQL,
 }
