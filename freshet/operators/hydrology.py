@@ -99,61 +99,165 @@ def extent_features(extent: DataFrame, cell_area: float = 1.0) -> DataFrame:
     return by.agg(*[c.alias(k) for k, c in ends.items()], F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
 
 
-def _flooded(block: pd.DataFrame) -> pd.DataFrame:
-    """Fill levels within one block by a priority queue from its outlets: halo cells at their level, border cells at their height."""
-    r0, c0 = block["row"].min(), block["col"].min()
-    shape = (block["row"].max() - r0 + 1, block["col"].max() - c0 + 1)
-    z, level, out = (np.full(shape, np.nan) for _ in range(3))
+def _grid_of(at: tuple, shape: tuple, values, empty=np.nan) -> np.ndarray:
+    out = np.full(shape, empty)
+    out[at] = values
+    return out
+
+
+def _forest(edges: dict[tuple[int, int], float]) -> list[tuple[int, int, float]]:
+    """The edges of a minimum spanning forest: all lowest passes are among them."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for w, a, b in sorted((w, a, b) for (a, b), w in edges.items()):
+        if (x := top(a)) != (y := top(b)):
+            up[x] = y
+            kept.append((a, b, w))
+    return kept
+
+
+def _basins(block: pd.DataFrame) -> pd.DataFrame:
+    """One block flooded from its outlets and from the cells that touch other blocks.
+
+    Rows of cells have the level within the block and the basin (the cell that
+    started it, -1 for outlets: that water is gone). Rows without a cell are the
+    lowest passes between basins, as level, basin and other.
+    """
+    r0, c0 = int(block["row"].min()), int(block["col"].min())
+    shape = (int(block["row"].max()) - r0 + 1, int(block["col"].max()) - c0 + 1)
     at = (block["row"].to_numpy() - r0, block["col"].to_numpy() - c0)
-    z[at], level[at] = block["value"], block["level"]
-    own = np.zeros(shape, bool)
-    own[at] = block["own"].to_numpy()
+    z = np.pad(_grid_of(at, shape, block["value"]), 1, constant_values=np.nan)
+    own = np.pad(_grid_of(at, shape, block["own"], False).astype(bool), 1)
     there = ~np.isnan(z)
-    edge = np.zeros(shape, bool)
-    edge[at] = block["edge"].to_numpy()
-    queue = []
-    for i, j in zip(*np.nonzero(there & (~own | edge)), strict=True):
-        start = z[i, j] if edge[i, j] else level[i, j]
-        if np.isfinite(start):
-            heapq.heappush(queue, (start, i, j))
+    near = sum((np.roll(there, (-a, -b), (0, 1)).astype(int) for a, b in g.D8))
+    strange = sum((np.roll(there & ~own, (-a, -b), (0, 1)).astype(int) for a, b in g.D8))
+    outlet, rim = own & (near < 8), own & (strange > 0)
+    width = z.shape[1]
+    heights, mine = z.ravel().tolist(), own.ravel().tolist()
+    level, basin = [None] * len(heights), [None] * len(heights)
+    queue = [(heights[k], -1, k) for k in np.flatnonzero(outlet).tolist()]
+    queue += [(heights[k], (k // width + r0 - 1) * (1 << 31) + k % width + c0 - 1, k) for k in np.flatnonzero(rim & ~outlet).tolist()]
+    heapq.heapify(queue)
+    steps = [a * width + b for a, b in g.D8]
+    passes: dict[tuple[int, int], float] = {}
     while queue:
-        w, i, j = heapq.heappop(queue)
-        if not np.isnan(out[i, j]):
+        w, name, k = heapq.heappop(queue)
+        if level[k] is not None:
             continue
-        out[i, j] = w
-        for a, b in g.D8:
-            x, y = i + a, j + b
-            if 0 <= x < shape[0] and 0 <= y < shape[1] and own[x, y] and np.isnan(out[x, y]):
-                heapq.heappush(queue, (max(z[x, y], w), x, y))
-    block = block.assign(level=np.where(np.isnan(out[at]), np.inf, out[at]))
-    return block[block["own"]][["grid_id", "row", "col", "value", "level", "edge"]]
-
-
-def fill_depressions(cells: DataFrame, block: int = 256, most_rounds: int = 1000) -> DataFrame:
+        level[k], basin[k] = w, name
+        for step in steps:
+            n = k + step
+            if not mine[n]:
+                continue
+            if level[n] is None:
+                heapq.heappush(queue, (max(heights[n], w), name, n))
+            elif basin[n] != name:  # popped before, so it is no higher than w
+                pair = (basin[n], name) if basin[n] < name else (name, basin[n])
+                if w < passes.get(pair, np.inf):
+                    passes[pair] = w
+    i, j = np.nonzero(own)
+    flat = i * width + j
+    cells = pd.DataFrame({"row": i + r0 - 1, "col": j + c0 - 1, "value": z[own], "level": [level[k] for k in flat], "basin": [basin[k] for k in flat], "rim": rim[own]})
+    between = pd.DataFrame([(b, a, w) for a, b, w in _forest(passes)], columns=["basin", "other", "level"])
+    for frame in (cells, between):
+        frame["grid_id"] = block["grid_id"].iloc[0]
+    out = pd.concat([cells, between]) if len(between) else cells.assign(other=None)
+    return out.astype({"row": "Int64", "col": "Int64", "other": "Int64", "rim": "boolean"})[["grid_id", "row", "col", "value", "level", "basin", "other", "rim"]]
+
+
+def lowest_passes(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``node, level``: the lowest height over which each node of ``edges`` (a, b, w) reaches the outside, an edge without ``b``.
+
+    In a round every node takes its lowest edge, and what hangs together becomes
+    one node; all its members must rise to the edge they took, so a member's
+    level is the highest edge that it and those it became have taken. Edges fall
+    along each path to the node where a tree of them ends, so that holds whatever
+    way out the new node takes. Nodes halve in a round at least; ties go by names.
+    """
+    rounds = Rounds(edges.sparkSession, "passes")
+    now = rounds.keep(edges.where("b is null or a <> b"))
+    nodes = now.select(F.col("a").alias("node")).unionByName(now.where("b is not null").select(F.col("b").alias("node"))).distinct()
+    nodes = rounds.keep(nodes.select("node", F.col("node").alias("now"), F.lit(float("-inf")).alias("level")))
+    done = []
+    for _ in range(most_rounds):
+        both = now.unionByName(now.where("b is not null").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        edge = F.struct("w", F.when(F.col("b").isNotNull(), F.least("a", "b")).alias("lo"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("hi"), "b")
+        took = rounds.keep(both.groupBy("a").agg(F.min(edge).alias("e")).select("a", F.col("e.b").alias("to"), F.col("e.w").alias("w")))
+        if took.isEmpty():
+            break
+        back = took.select(F.col("a").alias("to"), F.col("to").alias("back"))
+        # of two that took each other the first stays; without a way on, the outside is reached
+        root = (F.col("a") == F.col("back")) & (F.col("a") < F.col("to"))
+        tops = took.join(back, "to", "left").select("a", "w", F.when(~F.coalesce(root, F.lit(False)), F.col("to")).alias("to"), F.coalesce(root, F.lit(False)).alias("root"))
+        tops = rounds.keep(tops.select("a", "w", F.when(F.col("root"), F.col("a")).otherwise(F.col("to")).alias("to")))
+        for _ in range(most_rounds):
+            on = tops.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            moved = tops.join(on.withColumn("known", F.lit(True)), "to", "left")
+            after = rounds.keep(moved.select("a", "w", F.when(F.col("known"), F.col("next")).alias("to"), (F.col("known") & ~F.col("to").eqNullSafe(F.col("next"))).alias("moves")))
+            tops = after.drop("moves")
+            if after.where("moves").isEmpty():
+                break
+        named = tops.withColumnRenamed("a", "now")
+        risen = rounds.keep(nodes.join(named, "now").select("node", F.col("to").alias("now"), F.greatest("level", "w").alias("level")))
+        done.append(risen.where("now is null").select("node", "level"))
+        nodes = risen.where("now is not null")
+        left, right = (tops.select(F.col("a").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b"))
+        new = now.join(left, "a").join(right, "b", "left").where("a2 is not null and (b is null or not a2 <=> b2)")
+        # a node whose other end has reached the outside goes there by the same edge
+        now = rounds.keep(new.groupBy(F.col("a2").alias("a"), F.col("b2").alias("b")).agg(F.min("w").alias("w")).unionByName(
+            now.where("b is not null").join(left, "a").join(right, "b").where("a2 is null and b2 is not null").select(F.col("b2").alias("a"), F.col("a2").alias("b"), "w")
+        ))
+    else:
+        raise RuntimeError(f"passes did not settle in {most_rounds} rounds")
+    out = nodes.select("node", "level").where("false")
+    for x in done:
+        out = out.unionByName(x)
+    return out
+
+
+def fill_depressions(cells: DataFrame, block: int = 256) -> DataFrame:
     """``grid_id, row, col, value`` raised to the lowest level from which water can leave over the border or a hole.
 
-    Blocks of a fixed size are filled each by itself from what their neighbours
-    had, until no level changes; levels only fall, so the end is exact.
+    A block is flooded once, in a task, from its outlets and from the cells that
+    touch other blocks; each such cell is a basin of its own unless water from
+    another reaches it at no greater height. The lowest passes between basins,
+    in blocks and across their borders, are a graph of a few percent of the cells,
+    whose lowest ways out give each basin's level. One more pass raises the cells.
+    Levels are exact, whatever the length of a valley.
     """
     rounds = Rounds(cells.sparkSession, "fill")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in g.D8]))
-    valid = cells.where("value is not null").select(*CELL, "value")
-    votes = valid.select("grid_id", "row", "col", steps.alias("s")).select("grid_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
-    whole = votes.groupBy(*CELL).count()
-    now = valid.join(whole, CELL, "left").select(*CELL, "value", F.lit(float("inf")).alias("level"), (F.coalesce("count", F.lit(0)) < 8).alias("edge"))
-    now = rounds.keep(now)
+    valid = cells.where("value is not null and not isnan(value)").select(*CELL, F.col("value").cast("double").alias("value"))
     at = lambda c, move=0: F.floor((F.col(c) + move) / block).cast("int")
-    schema = "grid_id long, row int, col int, value double, level double, edge boolean"
-    for _ in range(most_rounds):
-        home = F.struct(at("row").alias("i"), at("col").alias("j"))
-        near = F.array_distinct(F.array(*[F.struct(at("row", a).alias("i"), at("col", b).alias("j")) for a, b in [(0, 0), *g.D8]]))
-        dealt = now.withColumn("to", F.explode(near)).withColumn("own", F.col("to") == home)
-        filled = dealt.select("grid_id", "row", "col", "value", "level", "edge", "own", "to.i", "to.j")
-        after = rounds.keep(filled.groupBy("grid_id", "i", "j").applyInPandas(_flooded, schema), 3)
-        if after.join(now.withColumnRenamed("level", "was"), CELL).where("level <> was").isEmpty():
-            return after.select(*CELL, F.col("level").alias("value"))
-        now = after
-    raise RuntimeError(f"fill did not settle in {most_rounds} rounds")
+    home = F.struct(at("row").alias("i"), at("col").alias("j"))
+    near = F.array_distinct(F.array(*[F.struct(at("row", a).alias("i"), at("col", b).alias("j")) for a, b in [(0, 0), *g.D8]]))
+    dealt = valid.withColumn("to", F.explode(near)).withColumn("own", F.col("to") == home)
+    dealt = dealt.select("grid_id", "row", "col", "value", "own", "to.i", "to.j")
+    schema = "grid_id long, row int, col int, value double, level double, basin long, other long, rim boolean"
+
+    def flooded(frame: pd.DataFrame) -> pd.DataFrame:
+        return _basins(frame) if frame["own"].any() else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    found = rounds.keep(dealt.groupBy("grid_id", "i", "j").applyInPandas(flooded, schema))
+    node = lambda c: F.when(F.col(c) >= 0, F.struct("grid_id", F.col(c).alias("at")))
+    edges = found.where("other is not null").select(node("basin").alias("a"), node("other").alias("b"), F.col("level").alias("w"))
+    rim = found.where("rim").select(*CELL, "value", "basin")
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in g.D8 if (a, b) > (0, 0)]))
+    there = rim.withColumn("s", steps).select("grid_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), F.col("value").alias("value2"), F.col("basin").alias("basin2"))
+    across = rim.join(there, CELL).where("basin <> basin2")
+    across = across.select(node("basin").alias("a"), node("basin2").alias("b"), F.greatest("value", "value2").alias("w"))
+    edges = edges.unionByName(across)
+    edges = edges.select(F.coalesce("a", "b").alias("a"), F.when(F.col("a").isNotNull(), F.col("b")).alias("b"), "w")
+    edges = edges.where("a is not null").groupBy(F.when(F.col("b").isNotNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).agg(F.min("w").alias("w"))
+    levels = rounds.keep(lowest_passes(edges).withColumnRenamed("level", "rise"))
+    done = found.where("row is not null and basin = -1").select(*CELL, F.col("level").alias("value"))
+    rest = found.where("row is not null and basin <> -1").withColumn("node", node("basin")).join(levels, "node")
+    return done.unionByName(rest.select(*CELL, F.greatest("level", "rise").alias("value")))
 
 
 def flow_accumulation(directions: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -200,54 +304,165 @@ def burn_smoothed(cells: DataFrame, stream: DataFrame, buffer: int, sigma: float
     return both.select(*CELL, F.when(F.col("wet"), F.col("soft")).otherwise(F.col("value")).alias("value"))
 
 
-def _met(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:
-    """Cells with the stream cells (sr, sc, sv) of the squares of side ``reach`` about them; null where there are none."""
-    square = lambda c: F.floor(F.col(c) / reach)
-    near = lambda c: F.explode(F.sequence(square(c) - 1, square(c) + 1))
-    placed = stream.select("grid_id", square("row").alias("i"), square("col").alias("j"), F.col("row").alias("sr"), F.col("col").alias("sc"), F.col("value").alias("sv"))
-    return cells.withColumn("i", near("row")).withColumn("j", near("col")).join(placed, ["grid_id", "i", "j"], "left").drop("i", "j")
+_STRIP = 32
+
+
+def _slices(keys: np.ndarray):
+    """The key and slice of each run of sorted keys."""
+    cut = np.flatnonzero(np.diff(keys)) + 1
+    for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(keys)], strict=True):
+        if hi > lo:
+            yield int(keys[lo]), slice(int(lo), int(hi))
+
+
+_SIDES = ("left", "here", "right")
+_LINE = "grid_id long, line_row int, line_col int, " + ", ".join(f"{s}_far long, {s}_value double" for s in _SIDES)
+_NONE = -1
+
+
+def _lines(frame: pd.DataFrame) -> pd.DataFrame:
+    """For each column of a grid's box, the stream cells of some rows at it, and next to it on either side."""
+    frame = frame.sort_values(["row", "col"])
+    rows, cols, v = (frame[c].to_numpy() for c in ("row", "col", "value"))
+    col = np.arange(int(frame["c_min"].iloc[0]), int(frame["c_max"].iloc[0]) + 1)
+    out = []
+    for row, own in _slices(rows):
+        at, z = cols[own], v[own]
+        left, right = np.searchsorted(at, col, "left") - 1, np.searchsorted(at, col, "right")
+        here = np.where(right - left > 1, right - 1, -1)
+        part = {"line_row": row, "line_col": col}
+        for name, k in (("left", left), ("here", here), ("right", right)):
+            ok, k = (k >= 0) & (k < len(at)), np.clip(k, 0, len(at) - 1)
+            part |= {f"{name}_far": np.where(ok, np.abs(at[k].astype(np.int64) - col), _NONE), f"{name}_value": np.where(ok, z[k], np.nan)}
+        out.append(pd.DataFrame(part))
+    return pd.concat(out).assign(grid_id=frame["grid_id"].iloc[0])[[c.split()[0] for c in _LINE.split(", ")]]
+
+
+def _stream_lines(cells: DataFrame, stream: DataFrame) -> DataFrame:
+    """Each row that has stream cells (value), read at every column of its grid: as many rows as the grid's box has cells at most."""
+    ends = cells.groupBy("grid_id").agg(F.min("col").alias("c_min"), F.max("col").alias("c_max"))
+    rows = stream.select(*CELL, "value").join(ends, "grid_id").withColumn("strip", F.floor(F.col("row") / _STRIP))
+    return rows.groupBy("grid_id", "strip").applyInPandas(_lines, _LINE)
+
+
+def _along_columns(cells: DataFrame, lines: DataFrame, found, name: str) -> DataFrame:
+    """``found(rows, values, at, far, height)`` for the cells of each column of a grid: rows and values of the cells; rows, distances and values (a row for each side) of the stream at that column."""
+
+    def columns(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values(["col", "row"]), right.sort_values(["line_col", "line_row"])
+        rows, values = left["row"].to_numpy(np.int64), left["value"].to_numpy(np.float64)
+        at = right["line_row"].to_numpy(np.int64)
+        far, height = (np.stack([right[f"{s}_{c}"].to_numpy(np.float64) for s in _SIDES]) for c in ("far", "value"))
+        far[far == _NONE] = np.inf
+        there, got = dict(_slices(right["line_col"].to_numpy())), np.full(len(left), np.nan)
+        for col, own in _slices(left["col"].to_numpy()):
+            if col in there:
+                got[own] = found(rows[own], values[own], at[there[col]], far[:, there[col]], height[:, there[col]])
+        return left[CELL].assign(**{name: got})
+
+    own = cells.select(*CELL, "value").withColumn("strip", F.floor(F.col("col") / _STRIP))
+    lines = lines.withColumn("line_strip", F.floor(F.col("line_col") / _STRIP)).withColumnRenamed("grid_id", "line_grid")
+    both = own.groupBy("grid_id", "strip").cogroup(lines.groupBy("line_grid", "line_strip"))
+    got = both.applyInPandas(columns, f"grid_id long, row int, col int, {name} double")
+    return got.select(*CELL, F.when(~F.isnan(name), F.col(name)).alias(name))
+
+
+def _envelope(rows: np.ndarray, at: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """For each of ``rows``, the least (row - at)^2 + f: the lower envelope of parabolas, whose corners tell which is lowest where."""
+    hull, corner = [], []
+    for k, (x, y) in enumerate(zip(at.tolist(), (f + at * at).tolist(), strict=True)):
+        while hull:
+            cut = (y - f[hull[-1]] - at[hull[-1]] ** 2) / (2.0 * (x - at[hull[-1]]))
+            if len(hull) > 1 and cut <= corner[-1]:
+                hull.pop()
+                corner.pop()
+            else:
+                break
+        if hull:
+            corner.append(cut)
+        hull.append(k)
+    k = np.searchsorted(np.array(corner), rows)
+    hull = np.array(hull)
+    beside = hull[np.clip(k[:, None] + np.array([-1, 0, 1]), 0, len(hull) - 1)]  # a corner's rounding moves a row by one parabola at most
+    return ((rows[:, None] - at[beside]) ** 2 + f[beside]).min(1)
+
+
+def stream_distance(cells: DataFrame, stream: DataFrame, size: float = 1.0) -> DataFrame:
+    """Distance to the nearest stream cell, null in a grid without any.
+
+    An exact distance transform in two passes: along rows that have stream cells,
+    then down each column, as the lower envelope of the rows' parabolas. What
+    moves is in proportion to the cells, however dense the stream is.
+    """
 
+    def nearest(rows, values, at, far, height):
+        return np.sqrt(_envelope(rows, at, far.min(0) ** 2)) * size
 
-def _d2() -> Column:
-    return F.pow(F.col("row") - F.col("sr"), 2) + F.pow(F.col("col") - F.col("sc"), 2)
+    wet = stream.select(*CELL).distinct().withColumn("value", F.lit(0.0))
+    return _along_columns(cells.withColumn("value", F.lit(0.0)), _stream_lines(cells, wet), nearest, "distance")
 
 
-def hand_least(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:
-    """Least non-negative height over the stream cells within ``reach``; null if there is none."""
-    wet = cells.join(stream.select(*CELL), CELL, "left_semi")
-    over = F.col("value") - F.col("sv")
-    return _met(cells, wet, reach).groupBy(*CELL).agg(F.min(F.when((_d2() <= reach * reach) & (over >= 0), over)).alias("hand"))
+def hand_nearest(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:
+    """Height, 0 at least, over the stream cell of the nearest square ring, the nearest in it, then the first; never over itself; null beyond ``reach``.
 
+    In the nearest ring a row's nearest stream cells are its only candidates, so
+    rows are read once and columns look ``reach`` rows up and down.
+    """
 
-def hand_nearest(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:
-    """Height, 0 at least, over the stream cell of the nearest square ring, the nearest in it, then the first; never over itself; null beyond ``reach``."""
-    wet = cells.join(stream.select(*CELL), CELL, "left_semi")
-    ring = F.greatest(F.abs(F.col("row") - F.col("sr")), F.abs(F.col("col") - F.col("sc")))
-    best = F.min(F.when((ring > 0) & (ring <= reach), F.struct(ring.alias("k"), _d2().alias("d"), F.col("sr").alias("r"), F.col("sc").alias("c"), F.col("sv").alias("v")))).alias("best")
-    got = _met(cells, wet, reach).groupBy(*CELL, "value").agg(best)
-    return got.select(*CELL, F.when(F.col("best").isNotNull(), F.greatest(F.col("value") - F.col("best.v"), F.lit(0.0))).alias("hand"))
-
-
-def stream_distance(cells: DataFrame, stream: DataFrame, size: float = 1.0, reach: int = 8) -> DataFrame:
-    """Distance to the nearest stream cell, null in a grid without any: squares double until every cell has met one."""
-    rounds = Rounds(cells.sparkSession, "nearest")
-    wet = rounds.keep(stream.select(*CELL).distinct().withColumn("value", F.lit(0.0)))
-    left = rounds.keep(cells.select(*CELL))
-    span = cells.agg(F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("n")).first()["n"] or 0
-    done = []
-    while True:
-        near = rounds.keep(_met(left, wet, reach).groupBy(*CELL).agg(F.min(_d2()).alias("d2")))
-        last = reach > 2 * span
-        sure = F.lit(True) if last else F.coalesce(F.col("d2") <= reach * reach, F.lit(False))
-        done.append(near.where(sure))
-        left = near.where(~sure).select(*CELL)
-        if last or left.isEmpty():
-            break
-        reach *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select(*CELL, (F.sqrt("d2") * size).alias("distance"))
+    def nearest(rows, values, at, far_of, height_of):
+        first = int(rows.min()) - reach
+        n = int(rows.max()) + reach + 1 - first
+        far, height = np.full((3, n), np.inf), np.full((3, n), np.nan)
+        near = (at >= first) & (at < first + n)
+        far[:, at[near] - first], height[:, at[near] - first] = far_of[:, near], height_of[:, near]
+        best, under = np.full(len(rows), np.inf), np.full(len(rows), np.nan)
+        for step in range(-reach, reach + 1):
+            for k in range(3):
+                if k == 1 and step == 0:
+                    continue  # itself
+                d = far[k, rows - first + step]
+                rank = np.maximum(d, abs(step)) * (4 * reach * reach + 1) + d * d + step * step
+                nearer = (d <= reach) & (rank < best)
+                best = np.where(nearer, rank, best)
+                under = np.where(nearer, height[k, rows - first + step], under)
+        return np.maximum(values - under, 0.0)
+
+    wet = cells.join(stream.select(*CELL).distinct(), CELL, "left_semi").where("value is not null")
+    return _along_columns(cells, _stream_lines(cells, wet), nearest, "hand")
+
+
+def hand_least(cells: DataFrame, stream: DataFrame, reach: int, block: int = 128) -> DataFrame:
+    """Least non-negative height over the stream cells within ``reach``; null if there is none.
+
+    Blocks take the stream cells about them and are moved over them step by step
+    of the disc, whole blocks at a time: no row for a pair of cells.
+    """
+    block = max(block, reach)
+    disc = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach]
+
+    def least(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=[*CELL, "hand"])
+        r0, c0 = (int(k) * block - reach for k in key[1:])
+        shape = (block + 2 * reach, block + 2 * reach)
+        wet = _grid_of((right["wet_row"].to_numpy() - r0, right["wet_col"].to_numpy() - c0), shape, right["wet_value"])
+        z = _grid_of((left["row"].to_numpy() - r0 - reach, left["col"].to_numpy() - c0 - reach), (block, block), left["value"])
+        best = np.full(z.shape, np.inf)
+        for a, b in disc:
+            over = z - wet[reach + a : reach + a + block, reach + b : reach + b + block]
+            np.minimum(best, np.where(over >= 0, over, np.inf), out=best)
+        hand = best[left["row"].to_numpy() - r0 - reach, left["col"].to_numpy() - c0 - reach]
+        return left[CELL].assign(hand=np.where(np.isinf(hand), np.nan, hand))
+
+    wet = cells.join(stream.select(*CELL).distinct(), CELL, "left_semi").where("value is not null")
+    part = lambda c, move=0: F.floor((F.col(c) + move) / block).cast("int")
+    about = lambda c: F.explode(F.sequence(part(c, -reach), part(c, reach)))
+    near = wet.select("grid_id", "row", "col", "value", about("row").alias("i")).withColumn("j", about("col"))
+    near = near.withColumnsRenamed({c: f"wet_{c}" for c in near.columns})
+    own = cells.select(*CELL, "value", part("row").alias("i"), part("col").alias("j"))
+    both = own.groupBy("grid_id", "i", "j").cogroup(near.groupBy("wet_grid_id", "wet_i", "wet_j"))
+    got = both.applyInPandas(least, "grid_id long, row int, col int, hand double")
+    return got.select(*CELL, F.when(~F.isnan("hand"), F.col("hand")).alias("hand"))
 
 
 def drainage_proxy(cells: DataFrame, sigma: float = 2.0, k: int = 5, share: float = 0.05) -> DataFrame:

@@ -110,7 +110,7 @@ def grid_hand_nearest(spark, d):
 
 @query("grid_stream_distance", sq(f"SELECT grid_id, row, col, sqrt(min(d2)) * 10 AS distance FROM ({_PAIR}) GROUP BY 1, 2, 3", KEY, "distance"))
 def grid_stream_distance(spark, d):
-    return rounded(h.stream_distance(_cells(spark, d), _stream(spark, d), 10.0, 4))
+    return rounded(h.stream_distance(_cells(spark, d), _stream(spark, d), 10.0))
 
 
 _PROXY = f"""WITH f AS (SELECT grid_id, row, col, log10(abs(value) + 1) AS flow FROM ({_smooth(f'SELECT grid_id, row, col, -value AS value FROM ({G})', 1.0)})),
@@ -183,9 +183,48 @@ def grid_dem_quality(spark, d):
     return rounded(h.dem_quality(_cells(spark, d), _stream(spark, d)))
 
 
-@query("grid_fill_depressions")
+def _fill(src: str) -> str:
+    """The lowest way out of every cell, relaxed until nothing falls: the newest level of a cell stands for it."""
+    return f"""WITH RECURSIVE z AS ({src}), s(a, b) AS (VALUES {', '.join(f'({a}, {b})' for a, b in g.D8)}),
+    near AS (SELECT z.grid_id, z.row, z.col, count(*) AS n FROM z, s JOIN z o ON o.grid_id = z.grid_id AND o.row = z.row + s.a AND o.col = z.col + s.b GROUP BY 1, 2, 3),
+    steps AS (SELECT z.grid_id, z.row, z.col, z.value, z.row + s.a AS r2, z.col + s.b AS c2 FROM z, s),
+    fill(grid_id, row, col, value) USING KEY (grid_id, row, col) AS (
+      SELECT grid_id, row, col, value FROM z LEFT JOIN near USING (grid_id, row, col) WHERE coalesce(n, 0) < 8
+      UNION
+      SELECT t.grid_id, t.row, t.col, min(greatest(t.value, f.value)) AS value FROM fill f JOIN steps t ON t.grid_id = f.grid_id AND t.r2 = f.row AND t.c2 = f.col
+        LEFT JOIN recurring.fill k ON k.grid_id = t.grid_id AND k.row = t.row AND k.col = t.col
+        WHERE k.value IS NULL OR greatest(t.value, f.value) < k.value GROUP BY 1, 2, 3)
+    SELECT grid_id, row, col, value FROM fill"""
+
+
+@query("grid_fill_depressions", sq(_fill(G), KEY, "value"))
 def grid_fill_depressions(spark, d):
-    return h.fill_depressions(_cells(spark, d), 64)
+    return rounded(h.fill_depressions(_cells(spark, d), 64))
+
+
+#: A valley that winds through the one large grid of all vectors, so that water crosses every block; beside it, ground of two heights more.
+_WINDING = "CASE WHEN row % 8 = 4 OR (col = CASE WHEN (row // 8) % 2 = 0 THEN 62 ELSE 1 END AND row % 8 <> 0) THEN value / 100 + col * 0.0001 ELSE value + 2 END"
+
+
+@query("grid_fill_winding", sq(_fill(f"SELECT grid_id, row, col, {_WINDING} AS value FROM ({fx.SQL_CELLS})"), KEY, "value"))
+def grid_fill_winding(spark, d):
+    row, col, v = (F.col(c) for c in ("row", "col", "value"))
+    turn = F.when(F.floor(row / 8) % 2 == 0, 62).otherwise(1)
+    low = (row % 8 == 4) | ((col == turn) & (row % 8 != 0))
+    winding = F.when(low, v / 100 + col * 0.0001).otherwise(v + 2)
+    return rounded(h.fill_depressions(fx.cells(spark, d).withColumn("value", winding), 32))
+
+
+_FAR = f"""WITH c AS ({fx.SQL_CELLS}), s AS (SELECT row AS sr, col AS sc FROM c WHERE value > 0.3),
+  rows AS (SELECT DISTINCT sr FROM s), cols AS (SELECT DISTINCT col FROM c),
+  line AS (SELECT sr, cols.col, min(abs(cols.col - sc)) AS d FROM cols, s GROUP BY 1, 2)
+  SELECT grid_id, c.row, c.col, sqrt(min((c.row - sr) ** 2 + d ** 2)) AS distance FROM c LEFT JOIN line USING (col) GROUP BY 1, 2, 3"""
+
+
+@query("grid_stream_distance_whole", sq(_FAR, KEY, "distance"))
+def grid_stream_distance_whole(spark, d):
+    whole = fx.cells(spark, d)
+    return rounded(h.stream_distance(whole, whole.where("value > 0.3")))
 
 
 @query("grid_synthetic_extent")
