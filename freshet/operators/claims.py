@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .ranges import quantiles
 
 #: Spellings of each column, the first that is there counts.
 SYNONYMS = {
@@ -59,33 +60,9 @@ def claim_economics(claims: DataFrame) -> DataFrame:
     return claims.agg(F.sum(a).alias("total"), F.avg(a).alias("mean"), F.max(a).alias("largest"), F.count(a).alias("claims"), *[share(n) for n in names])
 
 
-def median_by_ranges(df: DataFrame, column: str, buckets: int = 4096, probability: float = 0.5) -> DataFrame:
-    """One row ``value``: the exact quantile of a large column, interpolated.
-
-    Rows are counted by value range, running totals over the ranges tell which of
-    them hold the two ranks, and only those ranges' values are sorted.
-    """
-    from pyspark.sql.window import Window
-
-    v = F.col(column).cast("double")
-    x = df.select(v.alias("v")).where("v is not null and not isnan(v)")
-    ends = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))  # one row
-    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * buckets), F.lit(buckets - 1))
-    x = x.crossJoin(F.broadcast(ends)).withColumn("bucket", place)
-    totals = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))  # as many rows as buckets
-    before = F.coalesce(F.sum("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    low = F.floor((F.col("n") - 1) * probability)
-    part = (F.col("n") - 1) * probability - low
-    totals = totals.withColumns({"before": before, "low": low, "part": part, "high": F.least(low + 1, F.col("n") - 1)})
-    holds = totals.where("(before <= low and low < before + m) or (before <= high and high < before + m)").drop("n", "m")
-    found = x.join(F.broadcast(holds), "bucket")
-    # ranks within a range: a range holds about n / buckets values, equal ones are one row
-    same = found.groupBy("bucket", "v", "before", "low", "high", "part").agg(F.count(F.lit(1)).alias("k"))
-    at = F.col("before") + F.coalesce(F.sum("k").over(Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = same.withColumn("at", at)
-    hit = lambda r: F.max(F.when((F.col("at") <= F.col(r)) & (F.col(r) < F.col("at") + F.col("k")), F.col("v")))
-    got = same.agg(hit("low").alias("a"), hit("high").alias("b"), F.max("part").alias("part"))
-    return got.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+def median_by_ranges(df: DataFrame, column: str, probability: float = 0.5) -> DataFrame:
+    """One row ``value``: the exact quantile of a whole column, interpolated."""
+    return quantiles(df, [], [column], [probability]).select(F.get(f"{column}_q", F.lit(0)).alias("value"))
 
 
 def retain(runs: DataFrame, results: DataFrame, alerts: DataFrame, cutoff) -> tuple[DataFrame, DataFrame, DataFrame]:

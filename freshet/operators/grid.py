@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import quantiles, with_quantiles
+
 CELL = ["grid_id", "row", "col"]
 
 
@@ -199,18 +201,16 @@ def opening(extent: DataFrame, shape: str = "cross", n: int = 1) -> DataFrame:
 def statistics(cells: DataFrame, key: str = "grid_id") -> DataFrame:
     """Count, mean, std, ends, quartiles, skewness and kurtosis of valid cells."""
     v = F.col("value")
-    return cells.groupBy(key).agg(
+    got = cells.groupBy(key).agg(
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("std"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
-        F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.25).alias("q25"),
-        F.percentile(v, 0.75).alias("q75"),
         F.skewness(v).alias("skew"),
         F.kurtosis(v).alias("kurtosis"),
     )
+    return with_quantiles(got, cells, [key], "value", {"median": 0.5, "q25": 0.25, "q75": 0.75})
 
 
 def coverage(cells: DataFrame, key: str = "grid_id") -> DataFrame:
@@ -308,24 +308,27 @@ def zscore(df: DataFrame, key: str = "grid_id", eps: float = 1e-8) -> DataFrame:
 
 def zscore_robust(df: DataFrame, key: str = "grid_id") -> DataFrame:
     """Value less the median over MAD / 0.67449."""
-    med = df.groupBy(key).agg(F.percentile("value", 0.5).alias("med"))
-    x = df.join(med, key)
-    mad = x.groupBy(key).agg(F.percentile(F.abs(F.col("value") - F.col("med")), 0.5).alias("mad"))
+    half = lambda x, c, name: quantiles(x, [key], [c], [0.5]).select(key, F.get(f"{c}_q", F.lit(0)).alias(name))
+    x = df.join(half(df, "value", "med"), key)
+    mad = half(x.select(key, F.abs(F.col("value") - F.col("med")).alias("off")), "off", "mad")
     scale = F.when(F.col("mad") / 0.67449 < 1e-8, 1.0).otherwise(F.col("mad") / 0.67449)
     return x.join(mad, key).withColumn("z", (F.col("value") - F.col("med")) / scale).drop("med", "mad")
 
 
 def minmax(df: DataFrame, low: float = 0.0, high: float = 1.0, pct: tuple[float, float] | None = None, key: str = "grid_id") -> DataFrame:
     """Value scaled so that its ends (or percentiles) are ``low`` and ``high``; a flat group is ``low``."""
-    a, b = (F.percentile("value", p) for p in pct) if pct else (F.min("value"), F.max("value"))
-    x = df.join(df.groupBy(key).agg(a.alias("a"), b.alias("b")), key)
+    if pct:
+        ends = quantiles(df, [key], ["value"], list(pct)).select(key, *[F.get("value_q", F.lit(i)).alias(n) for i, n in enumerate("ab")])
+    else:
+        ends = df.groupBy(key).agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    x = df.join(ends, key)
     part = F.coalesce(F.try_divide(F.col("value") - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0))
     return x.withColumn("scaled", low + part * (high - low)).drop("a", "b")
 
 
 def quantile_rank(df: DataFrame, n: int = 100, key: str = "grid_id") -> DataFrame:
     """Left insertion place among ``n`` evenly spaced reference percentiles, over ``n``."""
-    refs = df.groupBy(key).agg(F.percentile("value", [i / (n - 1) for i in range(n)]).alias("refs"))
+    refs = quantiles(df, [key], ["value"], [i / (n - 1) for i in range(n)]).withColumnRenamed("value_q", "refs")
     below = F.size(F.filter("refs", lambda q: q < F.col("value")))
     return df.join(refs, key).withColumn("quantile", below / n).drop("refs")
 

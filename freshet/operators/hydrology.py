@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import Rounds
 from . import grid as g
+from .ranges import with_quantiles
 
 CELL = g.CELL
 _RUN = ["grid_id", "row", "start"]
@@ -469,7 +470,7 @@ def drainage_proxy(cells: DataFrame, sigma: float = 2.0, k: int = 5, share: floa
     """``flow`` = log10(|smooth(-z)| + 1), ``stream`` below its percentile, ``height`` = z less the lowest about it."""
     smooth = g.gaussian(cells.withColumn("value", -F.col("value")), sigma)
     flow = smooth.select(*CELL, F.log10(F.abs("value") + 1).alias("flow"))
-    cut = flow.groupBy("grid_id").agg(F.percentile("flow", share).alias("cut"))
+    cut = with_quantiles(flow.select("grid_id").distinct(), flow, ["grid_id"], "flow", {"cut": share})
     low = g.focal(cells, k).select(*CELL, F.greatest(F.col("value") - F.col("f_min"), F.lit(0.0)).alias("height"))
     return flow.join(cut, "grid_id").join(low, CELL).select(*CELL, "flow", (F.col("flow") < F.col("cut")).alias("stream"), "height")
 
@@ -483,7 +484,7 @@ def synthetic_extent(cells: DataFrame, rain: float, least: int = 4) -> DataFrame
     low = cells.join(ends, "grid_id").select(*CELL, (1 - F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))).alias("value"))
     deep = g.gaussian(low, 0.5 + rain)
     flat = g.slope(cells)
-    cut = flat.groupBy("grid_id").agg(F.percentile("slope", 0.3).alias("cut"))
+    cut = with_quantiles(flat.select("grid_id").distinct(), flat, ["grid_id"], "slope", {"cut": 0.3})
     both = deep.join(flat, CELL).join(cut, "grid_id")
     depth = F.col("value") * rain * F.when(F.col("slope") <= F.col("cut"), 1.5).otherwise(1.0)
     return g.opening(drop_small(both.where(depth > 0.5).select(*CELL), least), "cross")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.scratch import Rounds
+from .ranges import running
 
 INF = float("inf")
 
@@ -171,13 +173,18 @@ def js_distance(pairs: DataFrame, bins: int = 50, key: str = "case_id") -> DataF
 
 
 def spearman(pairs: DataFrame, key: str = "case_id") -> DataFrame:
-    """Correlation of average ranks within each case."""
-    def ranked(v: str) -> Column:
-        w = Window.partitionBy(key)
-        return F.rank().over(w.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(key, v)) - 1) / 2
-
-    ranks = pairs.select(key, ranked("pred").alias("rp"), ranked("obs").alias("ro"))
-    return ranks.groupBy(key).agg(pearson(F.col("rp"), F.col("ro")).alias("spearman"))
+    """Correlation of average ranks within each case. Equal values share a rank; pairs alike in both are one row with a weight."""
+    both = Rounds(pairs.sparkSession, "spearman").keep(pairs.groupBy(key, "pred", "obs").agg(F.count(F.lit(1)).alias("w")))
+    sides = both
+    for side, name in (("pred", "rp"), ("obs", "ro")):
+        each = running(sides.groupBy(key, side).agg(F.sum("w").alias("m")), [key], side, ["m"])
+        rank = each.select(F.col(key).alias("_key"), F.col(side).alias("_side"), (F.col("m_before") + (F.col("m") + 1) / 2).alias(name))
+        both = both.join(rank, F.col(key).eqNullSafe(F.col("_key")) & F.col(side).eqNullSafe(F.col("_side"))).drop("_key", "_side")
+    w, x, y = (F.col(c) for c in ("w", "rp", "ro"))
+    mean = both.groupBy(key).agg(F.sum("w").alias("n")).select(F.col(key).alias("_key"), ((F.col("n") + 1) / 2).alias("mid"))  # ranks' mean, ties or not
+    off = both.join(mean, F.col(key).eqNullSafe(F.col("_key"))).select(key, "w", (x - F.col("mid")).alias("rp"), (y - F.col("mid")).alias("ro"))
+    got = off.groupBy(key).agg(F.sum(w * x * y).alias("xy"), (F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))).alias("spread"))
+    return got.select(key, F.when(F.col("spread") > 0, F.try_divide("xy", "spread")).alias("spearman"))
 
 
 def map_statistics(pairs: DataFrame, thr: float = 0.01, cell_area: float = 1.0, key: str = "case_id") -> DataFrame:
@@ -192,25 +199,19 @@ def map_statistics(pairs: DataFrame, thr: float = 0.01, cell_area: float = 1.0,
 
 
 def roc_points(scored: DataFrame, key: str = "case_id") -> DataFrame:
-    """``key, score, tp, fp, pos, neg``: running counts at each distinct score, from the highest down."""
+    """``key, score, t, f, tp, fp, pos, neg``: counts at each distinct score and running ones from the highest down."""
     by = scored.groupBy(key, "score").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("f"))
-    down = Window.partitionBy(key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    return by.select(
-        key, "score", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), F.sum("t").over(whole).alias("pos"), F.sum("f").over(whole).alias("neg")
-    )
+    x = running(by, [key], "score", ["t", "f"], down=True)
+    run = {"tp": F.col("t_before") + F.col("t"), "fp": F.col("f_before") + F.col("f"), "pos": F.col("t_whole"), "neg": F.col("f_whole")}
+    return x.select(key, "score", "t", "f", *[c.alias(n) for n, c in run.items()])
 
 
 def roc_auc(scored: DataFrame, key: str = "case_id") -> DataFrame:
     """Area under the ROC curve by trapezoids, and average precision; null without both classes."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"))
     points = roc_points(scored, key).where("pos > 0 and neg > 0")
-    tpr, fpr = F.col("tp") / F.col("pos"), F.col("fp") / F.col("neg")
-    steps = points.select(
-        key,
-        ((fpr - F.coalesce(F.lag(fpr).over(w), F.lit(0.0))) * (tpr + F.coalesce(F.lag(tpr).over(w), F.lit(0.0))) / 2).alias("area"),
-        ((tpr - F.coalesce(F.lag(tpr).over(w), F.lit(0.0))) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("step"),
-    )
+    t, f, tp, fp, pos, neg = (F.col(c) for c in ("t", "f", "tp", "fp", "pos", "neg"))
+    # a point's step back is its own counts, so no row needs the one before it
+    steps = points.select(key, (f / neg * (2 * tp - t) / pos / 2).alias("area"), (t / pos * tp / (tp + fp)).alias("step"))
     return steps.groupBy(key).agg(F.sum("area").alias("auc"), F.sum("step").alias("average_precision"))
 
 

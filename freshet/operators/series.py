@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import with_quantiles
+
 
 def _slope(y: Column, x: Column, w) -> Column:
     """Least-squares slope within a window; 0 for a single x."""
@@ -196,22 +198,21 @@ def flood_statistics(cells: DataFrame, threshold: float, cell_km2: float, key: s
     """Counts, flooded share and area, largest and mean depths, and quantiles of flooded depths."""
     v = F.col("value")
     wet = F.when(v >= threshold, v)
-    q = F.percentile(wet, [0.5, 0.9, 0.95, 0.99])
     got = cells.groupBy(key).agg(
-        F.count(v).alias("cells"), F.count(wet).alias("flooded"), F.max(v).alias("max_depth"), F.avg(v).alias("mean_depth"), F.avg(wet).alias("mean_flooded"), q.alias("q")
+        F.count(v).alias("cells"), F.count(wet).alias("flooded"), F.max(v).alias("max_depth"), F.avg(v).alias("mean_depth"), F.avg(wet).alias("mean_flooded")
     )
-    names = ["p50", "p90", "p95", "p99"]
-    return got.withColumns({"share": F.col("flooded") / F.col("cells"), "area_km2": F.col("flooded") * cell_km2, **{n: F.get("q", F.lit(i)) for i, n in enumerate(names)}}).drop("q")
+    got = with_quantiles(got, cells.where(v >= threshold), [key], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return got.withColumns({"share": F.col("flooded") / F.col("cells"), "area_km2": F.col("flooded") * cell_km2})
 
 
 def precipitation_summary(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Ends, mean, spread, quantiles, shape and members of each grid of rain."""
     v = F.col("value")
     got = cells.groupBy(*keys).agg(
-        F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, [0.1, 0.5, 0.9]).alias("q"),
+        F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
         (F.max("row") + 1).alias("nrows"), (F.max("col") + 1).alias("ncols"), F.count_distinct("member").alias("members"),
     )
-    return got.withColumns({n: F.get("q", F.lit(i)) for i, n in enumerate(["p10", "p50", "p90"])}).drop("q")
+    return with_quantiles(got, cells, keys, "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 def bootstrap(pairs: DataFrame, metric, replicates: int, level: float = 0.95, seed: int = 11, key: str = "case_id", row: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
+from ..operators.ranges import with_quantiles
 from ..sources import fixtures as fx
 from .metrics import sq
 from .registry import query, rounded
@@ -63,10 +64,9 @@ _BATCH = f"SELECT metric, avg(value) AS mean, stddev_pop(value) AS std, min(valu
 def agg_batch_statistics(spark, d):
     wide = fx.runs(spark, d).select("max_depth", "mean_depth", F.col("cells").cast("double").alias("cells"))
     v = F.col("value")
-    long = wide.unpivot([], ["max_depth", "mean_depth", "cells"], "metric", "value").groupBy("metric")
-    return rounded(
-        long.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, 0.5).alias("median"), F.sum(v).alias("total"))
-    )
+    long = wide.unpivot([], ["max_depth", "mean_depth", "cells"], "metric", "value")
+    got = long.groupBy("metric").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.sum(v).alias("total"))
+    return rounded(with_quantiles(got, long, ["metric"], "value", {"median": 0.5}))
 
 
 @query("win_latest_record", f"SELECT component, max(ts) AS ts, arg_max(score, ts) AS score FROM ({HI}) GROUP BY 1")

@@ -32,4 +32,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import checks, claims, files, grids, histories, hydro, losses, metrics, more, rain, scores, series, streams, tiles  # noqa: F401
+    from . import checks, claims, files, grids, histories, hydro, losses, metrics, more, rain, scores, series, streams, tiles, wholes  # noqa: F401
