@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Rounds
 from .ranges import with_quantiles
 
 
@@ -75,28 +78,96 @@ def resource_trend(samples: DataFrame, minutes: int, now: Column) -> DataFrame:
     return samples.withColumn("rank", rank).where(recent | (F.col("rank") == 1)).drop("rank")
 
 
+_FAN = 64
+
+
+def _ends(at: np.ndarray, following: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """Where the chains from ``starts`` (places in ``at``) first leave the group's time, -1 where they break off."""
+    to, out = np.searchsorted(at, following), np.empty(len(starts), np.int64)
+    now, open_ = starts.copy(), np.arange(len(starts))
+    while len(open_):
+        there = following[now[open_]]
+        gone = (there < 0) | (there >= end)
+        out[open_[gone]] = there[gone]
+        now[open_] = to[now[open_]]
+        open_ = open_[~gone]
+    return out
+
+
+def _chains(times: DataFrame, gap: int) -> DataFrame:
+    """``kind, at, next, root`` of distinct times (kind, at from 0): the first time ``gap`` or more later, and whether a time fires whatever fired before.
+
+    Buckets are as long as the gap, so what follows a time stands in the next
+    bucket or is the first of the one after; a first time behind an empty bucket
+    fires in any case.
+    """
+    same = lambda x, y, *on: x["kind"].eqNullSafe(y["k2"]) & on[0]
+    bucket = lambda c: F.floor(F.col(c) / gap)
+    firsts = times.groupBy("kind", bucket("at").alias("bucket")).agg(F.min("at").alias("first"))
+    asked = times.select("kind", F.col("at").alias("asks"), (F.col("at") + gap).alias("key")).unionByName(times.select("kind", F.lit(None).cast("long").alias("asks"), F.col("at").alias("key")))
+    asked = asked.withColumn("bucket", bucket("key"))
+    w = Window.partitionBy("kind", "bucket").orderBy(F.desc("key"), F.asc_nulls_first("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.withColumn("next", F.last_value(F.when(F.col("asks").isNull(), F.col("key")), ignoreNulls=True).over(w)).where("asks is not null")
+    after = firsts.select(F.col("kind").alias("k2"), (F.col("bucket") - 1).alias("b2"), F.col("first").alias("later"))
+    found = asked.join(after, same(asked, after, asked["bucket"] == after["b2"]), "left").select("kind", F.col("asks").alias("at"), F.coalesce("next", "later", F.lit(-1)).alias("next"))
+    before = firsts.select(F.col("kind").alias("k2"), (F.col("bucket") + 1).alias("b2"))
+    roots = firsts.join(before, same(firsts, before, firsts["bucket"] == before["b2"]), "left_anti").select(F.col("kind").alias("k2"), F.col("first").alias("at2"))
+    return found.join(roots, same(found, roots, found["at"] == roots["at2"]), "left").select("kind", "at", "next", F.col("at2").isNotNull().alias("root"))
+
+
 def throttled(warnings: DataFrame, minutes: int = 5) -> DataFrame:
     """``kind, ts`` of warnings that fire: the first of a kind, and each that comes ``minutes`` or more after the last that fired.
 
-    What fires depends on what fired before, so a kind's times are folded in order
-    within its busy stretches: stretches apart by the quiet time are independent,
-    which keeps a group as short as its longest stretch.
+    What fires depends on what fired before, so times point to their successors,
+    and the chains are followed in levels: blocks of 64 buckets, of 64 blocks and
+    so on. Going up, only times at which a chain may enter a block keep a pointer,
+    to where it leaves; going down, each block is told where it was entered. A
+    task holds one block of one kind; all levels together are little more than
+    the times themselves. Null times fire nothing.
     """
     gap = minutes * 60_000_000
+    rounds = Rounds(warnings.sparkSession, "throttle")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("kind").orderBy("at")
-    x = warnings.select("kind", at.alias("at")).distinct()
-    fresh = F.coalesce(F.col("at") - F.lag("at").over(w) >= gap, F.lit(True)).cast("int")
-    x = x.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    times = x.groupBy("kind", "stretch").agg(F.array_sort(F.collect_list("at")).alias("times"))
-    none = F.array().cast("array<bigint>")
-
-    def step(acc, t):
-        return F.when(F.coalesce(t - F.element_at(acc, -1) >= gap, F.lit(True)), F.concat(acc, F.array(t))).otherwise(acc)
-
-    first = F.slice("times", 1, 1)
-    fired = F.aggregate(F.slice("times", 2, F.greatest(F.size("times") - 1, F.lit(0))), F.coalesce(first, none), step)
-    return times.select("kind", F.explode(fired).alias("at")).select("kind", F.timestamp_micros("at").alias("ts"))
+    times = rounds.keep(warnings.select("kind", at.alias("at")).where("at is not null").distinct())
+    ends = times.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    base = (ends["a"] or 0) // gap * gap
+    kind = f"kind {times.schema['kind'].dataType.simpleString()}"
+    now = rounds.keep(_chains(times.withColumn("at", F.col("at") - base), gap))
+    spans = [gap * _FAN]
+    while spans[-1] <= (ends["b"] or 0) - base:
+        spans.append(spans[-1] * _FAN)
+    block = lambda span: F.floor(F.col("at") / span).alias("block")
+
+    def upward(span: int):
+        def up(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("at", ignore_index=True)
+            start = int(frame["block"].iloc[0]) * span
+            keeps = np.flatnonzero((frame["at"] < start + 2 * gap) | frame["root"])
+            out = frame.iloc[keeps][["kind", "at", "next", "root"]]
+            return out.assign(next=_ends(frame["at"].to_numpy(), frame["next"].to_numpy(), keeps, start + span))
+
+        return up
+
+    levels = [now]
+    for span in spans[:-1]:
+        levels.append(rounds.keep(levels[-1].select("*", block(span)).groupBy("kind", "block").applyInPandas(upward(span), f"{kind}, at long, next long, root boolean")))
+
+    def down(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("at", ignore_index=True)
+        at, to, fires = left["at"].to_numpy(), left["next"].to_numpy(), np.zeros(len(left), bool)
+        place = np.searchsorted(at, to)
+        for k in np.flatnonzero(left["root"].to_numpy() | np.isin(at, right["entry"].to_numpy())):
+            while k < len(at) and not fires[k]:
+                fires[k] = True
+                k = place[k] if to[k] >= 0 else len(at)
+        return left.loc[fires, ["kind", "at"]]
+
+    fired = levels[-1].select("kind", "at").where("false")
+    for level, span in zip(reversed(levels), reversed(spans), strict=True):
+        entries = fired.select(F.col("kind").alias("of"), F.col("at").alias("entry"), block(span).alias("in"))
+        both = level.select("*", block(span)).groupBy("kind", "block").cogroup(entries.groupBy("of", "in"))
+        fired = rounds.keep(both.applyInPandas(down, f"{kind}, at long"))
+    return fired.select("kind", F.timestamp_micros(F.col("at") + base).alias("ts"))
 
 
 def series_validation(both: DataFrame, key: str = "series_id") -> DataFrame:
