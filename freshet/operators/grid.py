@@ -103,11 +103,17 @@ def focal(cells: DataFrame, k: int, border: str = "null", value: str = "value")
     return x.withColumns({"f_sum": F.col("s1"), "f_n": F.col("c1"), "f_mean": mean, "f_min": F.col("lo"), "f_max": F.col("hi"), "f_std": std}).drop(*folds)
 
 
-def gaussian(cells: DataFrame, sigma: float, value: str = "value") -> DataFrame:
-    """Gaussian smoothing, cut at 4 sigma, mirrored at borders: two passes of weighted neighbours; null where one is missing."""
+def gaussian_kernel(sigma: float) -> list[float]:
+    """Weights of the cells along a line, cut at 4 sigma; they add up to 1."""
     k = int(4 * sigma + 0.5)
     weights = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-k, k + 1)]
-    kernel = [w / sum(weights) for w in weights]
+    return [w / sum(weights) for w in weights]
+
+
+def gaussian(cells: DataFrame, sigma: float, value: str = "value") -> DataFrame:
+    """Gaussian smoothing, cut at 4 sigma, mirrored at borders: two passes of weighted neighbours; null where one is missing."""
+    kernel = gaussian_kernel(sigma)
+    k = len(kernel) // 2
     x = with_reflection(cells, k)
     for w in (_row(), _col()):
         parts = [_at(value, w, i) * kernel[i + k] if i else F.col(value) * kernel[k] for i in range(-k, k + 1)]
@@ -135,6 +141,46 @@ def tpi(cells: DataFrame, k: int) -> DataFrame:
     return focal(cells, k).select(*CELL, (F.col("value") - others).alias("tpi"))
 
 
+def ruggedness_mean(cells: DataFrame, k: int = 1) -> DataFrame:
+    """``tri``: mean ``|other - c|`` of the valid cells of a (2k+1) x (2k+1) window, the centre among them; null with fewer than two.
+
+    Two passes gather each row's values and then the rows of a window.
+    """
+    x = cells.select(*CELL, "value", F.collect_list("value").over(_row().rangeBetween(-k, k)).alias("near"))
+    x = x.withColumn("near", F.flatten(F.collect_list("near").over(_col().rangeBetween(-k, k))))
+    off = F.aggregate("near", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("value")))
+    return x.select(*CELL, F.when((F.size("near") > 1) & F.col("value").isNotNull(), off / F.size("near")).alias("tri"))
+
+
+def wetness_of_cells(wide: DataFrame, size: float = 1.0, accumulation: str = "cells", slope_radians: str = "slope") -> DataFrame:
+    """Add ``twi = ln((cells + 1) size / tan slope)``, the slope 0.001 at least."""
+    return wide.withColumn("twi", F.log((F.col(accumulation) + 1) * size / F.tan(F.greatest(F.col(slope_radians), F.lit(0.001)))))
+
+
+def contrast_features(wide: DataFrame, near: int = 4, far: int = 7, eps: float = 1e-8) -> DataFrame:
+    """Dimensionless forms of elevation, slope, twi, hand, flow and roughness against their surroundings, borders mirrored.
+
+    Contrasts are (value - mean) / (mean + eps) over the near window, of flow in
+    logs; heights are set against the far window's relief. All bands take the
+    same two passes: one exchange for rows, one for columns.
+    """
+    c = F.col
+    x = with_reflection(wide.withColumn("flow", F.log(c("flow") + 1)), far)
+    bands = ["slope", "twi", "flow", "roughness"]
+    x = x.withColumns({f"s_{b}": c(b) for b in bands} | {f"n_{b}": c(b).isNotNull().cast("long") for b in bands} | {"lo": c("elevation"), "hi": c("elevation")})
+    for w in (_row(), _col()):
+        close, wide_ = w.rangeBetween(-near, near), w.rangeBetween(-far, far)
+        sums = {f"{p}_{b}": F.sum(f"{p}_{b}").over(close) for p in "sn" for b in bands}
+        x = x.withColumns(sums | {"lo": F.min("lo").over(wide_), "hi": F.max("hi").over(wide_)})
+    x = x.where("row >= 0 and row < rows and col >= 0 and col < cols")
+    mean = {b: c(f"s_{b}") / c(f"n_{b}") for b in bands}
+    contrast = {b: (c(b) - mean[b]) / (mean[b] + eps) for b in bands}
+    relief = F.greatest(c("hi") - c("lo"), F.lit(eps))
+    names = {"slope_position": contrast["slope"], "twi_contrast": contrast["twi"], "flow_contrast": contrast["flow"], "roughness_contrast": contrast["roughness"]}
+    names |= {"relative_elevation": (c("elevation") - c("lo")) / relief, "normalized_hand": c("hand") / relief}
+    return x.select(*CELL, *[v.alias(n) for n, v in names.items()])
+
+
 def ruggedness(cells: DataFrame) -> DataFrame:
     """``|8 c - sum of neighbours|`` with 0 outside, and the mean ``|neighbour - c|`` of valid cells, the centre among them."""
     values = [F.col(_name(s)) for s in D8]

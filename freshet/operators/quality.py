@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules
+from ..sources.versions import Versions
 from . import grid as g
+from .ranges import with_quantiles
 
 
 def judged(df: DataFrame, key: str, found: list[tuple[str, Column, float]]) -> DataFrame:
@@ -71,7 +74,7 @@ def check_tiles(tiles: DataFrame, least_tiles: int, low: float, high: float, key
 
 
 def check_labels(cells: DataFrame) -> DataFrame:
-    """Per grid of 0/1 labels: rarer class under 1 % (0.3), wet cells without a wet neighbour over 5 % (0.2), agreement with neighbours under 0.8 (0.2), values beyond 0 and 1 (0.3)."""
+    """Per grid of 0/1 labels: rarer class under 1 % (0.3), wet cells without a wet neighbour over 5 % (0.2), agreement with neighbours under 0.8 (0.2), noise over 10 % (0.2), values beyond 0 and 1 (0.3)."""
     names = [g._name(s) for s in g.D8]
     x = g.neighbours(cells)
     wet = sum((F.coalesce((F.col(n) > 0).cast("int"), F.lit(0)) for n in names), F.lit(0))
@@ -83,8 +86,24 @@ def check_labels(cells: DataFrame) -> DataFrame:
         F.least(F.avg((v > 0).cast("int")), F.avg((v == 0).cast("int"))).alias("rare"), F.try_divide(F.count_if((v > 0) & (F.col("wet") == 0)), F.count_if(v > 0)).alias("alone"),
         (F.sum("same") / F.greatest(F.sum("there"), F.lit(1))).alias("coherence"), F.count_if(~v.isin(0.0, 1.0)).alias("odd"),
     )
-    found = [("imbalanced", F.col("rare") < 0.01, 0.3), ("isolated", F.col("alone") > 0.05, 0.2), ("incoherent", F.col("coherence") < 0.8, 0.2), ("values", F.col("odd") > 0, 0.3)]
-    return judged(got, "grid_id", found)
+    found = [("imbalanced", F.col("rare") < 0.01, 0.3), ("isolated", F.col("alone") > 0.05, 0.2), ("incoherent", F.col("coherence") < 0.8, 0.2), ("noisy", F.col("noise") > 0.1, 0.2), ("values", F.col("odd") > 0, 0.3)]
+    return judged(got.join(label_noise(cells), "grid_id", "left"), "grid_id", found)
+
+
+def label_noise(cells: DataFrame, classes: int = 10) -> DataFrame:
+    """``grid_id, noise``: the share of doubtful labels. Of at most ``classes`` values, those that differ from their 3 x 3 median, borders mirrored; of more, those beyond 1.5 quartile ranges."""
+    kinds = cells.groupBy("grid_id").agg(F.count_distinct("value").alias("kinds"))
+    whole = g.with_reflection(cells.where("value is not null").select(*g.CELL, "value"), 1)
+    x = whole.withColumn("near", F.collect_list("value").over(Window.partitionBy("grid_id", "row").orderBy("col").rangeBetween(-1, 1)))
+    x = x.withColumn("near", F.sort_array(F.flatten(F.collect_list("near").over(Window.partitionBy("grid_id", "col").orderBy("row").rangeBetween(-1, 1)))))
+    x = x.where("row >= 0 and row < rows and col >= 0 and col < cols")
+    median = F.get("near", F.floor(F.size("near") / 2).cast("int"))
+    odd = x.groupBy("grid_id").agg(F.avg((F.col("value") != median).cast("double")).alias("discrete"))
+    ends = with_quantiles(kinds, cells, ["grid_id"], "value", {"q1": 0.25, "q3": 0.75})
+    v, q1, q3 = F.col("value"), F.col("q1"), F.col("q3")
+    beyond = (v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))
+    off = cells.join(ends, "grid_id").groupBy("grid_id", "kinds").agg(F.avg(beyond.cast("double")).alias("continuous"))
+    return off.join(odd, "grid_id").select("grid_id", F.when(F.col("kinds") > classes, F.col("continuous")).otherwise(F.col("discrete")).alias("noise"))
 
 
 def check_model(models: DataFrame) -> DataFrame:
@@ -212,8 +231,20 @@ def recommendations(results: DataFrame) -> DataFrame:
     return texts.groupBy("component").agg(F.array_sort(F.collect_set("text")).alias("advice"))
 
 
-def append_run(run: DataFrame, results: DataFrame, folder: str) -> None:
-    """Add runs (name, ts) and results (name, ts, component, score) to the tables below ``folder``; the id is a hash of name and time, so a repeat is told apart by it."""
+def append_run(run: DataFrame, results: DataFrame, folder: str, name: str) -> bool:
+    """Add runs (name, ts) and results (name, ts, component, score) to the tables below ``folder`` as the commit ``name``; once, however often it is called.
+
+    The id of a run is a hash of its name and time. False if the commit is there already.
+    """
     key = F.sha2(F.concat_ws("|", "name", F.unix_micros(F.col("ts").cast("timestamp")).cast("string")), 256).alias("run_id")
-    run.select(key, "*").write.mode("append").parquet(f"{folder}/runs")
-    results.select(key, "*").write.mode("append").parquet(f"{folder}/results")
+    return Versions(run.sparkSession, folder).commit(name, {"runs": run.select(key, "*"), "results": results.select(key, "*")})
+
+
+def retain_runs(spark, folder: str, cutoff: Column) -> int:
+    """Drop runs before ``cutoff`` and their results from the tables of ``append_run``; the new version's number. A second call changes no row."""
+
+    def kept(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        runs = tables["runs"].where(F.col("ts") >= cutoff)
+        return {"runs": runs, "results": tables["results"].join(runs.select("run_id").distinct(), "run_id", "left_semi")}
+
+    return Versions(spark, folder).rewrite(kept)

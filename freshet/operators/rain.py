@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Rounds
+from . import grid as g
+
 #: Cumulative shares of a day's rain at each twentieth of it, by storm type.
 DISTRIBUTIONS = {
     "I": [0, 0.08, 0.17, 0.26, 0.35, 0.44, 0.52, 0.60, 0.67, 0.73, 0.79, 0.84, 0.88, 0.91, 0.94, 0.96, 0.98, 0.99, 0.995, 0.999, 1.0],
@@ -85,6 +90,68 @@ def idw(points: DataFrame, stations: DataFrame, radius: float) -> DataFrame:
     return at.join(places, ["i", "j"], "left").groupBy("point_id").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("value"))
 
 
+def idw_exact(points: DataFrame, stations: DataFrame, most_places: int = 20_000) -> DataFrame:
+    """``point_id, value``: inverse-distance-squared mean of all ``stations`` (x, y, value); the stations' places, so many at most, go to every task.
+
+    More of them raise: ``idw_hierarchical`` takes any number.
+    """
+    places = Rounds(points.sparkSession, "idw").keep(_places(stations))
+    if (n := places.count()) > most_places:
+        raise ValueError(f"{n} places are too many to send to every task; use idw_hierarchical")
+    d2 = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)
+    w = F.col("n") / (d2 + 1e-12)
+    at = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    return at.join(F.broadcast(places), F.lit(True), "left").groupBy("point_id").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("value"))
+
+
+def _places(stations: DataFrame) -> DataFrame:
+    """``x, y, v, n``: stations of one place as their mean, as often as they are."""
+    return stations.where("value is not null").groupBy("x", "y").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+def idw_hierarchical(points: DataFrame, stations: DataFrame, reach: int = 4, cap: int = 64, most_levels: int = 40) -> DataFrame:
+    """``point_id, value``: inverse-distance-squared mean of all ``stations``, far ones by squares; null without any.
+
+    Squares that hold more than ``cap`` places are cut in four. A square more
+    than ``reach`` squares of its size away from a point's own counts as one
+    station at its centre of mass; nearer ones are opened, or met place by place
+    if they were not cut. A place is then moved by its square's diagonal at most,
+    and ``reach`` sides away at least, so that a far weight is off by a factor
+    between (1 + sqrt(2) / reach)^-2 and (1 - sqrt(2) / reach)^-2, and what
+    centres leave of that largely cancels: about 1e-3 of the values' spread at 4.
+    A point meets some (2 reach + 2)^2 squares a level, whatever the stations' number.
+    """
+    rounds = Rounds(points.sparkSession, "idw")
+    places = rounds.keep(_places(stations))
+    box = places.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"), F.count(F.lit(1)).alias("k")).first()
+    at = rounds.keep(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")))
+    if not box["k"]:
+        return at.select("point_id", F.lit(None).cast("double").alias("value"))
+    side = box["side"] or 1.0
+    index = lambda c, low, level: F.floor((F.col(c) - low) / side * (1 - 1e-12) * float(1 << level)).cast("long")
+    weighed = lambda n, v, x, y: {
+        "w": n / (F.pow(F.col("px") - x, 2) + F.pow(F.col("py") - y, 2) + 1e-12), "wv": v / (F.pow(F.col("px") - x, 2) + F.pow(F.col("py") - y, 2) + 1e-12)
+    }
+    now, sums = at.select("*", F.lit(0).cast("long").alias("pi"), F.lit(0).cast("long").alias("pj")), []
+    for level in range(1, most_levels + 1):
+        own = places.withColumns({"i": index("x", box["x"], level), "j": index("y", box["y"], level)})
+        n = F.sum("n")
+        mass = {"m": n, "s": F.sum(F.col("n") * F.col("v")), "cx": F.sum(F.col("n") * F.col("x")) / n, "cy": F.sum(F.col("n") * F.col("y")) / n, "k": F.count(F.lit(1))}
+        squares = own.groupBy("i", "j").agg(*[c.alias(name) for name, c in mass.items()]).withColumns({"pi": F.floor(F.col("i") / 2), "pj": F.floor(F.col("j") / 2)})
+        met = now.join(F.broadcast(squares) if level <= 5 else squares, ["pi", "pj"])  # 1024 squares at most
+        away = F.greatest(F.abs(F.col("i") - index("px", box["x"], level)), F.abs(F.col("j") - index("py", box["y"], level)))
+        met = rounds.keep(met.withColumn("kind", F.when(away > reach, "far").when((F.col("k") <= cap) | F.lit(level == most_levels), "near").otherwise("open")))
+        far = met.where("kind = 'far'").withColumns(weighed(F.col("m"), F.col("s"), F.col("cx"), F.col("cy")))
+        near = met.where("kind = 'near'").select("point_id", "px", "py", "i", "j").join(own, ["i", "j"])
+        near = near.withColumns(weighed(F.col("n"), F.col("n") * F.col("v"), F.col("x"), F.col("y")))
+        sums.append(far.select("point_id", "w", "wv").unionByName(near.select("point_id", "w", "wv")).groupBy("point_id").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv")))
+        now = met.where("kind = 'open'").select("point_id", "px", "py", F.col("i").alias("pi"), F.col("j").alias("pj"))
+        if now.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, sums).groupBy("point_id").agg((F.sum("wv") / F.sum("w")).alias("value"))
+    return at.select("point_id").join(every, "point_id", "left")
+
+
 def wide_table(ddf: DataFrame, periods: list[int]) -> DataFrame:
     """A row for each station and duration with a column ``rp<period>`` for each period."""
     at = [F.max(F.when(F.col("return_period_years") == p, F.col("depth_in"))).alias(f"rp{p}") for p in periods]
@@ -200,47 +267,80 @@ def normal_of(seed: int, *keys: str) -> Column:
     return F.sqrt(-2 * F.log(uniform_of(seed, *keys))) * F.cos(2 * 3.141592653589793 * uniform_of(seed + 7919, *keys))
 
 
-def regional_field(cells: DataFrame, base: float, noise: float = 0.0, seed: int = 42) -> DataFrame:
-    """Depths over grids of given cells: 8 % less northward, 5 % more eastward, a dip of 6 % at the centre, noise, 0.1 at least."""
+def smooth_noise(cells: DataFrame, seed: int, sigma: float, key: list[str] | None = None, row: str = "row", col: str = "col") -> DataFrame:
+    """``cells`` with ``noise``: a Gaussian random field of spread 1 on the box of each grid (``key``), alike at any partitioning.
+
+    Normal numbers that follow from the cell, smoothed by ``sigma`` with mirrored
+    borders and divided by the kernel's norm, which keeps the spread: cells d
+    apart correlate as exp(-d^2 / (4 sigma^2)). A field goes on below holes.
+    """
+    key = key or ["grid_id"]
+    ends = cells.groupBy(F.struct(*key).alias("grid_id")).agg(F.max(row).alias("rows"), F.max(col).alias("cols"))
+    box = ends.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows")))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols"))))
+    drawn = box.select("grid_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), normal_of(seed, "grid_id", "row", "col").alias("value"))
+    norm = sum(w * w for w in g.gaussian_kernel(sigma))  # of the two passes together
+    field = g.gaussian(drawn, sigma).select(*[F.col(f"grid_id.{k}").alias(k) for k in key], F.col("row").alias(row), F.col("col").alias(col), (F.col("value") / norm).alias("noise"))
+    return cells.join(field, [*key, row, col])
+
+
+def regional_field(cells: DataFrame, base: float, noise: float = 0.0, seed: int = 42, sigma: float = 1.5) -> DataFrame:
+    """Depths over grids of given cells: 8 % less northward, 5 % more eastward, a dip of 6 % at the centre, smooth noise of a share of the base, 0.1 at least."""
     ends = cells.groupBy("grid_id").agg(F.greatest(F.max("row"), F.lit(1)).alias("rows"), F.greatest(F.max("col"), F.lit(1)).alias("cols"))
     x, y = F.col("col") / F.col("cols"), 1 - F.col("row") / F.col("rows")
     dip = 0.06 * F.exp(-(F.pow((x - 0.5) / 0.15, 2) + F.pow((y - 0.5) / 0.15, 2)) / 2)
-    factor = (1 - 0.08 * y) * (1 + 0.05 * x) * (1 - dip)
+    field = base * (1 - 0.08 * y) * (1 + 0.05 * x) * (1 - dip)
+    cells = cells.select("grid_id", "row", "col")
     if noise:
-        factor = factor * (1 + noise * normal_of(seed, "grid_id", "row", "col"))
-    field = F.greatest(base * factor, F.lit(0.1))
-    return cells.join(ends, "grid_id").select("grid_id", "row", "col", field.alias("value"))
+        cells, field = smooth_noise(cells, seed, sigma), field + base * noise * F.col("noise")
+    return cells.join(ends, "grid_id").select("grid_id", "row", "col", F.greatest(field, F.lit(0.1)).alias("value"))
 
 
-def rain_ensemble(cells: DataFrame, members: int, cv: float, floor: float = 0.1, seed: int = 1000) -> DataFrame:
-    """``member, grid_id, row, col, value``: each cell times 1 + cv x a normal number of its member, never below ``floor``."""
-    rows = cells.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    value = F.col("value") * (1 + cv * normal_of(seed, "member", "grid_id", "row", "col"))
-    return rows.select("member", "grid_id", "row", "col", F.greatest(value, F.lit(floor)).alias("value"))
+def rain_ensemble(cells: DataFrame, members: int, cv: float, floor: float = 0.1, seed: int = 1000, sigma: float = 2.0) -> DataFrame:
+    """``member, grid_id, row, col, value``: each cell times 1 + cv x a smooth random field of its member, never below ``floor``."""
+    rows = cells.select("grid_id", "row", "col", "value", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
+    value = F.col("value") * (1 + cv * F.col("noise"))
+    return smooth_noise(rows, seed, sigma, ["member", "grid_id"]).select("member", "grid_id", "row", "col", F.greatest(value, F.lit(floor)).alias("value"))
 
 
-def storm_ensemble(storm: DataFrame, n: int, spread: float = 0.2, shift: int = 2, seed: int = 7) -> DataFrame:
-    """``scenario_id, member, step, depth``: shifted in time by up to ``shift`` steps and scaled by lognormal weights, the total kept.
+def storm_ensemble(storm: DataFrame, n: int, spread: float = 0.2, timing: float = 0.1, seed: int = 7) -> DataFrame:
+    """``scenario_id, member, step, depth``: steps scaled by lognormal weights, moved in time and read again at the old steps, the total kept.
 
-    What a shift moves past an end falls in the end step.
+    The move is normal with a spread of ``timing`` of the duration, a quarter of
+    it at most. Each stretch between two moved steps gives the old steps that it
+    covers, linearly; steps moved beyond an end are left out, and where no
+    stretch is, nothing falls. A storm of which nothing is left has depth 0.
     """
-    rows = storm.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    w = Window.partitionBy("scenario_id").orderBy("step")
+    ahead = storm.select("scenario_id", "step", "depth", F.lead("step").over(w).alias("step2"), F.lead("depth").over(w).alias("depth2"))
     ends = storm.groupBy("scenario_id").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.sum("depth").alias("total"))
-    move = F.round((2 * uniform_of(seed, "scenario_id", "member") - 1) * shift).cast("int")
-    to = F.least(F.greatest(F.col("step") + move, F.col("first")), F.col("last"))
-    weight = F.exp(spread * normal_of(seed + 1, "scenario_id", "member", "step"))
-    made = rows.join(ends, "scenario_id").groupBy("scenario_id", "member", to.alias("to")).agg(F.sum(F.col("depth") * weight).alias("raw"), F.first("total").alias("total"))
-    made = made.withColumn("all", F.sum("raw").over(Window.partitionBy("scenario_id", "member")))
-    return made.select("scenario_id", "member", F.col("to").alias("step"), F.coalesce(F.try_divide(F.col("raw") * F.col("total"), F.col("all")), F.lit(0.0)).alias("depth"))
-
-
-def augment_rain(tiles: DataFrame, seed: int = 3, scale: float = 0.2, gradient: float = 0.1, noise: float = 0.05) -> DataFrame:
-    """``tile_id, r, c, value`` with a scale and a linear gradient of each tile and noise of each cell, 0 at least."""
-    factor = 1 + scale * (2 * uniform_of(seed, "tile_id") - 1)
-    slope_r, slope_c = (gradient * (2 * uniform_of(seed + k, "tile_id") - 1) for k in (1, 2))
+    rows = ahead.join(ends, "scenario_id").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    length = F.col("last") - F.col("first")
+    rows = rows.withColumn("move", F.greatest(F.least(timing * length * normal_of(seed, "scenario_id", "member"), length / 4), -length / 4))
+    weight = lambda at: F.exp(spread * normal_of(seed + 1, "scenario_id", "member", at))
+    rows = rows.withColumns({"a": F.col("depth") * weight("step"), "b": F.col("depth2") * weight("step2"), "s": F.col("step") + F.col("move"), "s2": F.col("step2") + F.col("move")})
+    inside = lambda c: (F.col(c) >= F.col("first")) & (F.col(c) <= F.col("last"))
+    whole = F.ceil("s").cast("int")
+    last = F.ceil("s2").cast("int") - 1
+    covers = F.when(inside("s") & F.coalesce(inside("s2"), F.lit(False)) & (last >= whole), F.sequence(whole, last))
+    # the last step that stays inside ends the line; it is read only where it falls on an old step
+    closes = F.when(inside("s") & ~F.coalesce(inside("s2"), F.lit(False)) & (whole == F.col("s")), F.array(whole))
+    read = rows.select("scenario_id", "member", "s", "s2", "a", "b", F.explode(F.coalesce(covers, closes)).alias("to"))
+    depth = F.when(F.col("to") == F.col("s"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("to") - F.col("s")) / (F.col("s2") - F.col("s")))
+    read = read.select("scenario_id", "member", "to", F.greatest(depth, F.lit(0.0)).alias("raw"))
+    out = rows.select("scenario_id", "member", F.col("step").alias("to"), F.lit(0.0).alias("raw")).unionByName(read).groupBy("scenario_id", "member", "to").agg(F.sum("raw").alias("raw"))
+    out = out.withColumn("all", F.sum("raw").over(Window.partitionBy("scenario_id", "member"))).join(ends, "scenario_id")
+    return out.select("scenario_id", "member", F.col("to").alias("step"), F.coalesce(F.try_divide(F.col("raw") * F.col("total"), F.col("all")), F.lit(0.0)).alias("depth"))
+
+
+def augment_rain(tiles: DataFrame, seed: int = 3, scale: float = 0.15, gradient: float = 0.1, noise: float = 0.05, sigma: float = 1.0) -> DataFrame:
+    """``tile_id, r, c, value`` with a scale, a linear gradient and smooth noise of each tile, the last two of a random strength; 0 at least."""
+    between = lambda k: 2 * uniform_of(seed + k, "tile_id") - 1
+    strength = gradient * uniform_of(seed + 3, "tile_id")
     ends = tiles.groupBy("tile_id").agg(F.greatest(F.max("r"), F.lit(1)).alias("h"), F.greatest(F.max("c"), F.lit(1)).alias("w"))
-    field = 1 + slope_r * (F.col("r") / F.col("h") - 0.5) + slope_c * (F.col("c") / F.col("w") - 0.5) + noise * normal_of(seed + 3, "tile_id", "r", "c")
-    return tiles.join(ends, "tile_id").select("tile_id", "r", "c", F.greatest(F.col("value") * factor * field, F.lit(0.0)).alias("value"))
+    slope = 1 + strength * (between(1) * (2 * F.col("r") / F.col("h") - 1) + between(2) * (2 * F.col("c") / F.col("w") - 1))
+    rough = 1 + noise * uniform_of(seed + 4, "tile_id") * F.col("noise")
+    value = F.col("value") * (1 + scale * between(0)) * slope * rough
+    return smooth_noise(tiles, seed + 5, sigma, ["tile_id"], "r", "c").join(ends, "tile_id").select("tile_id", "r", "c", F.greatest(value, F.lit(0.0)).alias("value"))
 
 
 def rain_raster(depths: DataFrame, cells: DataFrame, noise: float = 0.0, seed: int = 9) -> DataFrame:

@@ -9,7 +9,8 @@ from ..operators import grid as g
 from ..operators import quality as q
 from ..sources import fixtures as fx
 from ..sources.scratch import shared_folder
-from .grids import _gap, _grad, _near
+from ..sources.versions import Versions
+from .grids import _REFLECT, _gap, _grad, _near
 from .metrics import sq
 from .registry import query, rounded
 
@@ -106,7 +107,27 @@ _LBS = f"""SELECT grid_id, least(avg((value > 0)::INT), avg((value = 0)::INT)) A
   sum({' + '.join(f'coalesce(({n} = value)::INT, 0)' for n in _NN)}) / sum({' + '.join(f'({n} IS NOT NULL)::INT' for n in _NN)}) AS coherence, count(*) FILTER (value NOT IN (0, 1)) AS odd FROM ({_near(_LB)}) GROUP BY 1"""
 
 
-@query("qc_labels", judged_sql(_LBS, "grid_id", [("imbalanced", "rare < 0.01", 0.3), ("isolated", "alone > 0.05", 0.2), ("incoherent", "coherence < 0.8", 0.2), ("values", "odd > 0", 0.3)]))
+def _noise(src: str) -> str:
+    """The share of labels that differ from the median of nine, borders mirrored."""
+    return f"""WITH src AS ({src}), r AS ({_REFLECT.format(src=src, k=1)}), m AS (SELECT a.grid_id, a.row, a.col, a.value, list_sort(list(b.value))[5] AS med
+      FROM src a JOIN r b ON b.grid_id = a.grid_id AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2, 3, 4)
+    SELECT grid_id, avg((value <> med)::INT) AS noise FROM m GROUP BY 1"""
+
+
+_LBN = f"SELECT * FROM ({_LBS}) JOIN ({_noise(_LB)}) USING (grid_id)"
+_BEYOND = f"""WITH q AS (SELECT grid_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ({G}) GROUP BY 1)
+SELECT grid_id, avg((value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))::INT) AS noise FROM ({G}) JOIN q USING (grid_id) GROUP BY 1"""
+
+
+@query("qc_label_noise", sq(f"SELECT 'classes' AS kind, * FROM ({_noise(_LB)}) UNION ALL SELECT 'values', * FROM ({_BEYOND})", "kind grid_id", "noise"))
+def qc_label_noise(spark, d):
+    """Of wet and dry labels by the median about each, of depths by quartile ranges."""
+    cells = fx.cells(spark, d, 50)
+    wet = q.label_noise(cells.withColumn("value", (F.col("value") > 0.12).cast("double"))).withColumn("kind", F.lit("classes"))
+    return rounded(wet.unionByName(q.label_noise(cells).withColumn("kind", F.lit("values"))))
+
+
+@query("qc_labels", judged_sql(_LBN, "grid_id", [("imbalanced", "rare < 0.01", 0.3), ("isolated", "alone > 0.05", 0.2), ("incoherent", "coherence < 0.8", 0.2), ("noisy", "noise > 0.1", 0.2), ("values", "odd > 0", 0.3)]))
 def qc_labels(spark, d):
     return flat(q.check_labels(fx.cells(spark, d, 50).withColumn("value", (F.col("value") > 0.12).cast("double"))))
 
@@ -244,11 +265,34 @@ def qc_recommendations(spark, d):
     return q.recommendations(h).withColumn("advice", F.array_join("advice", "|"))
 
 
+_KEPT = "TIMESTAMP '2024-01-12 00:00:00'"
+
+
 @query("qc_append_run", f"SELECT component, count(*) AS n, sum(score) AS total FROM (SELECT component, round(score, 6) AS score FROM ({HI})) GROUP BY 1".replace("sum(score)", "round(sum(score), 4)"))
 def qc_append_run(spark, d):
-    """Scores stored as runs with their results, read back."""
+    """Scores stored as runs with their results, each half twice, read back."""
+    folder = _stored(spark, d)
+    return _totals(spark, folder)
+
+
+@query("qc_retain_runs", f"SELECT component, count(*) AS n, round(sum(round(score, 6)), 4) AS total FROM ({HI}) WHERE ts >= {_KEPT} GROUP BY 1")
+def qc_retain_runs(spark, d):
+    """The same tables after old runs and their results have been deleted, twice."""
+    folder = _stored(spark, d)
+    for _ in range(2):
+        q.retain_runs(spark, folder, F.lit("2024-01-12 00:00:00").cast("timestamp"))
+    return _totals(spark, folder)
+
+
+def _stored(spark, d) -> str:
     h = fx.history(spark, d).select(F.col("component").alias("name"), "ts", "component", F.round("score", 6).alias("score"))
     folder = shared_folder(spark, "runs")
-    q.append_run(h.select("name", "ts"), h, folder)
-    back = spark.read.parquet(f"{folder}/runs").select("run_id").join(spark.read.parquet(f"{folder}/results"), "run_id")
+    for name, half in (("early", "day(ts) < 15"), ("late", "day(ts) >= 15"), ("early", "day(ts) < 15"), ("late", "day(ts) >= 15")):
+        q.append_run(h.where(half).select("name", "ts"), h.where(half), folder, name)
+    return folder
+
+
+def _totals(spark, folder: str):
+    store = Versions(spark, folder)
+    back = store.read("runs").select("run_id").join(store.read("results"), "run_id")
     return back.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))

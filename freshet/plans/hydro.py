@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as g
 from ..operators import hydrology as h
 from ..sources import fixtures as fx
-from .grids import _CROSS, _CURV, _D8, _DIL, _ERO, _focal, _grad, _near, _smooth
+from .grids import _CROSS, _CURV, _D8, _DIL, _ERO, _REFLECT, _focal, _grad, _near, _smooth
 from .metrics import sq
 from .registry import query, rounded
 
@@ -132,6 +132,44 @@ def grid_relative_features(spark, d):
     return rounded(h.relative_features(_cells(spark, d)))
 
 
+_BANDS = {"elevation": "200 + value * 100", "slope": "abs(value) * 30", "twi": "5 + value * 10", "hand": "abs(value) * 4", "flow": "floor(abs(value) * 1000)", "roughness": "abs(value) + 0.1"}
+
+
+def _around(expr: str, k: int, name: str, what: str) -> str:
+    src = f"SELECT grid_id, row, col, {expr} AS value FROM ({G})"
+    return f"""SELECT a.grid_id, a.row, a.col, {what} AS {name} FROM ({src}) a JOIN ({_REFLECT.format(src=src, k=k)}) b ON a.grid_id = b.grid_id
+      AND b.row BETWEEN a.row - {k} AND a.row + {k} AND b.col BETWEEN a.col - {k} AND a.col + {k} GROUP BY 1, 2, 3"""
+
+
+_MEANS = {b: (f"ln({_BANDS[b]} + 1)" if b == "flow" else _BANDS[b]) for b in ("slope", "twi", "flow", "roughness")}
+_CON = f"""SELECT grid_id, row, col, {', '.join(f'({e} - m_{b}) / (m_{b} + 1e-8) AS {"slope_position" if b == "slope" else b + "_contrast"}' for b, e in _MEANS.items())},
+  ({_BANDS['elevation']} - lo) / greatest(hi - lo, 1e-8) AS relative_elevation, {_BANDS['hand']} / greatest(hi - lo, 1e-8) AS normalized_hand FROM ({G})
+  {' '.join(f'JOIN ({_around(e, 4, f"m_{b}", "avg(b.value)")}) USING (grid_id, row, col)' for b, e in _MEANS.items())}
+  JOIN ({_around(_BANDS['elevation'], 7, 'lo', 'min(b.value) AS lo, max(b.value)').replace('AS lo FROM', 'AS hi FROM')}) USING (grid_id, row, col)"""
+
+
+@query("grid_contrast_features", sq(_CON, KEY, "slope_position twi_contrast flow_contrast roughness_contrast relative_elevation normalized_hand", 5))
+def grid_contrast_features(spark, d):
+    wide = _cells(spark, d).select(*g.CELL, *[F.expr(e).cast("double").alias(b) for b, e in _BANDS.items()])
+    return rounded(g.contrast_features(wide), 5)
+
+
+_TRI5 = f"""SELECT a.grid_id, a.row, a.col, avg(abs(b.value - a.value)) AS tri FROM ({G}) a JOIN ({G}) b ON a.grid_id = b.grid_id AND b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2, 3"""
+
+
+@query("grid_ruggedness_mean", sq(_TRI5, KEY, "tri"))
+def grid_ruggedness_mean(spark, d):
+    return rounded(g.ruggedness_mean(_cells(spark, d), 2))
+
+
+@query("grid_wetness_cells", sq(f"SELECT grid_id, row, col, ln((cells + 1) * 10 / tan(greatest(atan(sqrt(dx * dx + dy * dy)), 0.001))) AS twi FROM ({_ACC}) JOIN ({_grad(G)}) USING (grid_id, row, col)", KEY, "twi"))
+def grid_wetness_cells(spark, d):
+    """Wetness of counted upstream cells and the slope in radians."""
+    cells = _cells(spark, d)
+    wide = h.flow_accumulation(g.d8(cells)).join(g.slope(cells, 1.0, "radians"), g.CELL)
+    return rounded(g.wetness_of_cells(wide, 10.0).select(*g.CELL, "twi"))
+
+
 _ASP = f"SELECT grid_id, row, col, atan2(-dx, dy) AS a FROM ({_grad(G)})"
 _SIN, _COS = (f"SELECT grid_id, row, col, {f}(a) AS value FROM ({_ASP})" for f in ("sin", "cos"))
 _DIR = f"""SELECT grid_id, row, col, CASE WHEN abs(profile) > 1e-8 THEN planform / profile END AS curvature_ratio, sqrt(e.f_mean ** 2 + n.f_mean ** 2) AS aspect_uniformity

@@ -82,9 +82,26 @@ SELECT point_id, sum(value / (d2 + 1e-12)) / sum(1 / (d2 + 1e-12)) AS value FROM
 
 @query("join_idw", sq(_IDW, "point_id", "value"))
 def join_idw(spark, d):
+    return rounded(r.idw(_idw_points(spark, d), fx.stations(spark, d), 15.0))
+
+
+_IDW_ALL = f"""WITH s AS (SELECT x, y, value FROM ({ST})), p AS (SELECT s_suppkey AS point_id, (s_suppkey % 360 - 180)::DOUBLE + 0.25 AS x, (s_suppkey * 7 % 180 - 90)::DOUBLE + 0.5 AS y FROM supplier)
+SELECT point_id, sum(value / ((p.x - s.x) ** 2 + (p.y - s.y) ** 2 + 1e-12)) / sum(1 / ((p.x - s.x) ** 2 + (p.y - s.y) ** 2 + 1e-12)) AS value FROM p, s GROUP BY 1"""
+
+
+def _idw_points(spark, d):
     x, y = (F.col("s_suppkey") % 360 - 180).cast("double") + 0.25, (F.col("s_suppkey") * 7 % 180 - 90).cast("double") + 0.5
-    points = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), x.alias("x"), y.alias("y"))
-    return rounded(r.idw(points, fx.stations(spark, d), 15.0))
+    return fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), x.alias("x"), y.alias("y"))
+
+
+@query("join_idw_all", sq(_IDW_ALL, "point_id", "value"))
+def join_idw_all(spark, d):
+    return rounded(r.idw_exact(_idw_points(spark, d), fx.stations(spark, d)))
+
+
+@query("join_idw_hierarchical")
+def join_idw_hierarchical(spark, d):
+    return r.idw_hierarchical(_idw_points(spark, d), fx.stations(spark, d))
 
 
 _P = [10, 25, 100, 500]

@@ -57,7 +57,10 @@ def str_rolling_mean(spark, d):
 @query("str_throttled_warnings")
 def str_throttled_warnings(spark, d):
     kinds = _events(spark, d).select(F.col("event_type").alias("kind"), "ts")
-    return e.drained(spark, _slices(kinds), e.throttled_warnings).select("kind", F.timestamp_micros("at").alias("ts"))
+    # a last row, long after all others, lets the watermark pass them
+    close = kinds.limit(1).select(F.lit("end").alias("kind"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"))
+    rows = e.drained(spark, [*_slices(kinds), close], e.throttled_warnings).where("kind <> 'end'")
+    return rows.select("kind", F.timestamp_micros("at").alias("ts"))
 
 
 _SCO = f"SELECT request_id, level, confidence, factors, water_level, n_customers FROM ({_ENR}) JOIN (SELECT event_id, user_id FROM events) ON event_id = request_id LEFT JOIN (SELECT c_custkey, c_nationkey AS n_customers FROM customer) ON c_custkey = user_id"

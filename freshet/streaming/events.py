@@ -11,7 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..sources.scratch import shared_folder
 
@@ -22,8 +22,10 @@ def drained(spark: SparkSession, slices: list[DataFrame], operator: Callable[...
     """All rows that ``operator`` puts out, with their ``batch``, when slices arrive one after the other and each is worked off.
 
     A batch's rows go to a folder of its own, so a batch that is run again
-    replaces what it wrote. ``others``: slices of further input streams.
+    replaces what it wrote. ``others``: slices of further input streams. State is
+    kept by RocksDB, so it may outgrow an executor's memory.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = shared_folder(spark, "stream")
     inputs = [slices, *(others or [])]
 
@@ -70,48 +72,83 @@ def duration_histogram(events: DataFrame, key: str, value: str, bounds: list[flo
     return got.select(key, F.col("window.start").alias("start"), *[f"le_{i}" for i in range(len(bounds))], "n", "total")
 
 
-def rolling_mean(events: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
-    """After each batch the mean of a key's last ``n`` values by time: key, seen, mean. A key's state is ``n`` values."""
+class _Rolling(StatefulProcessor):
+    """The last ``n`` values of a key by time, as list state."""
 
-    def run(name, frames, state: GroupState):
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
-        for frame in frames:
-            times += frame["ts"].astype("int64").tolist()
-            values += frame[value].tolist()
-        kept = sorted(zip(times, values, strict=True))[-n:]
-        state.update(([t for t, _ in kept], [v for _, v in kept]))
-        yield pd.DataFrame({key: [name[0]], "seen": [len(kept)], "mean": [sum(v for _, v in kept) / len(kept)]})
+    def __init__(self, key: str, value: str, n: int):
+        self.key, self.value, self.n = key, value, n
 
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.select(key, "ts", value)
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seen int, mean double", "times array<long>, `values` array<double>", "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle) -> None:
+        self.kept = handle.getListState("kept", "at long, value double")
 
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(t), float(v)) for frame in rows for t, v in zip(_micros(frame["ts"]), frame[self.value], strict=True)]
+        kept = sorted([*((int(t), float(v)) for t, v in self.kept.get()), *new])[-self.n :]
+        self.kept.put(kept)
+        yield pd.DataFrame({self.key: [key[0]], "seen": [len(kept)], "mean": [sum(v for _, v in kept) / len(kept)]})
 
-def throttled_warnings(events: DataFrame, minutes: int = 5) -> DataFrame:
-    """Warnings (kind, ts) that fire: the first, and those ``minutes`` or more after the last of their kind that fired.
 
-    A kind's state is one time; it goes once the watermark has passed it by the quiet time.
-    """
-    quiet = minutes * 60_000_000
-
-    def run(name, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = sorted(t for frame in frames for t in (frame["ts"].astype("datetime64[us]").astype("int64")).tolist())
-        last = state.get[0] if state.exists else None
-        fired = []
-        for t in times:
-            if last is None or t - last >= quiet:
+class _Throttle(StatefulProcessor):
+    """Times of a kind wait until the watermark has passed them, so that late ones take their place; then those that fire go out."""
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+        self.waiting = handle.getListState("waiting", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = {int(t) for frame in rows for t in _micros(frame["ts"])} | {int(t) for (t,) in self.waiting.get()}
+        self.waiting.put([(t,) for t in sorted(times)])
+        self.handle.registerTimer(min(times) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        times = sorted(int(t) for (t,) in self.waiting.get())
+        last, fired = (int(self.last.get()[0]) if self.last.exists() else None), []
+        for t in (t for t in times if t < passed):
+            if last is None or t - last >= self.quiet:
                 fired.append(t)
                 last = t
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        rest = [t for t in times if t >= passed]
+        if last is not None and (rest or passed < last + self.quiet):
+            self.last.update((last,))
+        else:
+            self.last.clear()  # a quiet kind leaves nothing
+        if rest:
+            self.waiting.put([(t,) for t in rest])
+            self.handle.registerTimer(rest[0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+            if self.last.exists():
+                self.handle.registerTimer((last + self.quiet) // 1000 + 1)
         if fired:
-            yield pd.DataFrame({"kind": [name[0]] * len(fired), "at": fired})
+            yield pd.DataFrame({"kind": [key[0]] * len(fired), "at": fired})
+
 
-    rows = events.select("kind", "ts").withWatermark("ts", LATE)
-    return rows.groupBy("kind").applyInPandasWithState(run, "kind string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+def _micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def rolling_mean(events: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
+    """After each batch the mean of a key's last ``n`` values by time: key, seen, mean. A key's state is ``n`` values."""
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.where(F.col("ts").isNotNull() & F.col(value).isNotNull()).select(key, "ts", value).groupBy(key)
+    return rows.transformWithStateInPandas(_Rolling(key, value, n), f"{key} {kind}, seen int, mean double", "update", "none")
+
+
+def throttled_warnings(events: DataFrame, minutes: int = 5) -> DataFrame:
+    """Warnings (kind, ts) that fire: the first, and those ``minutes`` or more after the last of their kind that fired.
+
+    They fire once the watermark has passed them, in the order of their times,
+    whatever order they came in. A kind's state is its waiting times and the last
+    that fired; it goes once the watermark has passed that by the quiet time.
+    """
+    rows = events.select("kind", "ts").withWatermark("ts", LATE).groupBy("kind")
+    return rows.transformWithStateInPandas(_Throttle(minutes * 60_000_000), "kind string, at long", "append", "eventtime")
 
 
 def score_stream(requests: DataFrame, score, enrich: Callable[[DataFrame], DataFrame], lookup: DataFrame, key: str) -> DataFrame:
