@@ -84,13 +84,22 @@ def with_reflection(cells: DataFrame, k: int) -> DataFrame:
     return mirrored(mirrored(x, "row", "rows"), "col", "cols")
 
 
-def focal(cells: DataFrame, k: int, border: str = "null", value: str = "value") -> DataFrame:
+def boxed(cells: DataFrame) -> DataFrame:
+    """The cells and, for each that a grid's box lacks, one whose other columns are null."""
+    ends = cells.groupBy("grid_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    rows = ends.select("grid_id", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1")
+    return rows.select("grid_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")).join(cells, CELL, "left")
+
+
+def focal(cells: DataFrame, k: int, border: str = "null", value: str = "value", holes: bool = False) -> DataFrame:
     """Add focal sum, n, mean, min, max and population std over (2k+1) x (2k+1) cells.
 
     Two passes of range windows. ``border``: ``null`` takes the cells there are,
-    ``reflect`` mirrors the grid first.
+    ``reflect`` mirrors the grid first. Holes are rows with a null value; with
+    ``holes`` they may also be missing, and rows are added for them first.
     """
-    x = with_reflection(cells, k) if border == "reflect" else cells
+    x = boxed(cells) if holes else cells
+    x = with_reflection(x, k) if border == "reflect" else x
     v = F.col(value)
     x = x.withColumns({"s1": v, "s2": v * v, "c1": v.isNotNull().cast("long"), "lo": v, "hi": v})
     folds = {"s1": F.sum, "s2": F.sum, "c1": F.sum, "lo": F.min, "hi": F.max}
@@ -146,10 +155,12 @@ def ruggedness_mean(cells: DataFrame, k: int = 1) -> DataFrame:
 
     Two passes gather each row's values and then the rows of a window.
     """
-    x = cells.select(*CELL, "value", F.collect_list("value").over(_row().rangeBetween(-k, k)).alias("near"))
+    # a row is read at every column, so holes take no row away from a window
+    x = boxed(cells.select(*CELL, "value")).select(*CELL, "value", F.collect_list("value").over(_row().rangeBetween(-k, k)).alias("near"))
     x = x.withColumn("near", F.flatten(F.collect_list("near").over(_col().rangeBetween(-k, k))))
     off = F.aggregate("near", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("value")))
-    return x.select(*CELL, F.when((F.size("near") > 1) & F.col("value").isNotNull(), off / F.size("near")).alias("tri"))
+    x = x.select(*CELL, "value", F.when(F.size("near") > 1, off / F.size("near")).alias("tri"))
+    return x.where("value is not null").drop("value")
 
 
 def wetness_of_cells(wide: DataFrame, size: float = 1.0, accumulation: str = "cells", slope_radians: str = "slope") -> DataFrame:

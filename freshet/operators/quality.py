@@ -216,19 +216,57 @@ def check_ddf(rows: DataFrame, key: str = "station_id") -> DataFrame:
     return got.withColumn("status", status)
 
 
-#: What to do about a status of a component.
-ADVICE = [
-    ("FAIL", None, "Stop and mend the data before going on"), ("FAIL", "error", "Look at the failed runs first"), ("WARN", None, "Watch the next runs closely"),
-    ("WARN", "click", "Check how requests are counted"), ("PASS", None, "Go on"),
-]
-
-
-def recommendations(results: DataFrame) -> DataFrame:
-    """``component, advice``: the sorted advice for all statuses of a component; rules without a component hold for each."""
-    table = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(c).cast("string").alias("component"), F.lit(t).alias("text")) for s, c, t in ADVICE])
-    fits = F.filter(table, lambda r: (r["status"] == F.col("status")) & (r["component"].isNull() | (r["component"] == F.col("component"))))
-    texts = results.select("component", "status").distinct().select("component", F.explode(F.transform(fits, lambda r: r["text"])).alias("text"))
-    return texts.groupBy("component").agg(F.array_sort(F.collect_set("text")).alias("advice"))
+#: Advice by status, with the component's name, and by component where its score is under 0.8.
+ADVICE = {
+    "FAIL": "CRITICAL: Address issues in {} before proceeding",
+    "WARN": "WARNING: Review and potentially fix issues in {}",
+}
+COMPONENT_ADVICE = {
+    "DEM_Quality": "Consider DEM preprocessing: void filling, smoothing, or elevation correction",
+    "Rainfall_Quality": "Review rainfall data quality: check for missing values, extreme outliers",
+    "Spatial_Consistency": "Ensure all datasets use consistent CRS and spatial extents",
+    "Simulation_Quality": "Check simulation convergence and physical plausibility of results",
+    "Tile_Quality": "Review tile generation: balance flood/dry ratios, check for edge effects",
+}
+ALL_PASSED = "All validation checks passed successfully - pipeline ready for ML training"
+#: Metric, condition, priority, category, issue, advice, and how the value is told.
+METRIC_ADVICE = [
+    ("iou", "value < 0.5", "High", "Model Accuracy", "Poor flood extent prediction", "Review model parameters, topographic data quality, and boundary conditions. Consider recalibration with local flood events.", "IoU Score: %.3f"),
+    ("iou", "value > 0.85", "Low", "Model Performance", "Excellent flood extent prediction", "Model performs well for flood extent prediction. Consider operational deployment with regular monitoring.", "IoU Score: %.3f"),
+    ("rmse", "value > 1.0", "High", "Depth Accuracy", "High depth prediction errors", "Investigate bathymetric data accuracy, friction parameters, and model resolution. Consider ensemble modeling approaches.", "RMSE: %.3fm"),
+    ("far", "value > 0.3", "Medium", "False Alarms", "High false alarm rate", "Review threshold settings and consider post-processing filters to reduce false positives. Validate against local knowledge.", "False Alarm Rate: %.3f"),
+    ("nse", "value < 0", "Critical", "Model Performance", "Model performs worse than mean", "Model shows poor performance. Complete model review recommended including data quality, physical processes, and parameterization.", "Nash-Sutcliffe Efficiency: %.3f"),
+]
+
+
+def recommendations(results: DataFrame, key: str = "run_id") -> DataFrame:
+    """``run_id, advice``: a run's distinct advice, sorted, of results (run_id, component, status, score); one line if nothing is to be advised."""
+    status = F.col("status")
+    texts = [F.when(status == s, F.replace(F.lit(t), F.lit("{}"), F.col("component"))) for s, t in ADVICE.items()]
+    texts += [F.when((F.col("component") == c) & (F.col("score") < 0.8), F.lit(t)) for c, t in COMPONENT_ADVICE.items()]
+    told = results.select(key, F.explode_outer(F.array_compact(F.array(*texts))).alias("text"))
+    found = told.groupBy(key).agg(F.array_sort(F.collect_set("text")).alias("advice"))
+    return found.withColumn("advice", F.when(F.size("advice") > 0, F.col("advice")).otherwise(F.array(F.lit(ALL_PASSED))))
+
+
+def metric_recommendations(metrics: DataFrame, key: str = "case_id") -> DataFrame:
+    """``key, priority, category, issue, recommendation, metric`` of metrics in long form (key, metric, value): a row for each rule that holds."""
+    x = metrics.where("value is not null and not isnan(value)")
+    rules_ = [
+        F.when((F.col("metric") == m) & F.expr(when), F.struct(*[F.lit(v).alias(n) for n, v in (("priority", p), ("category", c), ("issue", i), ("recommendation", r))], F.format_string(told, F.col("value")).alias("metric")))
+        for m, when, p, c, i, r, told in METRIC_ADVICE
+    ]
+    return x.select(key, F.explode(F.array_compact(F.array(*rules_))).alias("r")).select(key, "r.*")
+
+
+def spatial_extents(layers: DataFrame) -> DataFrame:
+    """``case_id`` with the union and the intersection of its layers' boxes (west, south, east, north); null where they do not meet."""
+    low, high = ("west", "south"), ("east", "north")
+    got = layers.groupBy("case_id").agg(
+        *[F.min(c).alias(f"union_{c}") for c in low], *[F.max(c).alias(f"union_{c}") for c in high], *[F.max(c).alias(f"i_{c}") for c in low], *[F.min(c).alias(f"i_{c}") for c in high]
+    )
+    meets = (F.col("i_west") < F.col("i_east")) & (F.col("i_south") < F.col("i_north"))
+    return got.select("case_id", *[f"union_{c}" for c in (*low, *high)], *[F.when(meets, F.col(f"i_{c}")).alias(f"common_{c}") for c in (*low, *high)])
 
 
 def append_run(run: DataFrame, results: DataFrame, folder: str, name: str) -> bool:

@@ -29,6 +29,26 @@ def lookup(requests: DataFrame, ddf: DataFrame) -> DataFrame:
     return requests.join(ddf, ["station_id", "duration_minutes", "return_period_years"], "left")
 
 
+#: The bounds that a frequency table gives.
+CONFIDENCE = ["estimates", "upper_bound", "lower_bound"]
+
+
+def lookup_by_confidence(requests: DataFrame, ddf: DataFrame) -> DataFrame:
+    """``requests`` with ``depth_in`` of their station, confidence, duration and period, and why there is none.
+
+    ``ddf`` has ``confidence`` too; a request without one asks for the estimates.
+    The first of confidence, duration and period that the station's table lacks is ``missing``.
+    """
+    x = requests.withColumn("confidence", F.coalesce("confidence", F.lit(CONFIDENCE[0])))
+    keys = ["station_id", "confidence", "duration_minutes", "return_period_years"]
+    got = x.join(ddf.select(*keys, "depth_in"), keys, "left")
+    for n, name in ((2, "confidence"), (3, "duration")):
+        there = ddf.select(*keys[:n]).distinct().withColumn(f"has_{name}", F.lit(True))
+        got = got.join(there, keys[:n], "left")
+    missing = F.when(F.col("depth_in").isNull(), F.when(F.col("has_confidence").isNull(), "confidence").when(F.col("has_duration").isNull(), "duration").otherwise("return period"))
+    return got.withColumn("missing", missing).drop("has_confidence", "has_duration")
+
+
 def depth_with_default(requests: DataFrame, stats: DataFrame, defaults: DataFrame) -> DataFrame:
     """Depth of the station (``stats``), else of its location, else of the location ``default`` (both in ``defaults``)."""
     own = stats.select("station_id", "return_period_years", F.col("depth_in").alias("own"))
@@ -170,9 +190,16 @@ def last_wins(ddf: DataFrame, order: str) -> DataFrame:
     return ddf.groupBy(*keys).agg(F.max_by("depth_in", order).alias("depth_in"))
 
 
-def region_points(boxes: DataFrame, step: float) -> DataFrame:
-    """``region_id, i, j, lon, lat`` of points every ``step`` from the south-west corner, the far edges included."""
-    many = lambda a, b: F.floor((F.col(b) - F.col(a)) / step + 1e-9).cast("int")
+def region_points(boxes: DataFrame, step: float, beyond: bool = False) -> DataFrame:
+    """``region_id, i, j, lon, lat`` of points every ``step`` from the south-west corner, the far edges included.
+
+    ``beyond``: as many as start before the far edge and a step more, so that the
+    last may lie past it.
+    """
+    def many(a: str, b: str) -> Column:
+        steps = (F.col(b) - F.col(a)) / step
+        return (F.ceil((F.col(b) + step - F.col(a)) / step) - 1 if beyond else F.floor(steps + 1e-9)).cast("int")
+
     rows = boxes.select("region_id", "west", "south", F.explode(F.sequence(F.lit(0), many("west", "east"))).alias("i"), many("south", "north").alias("n"))
     rows = rows.select("region_id", "west", "south", "i", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("j"))
     return rows.select("region_id", "i", "j", (F.col("west") + F.col("i") * step).alias("lon"), (F.col("south") + F.col("j") * step).alias("lat"))
@@ -205,9 +232,14 @@ def chicago_share(part: Column, peak: float = 0.3, power: float = 0.6) -> Column
 def design_storm(requests: DataFrame, step_minutes: int) -> DataFrame:
     """``scenario_id, step, t_hours, intensity, cumulative`` of requests (scenario_id, kind, total, duration_hours)."""
     n = F.ceil(F.col("duration_hours") * 60 / step_minutes).cast("int")
-    rows = requests.withColumn("n", n).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    asked = requests.select("scenario_id", F.coalesce("kind", F.lit("")).alias("kind"), "total", n.alias("n"))
+    # shares follow from the type and the number of steps: worked out once for each, not for every storm
     share = lambda k: F.coalesce(cumulative_share(F.col("kind"), k / F.col("n")), chicago_share(k / F.col("n")))
-    fallen, before = share(F.col("step")) * F.col("total"), share(F.col("step") - 1) * F.col("total")
+    curves = asked.select("kind", "n").distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    curves = curves.select("kind", "n", F.struct("step", share(F.col("step")).alias("after"), share(F.col("step") - 1).alias("before")).alias("s"))
+    curves = Rounds(requests.sparkSession, "curves").keep(curves.groupBy("kind", "n").agg(F.collect_list("s").alias("curve")))
+    rows = asked.join(curves, ["kind", "n"]).select("scenario_id", "total", F.inline("curve"))
+    fallen, before = F.col("after") * F.col("total"), F.col("before") * F.col("total")
     hours = step_minutes / 60
     return rows.select("scenario_id", "step", (F.col("step") * hours).alias("t_hours"), ((fallen - before) / hours).alias("intensity"), fallen.alias("cumulative"))
 

@@ -18,12 +18,13 @@ DEFAULTS = {
 def input_errors(requests: DataFrame) -> DataFrame:
     """``requests`` with ``errors``, an array of what is out of range; missing values are no error but for coordinates."""
     c = F.col
+    # fixed values: the messages
     outside = lambda name, lo, hi: c(name).isNotNull() & ~c(name).between(lo, hi)
     found = {
-        "latitude must be between -90 and 90": c("latitude").isNull() | outside("latitude", -90, 90),
-        "longitude must be between -180 and 180": c("longitude").isNull() | outside("longitude", -180, 180),
-        "soil moisture must be between 0 and 100": outside("soil_moisture", 0, 100),
-        "building density must be between 0 and 100": outside("building_density", 0, 100),
+        "Latitude and longitude are required": c("latitude").isNull() | c("longitude").isNull(),
+        "Invalid coordinates provided": c("latitude").isNotNull() & c("longitude").isNotNull() & (outside("latitude", -90, 90) | outside("longitude", -180, 180)),
+        "Soil moisture must be between 0 and 100": outside("soil_moisture", 0, 100),
+        "Building density must be between 0 and 100": outside("building_density", 0, 100),
     }
     return requests.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in found.items()])))
 
@@ -118,6 +119,16 @@ MULTIPLIERS = {"10yr": 0.3, "25yr": 0.5, "50yr": 0.7, "100yr": 1.0, "500yr": 1.5
 RIVER = (36.1566, -86.7842)
 
 
+#: Latitudes and longitudes within which the proximity score holds, ends excluded.
+REGION = (35.9, 36.4, -87.1, -86.5)
+
+
+def within_region(points: DataFrame, region: tuple[float, float, float, float] = REGION) -> DataFrame:
+    """Points strictly inside a region (latitudes, longitudes); others, and those without coordinates, can't be scored and go."""
+    south, north, west, east = region
+    return points.where((F.col("latitude") > south) & (F.col("latitude") < north) & (F.col("longitude") > west) & (F.col("longitude") < east))
+
+
 def proximity_score(points: DataFrame, multiplier: float = 1.0, noise: float = 1.0, seed: int = 5) -> DataFrame:
     """Probability (0.95 at most), depth, level and bounds by the distance of (latitude, longitude) to a river point.
 

@@ -63,15 +63,27 @@ _LO = f"""SELECT case_id, score, CASE WHEN score >= 0.8 THEN 'PASS' WHEN score >
   array_to_string(list_filter([CASE WHEN other > 0 THEN 'crs' END, CASE WHEN overlap < 0.95 THEN 'overlap' END, CASE WHEN off > 1e-6 THEN 'resolution' END], lambda x: x IS NOT NULL), ',') AS issues FROM ({_LS}))"""
 
 
+_EXT = f"""SELECT case_id, min(west)::DOUBLE AS union_west, min(south)::DOUBLE AS union_south, max(east)::DOUBLE AS union_east, max(north)::DOUBLE AS union_north,
+  max(west)::DOUBLE AS common_west, max(south)::DOUBLE AS common_south, min(east)::DOUBLE AS common_east, min(north)::DOUBLE AS common_north FROM ({_LY}) GROUP BY 1"""
+
+
+@query("qc_spatial_extents", _EXT)
+def qc_spatial_extents(spark, d):
+    return q.spatial_extents(_layers(spark, d))
+
+
 @query("qc_spatial", _LO)
 def qc_spatial(spark, d):
+    return flat(q.check_spatial(_layers(spark, d)))
+
+
+def _layers(spark, d):
     i, k = F.col("c_custkey"), F.col("k")
     c = fx.table(spark, d, "customer").select("c_custkey", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3)])).alias("k"))
-    layers = c.select(
+    return c.select(
         i.alias("case_id"), F.get(F.array(F.lit("elevation"), F.lit("rain"), F.lit("labels")), k - 1).alias("layer"), F.when((k == 2) & (i % 5 == 0), "other").otherwise("local").alias("crs"),
         (10.0 + F.when((k == 3) & (i % 7 == 0), 1).otherwise(0)).alias("size"), F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), (100 - (k - 1) * (i % 6)).cast("double").alias("east"), F.lit(100.0).alias("north"),
     )
-    return flat(q.check_spatial(layers))
 
 
 _SIM = """SELECT l_orderkey AS run_id, min(l_quantity) - 2 AS low, max(l_quantity) * 1.05 AS high, avg(l_discount) / 5 AS steep_share, avg(l_tax) AS mass_error, min(l_returnflag) <> 'A' AS converged, count(*) AS iterations, 5 AS max_iterations, max(l_quantity) / 2 AS velocity FROM lineitem GROUP BY 1"""
@@ -255,14 +267,36 @@ def qc_ddf(spark, d):
     return q.check_ddf(fx.ddf(spark, d).select("station_id", period.alias("period"), depth.alias("depth")))
 
 
-_ST = "CASE WHEN score < 0.6 THEN 'FAIL' WHEN score < 0.8 THEN 'WARN' ELSE 'PASS' END"
-_ADV = ", ".join(f"('{s}', {repr(c) if c else 'NULL'}, '{t}')" for s, c, t in q.ADVICE)
+#: Each hour of an event type's history is a result of one of the five components.
+_NAMED = list(q.COMPONENT_ADVICE)
+_RS = f"""SELECT component AS run_id, [{', '.join(repr(c) for c in _NAMED)}][hour(ts) % 5 + 1] AS component, score, CASE WHEN score < 0.6 THEN 'FAIL' WHEN score < 0.8 THEN 'WARN' ELSE 'PASS' END AS status FROM ({HI})
+  UNION ALL SELECT 'calm', 'DEM_Quality', 0.9, 'PASS'"""
+_REC = f"""SELECT run_id, coalesce(array_to_string(list_sort(list_filter(list_distinct(flatten(list(t))), lambda x: x IS NOT NULL)), '|'), '') AS advice FROM (SELECT run_id,
+  [CASE status WHEN 'FAIL' THEN 'CRITICAL: Address issues in ' || component || ' before proceeding' WHEN 'WARN' THEN 'WARNING: Review and potentially fix issues in ' || component END,
+   CASE WHEN score < 0.8 THEN CASE component {' '.join(f"WHEN '{c}' THEN '{t}'" for c, t in q.COMPONENT_ADVICE.items())} END END] AS t FROM ({_RS})) GROUP BY 1"""
 
 
-@query("qc_recommendations", f"SELECT component, array_to_string(list_sort(list(DISTINCT text)), '|') AS advice FROM (SELECT h.component, text FROM (SELECT component, {_ST} AS status FROM ({HI})) h JOIN (VALUES {_ADV}) a(status, component, text) ON a.status = h.status AND (a.component IS NULL OR a.component = h.component)) GROUP BY 1")
+@query("qc_recommendations", f"SELECT run_id, CASE WHEN advice = '' THEN '{q.ALL_PASSED}' ELSE advice END AS advice FROM ({_REC})")
 def qc_recommendations(spark, d):
-    h = fx.history(spark, d).select("component", rules.status_of(F.col("score")).alias("status"))
-    return q.recommendations(h).withColumn("advice", F.array_join("advice", "|"))
+    h = fx.history(spark, d)
+    component = F.get(F.array(*[F.lit(c) for c in _NAMED]), F.hour("ts") % 5)
+    results = h.select(F.col("component").alias("run_id"), component.alias("component"), "score", rules.status_of(F.col("score")).alias("status"))
+    calm = h.limit(1).select(F.lit("calm").alias("run_id"), F.lit("DEM_Quality").alias("component"), F.lit(0.9).alias("score"), F.lit("PASS").alias("status"))
+    return q.recommendations(results.unionByName(calm)).withColumn("advice", F.array_join("advice", "|"))
+
+
+_LONG = """SELECT l_orderkey AS case_id, unnest([{'metric': 'iou', 'value': avg(l_discount) * 12}, {'metric': 'rmse', 'value': max(l_quantity) / 40}, {'metric': 'far', 'value': avg(l_tax) * 8}, {'metric': 'nse', 'value': 0.6 - max(l_discount) * 7}], recursive := true) FROM lineitem GROUP BY 1"""
+_WHENS = " UNION ALL ".join(f"SELECT case_id, '{p}' AS priority, '{c}' AS category, '{i}' AS issue, '{r}' AS recommendation, format('{t.replace('%.3f', '{:.3f}')}', round(value, 9)::DOUBLE) AS metric FROM l WHERE metric = '{m}' AND {w}" for m, w, p, c, i, r, t in q.METRIC_ADVICE)
+
+
+@query("qc_metric_recommendations", f"WITH l AS (SELECT case_id, metric, round(value::DOUBLE, 9) AS value FROM ({_LONG})) {_WHENS}")
+def qc_metric_recommendations(spark, d):
+    from ..operators.metrics import long_form
+
+    n = lambda c: F.col(c).cast("double")
+    by = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"))
+    wide = by.agg((F.avg(n("l_discount")) * 12).alias("iou"), (F.max(n("l_quantity")) / 40).alias("rmse"), (F.avg(n("l_tax")) * 8).alias("far"), (0.6 - F.max(n("l_discount")) * 7).alias("nse"))
+    return q.metric_recommendations(rounded(long_form(wide, "case_id", "standard"), 9))
 
 
 _KEPT = "TIMESTAMP '2024-01-12 00:00:00'"

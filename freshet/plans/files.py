@@ -168,7 +168,10 @@ def src_parameter_key(spark, d):
     return p.select("p_partkey", f.parameter_key(p, ["p_size", "p_brand"]).alias("cache_key"), f.parameter_key(p, ["p_size", "p_brand"], "md5").alias("provenance_key"))
 
 
-@query("src_required_columns")
+_HEADS = " UNION ALL ".join(f"SELECT '{n}' AS file, (SELECT count(*) FROM {n}) AS rows, (SELECT list(column_name) FROM information_schema.columns WHERE table_name = '{n}') AS header" for n in ("orders", "customer", "lineitem"))
+
+
+@query("src_required_columns", f"SELECT file, rows, array_to_string(list_filter(['o_orderkey', 'c_custkey'], lambda c: NOT list_contains(header, c)), ',') AS missing FROM ({_HEADS})")
 def src_required_columns(spark, d):
     """Files' headers against what they must have: missing columns of each table."""
     names = ["orders", "customer", "lineitem"]

@@ -227,12 +227,14 @@ def join_resample(spark, d):
     return rounded(g.resample(fx.cells(spark, d, 50), 1.5))
 
 
-_A, _B = f"SELECT * FROM ({G}) WHERE row < 40", f"SELECT * FROM ({G}) WHERE col < 50"
+_A, _B = f"SELECT * FROM ({G})", f"SELECT grid_id, (row + grid_id % 3)::INT AS row, (col + grid_id % 5)::INT AS col, value * 2 AS value FROM ({G})"
 
 
 def _two(spark, d):
+    """All cells, and doubled ones in grids that lie a little further, each by its own number."""
     cells = fx.cells(spark, d, 50)
-    return cells.where("row < 40"), cells.where("col < 50")
+    moved = lambda c, n: (F.col(c) + F.col("grid_id") % n).cast("int").alias(c)
+    return cells, cells.select("grid_id", moved("row", 3), moved("col", 5), (F.col("value") * 2).alias("value"))
 
 
 @query("join_align_crop", f"SELECT grid_id, row, col, a.value AS value_a, b.value AS value_b FROM ({_A}) a JOIN ({_B}) b USING (grid_id, row, col)")
@@ -376,15 +378,6 @@ def agg_blend_all_cells(spark, d):
     return rounded(g.blend_tiles(tiles, 16, 4, cells))
 
 
-_AUG = f"SELECT grid_id, variant, r::INT AS r, c::INT AS c, value FROM (SELECT grid_id, value, unnest([{{'variant': 'identity', 'r': row, 'c': col}}, {{'variant': 'flip_lr', 'r': row, 'c': 15 - col}}, {{'variant': 'flip_ud', 'r': 15 - row, 'c': col}}, {{'variant': 'rot90', 'r': 15 - col, 'c': row}}, {{'variant': 'rot180', 'r': 15 - row, 'c': 15 - col}}, {{'variant': 'rot270', 'r': col, 'c': 15 - row}}], recursive := true) FROM ({G}) WHERE row < 16 AND col < 16)"
-
-
-@query("prj_augment_tiles", _AUG)
-def prj_augment_tiles(spark, d):
-    tile = fx.cells(spark, d, 50).where("row < 16 and col < 16").withColumnsRenamed({"row": "r", "col": "c"})
-    return g.augment(tile, 16)
-
-
 _AUG_ALL = f"""WITH g AS ({G}), e AS (SELECT grid_id, max(row) + 1 AS nr, max(col) + 1 AS nc FROM g GROUP BY 1),
 t AS (SELECT grid_id, row - row % 16 AS row0, col - col % 16 AS col0, row % 16 AS y, col % 16 AS x, least(16, nr - row + row % 16) - 1 AS m, least(16, nc - col + col % 16) - 1 AS n, value FROM g JOIN e USING (grid_id))
 SELECT grid_id, row0::INT AS row0, col0::INT AS col0, variant, r::INT AS r, c::INT AS c, value FROM (SELECT grid_id, row0, col0, value, unnest([{{'variant': 'identity', 'r': y, 'c': x}}, {{'variant': 'flip_lr', 'r': y, 'c': n - x}}, {{'variant': 'flip_ud', 'r': m - y, 'c': x}}, {{'variant': 'rot90', 'r': n - x, 'c': y}}, {{'variant': 'rot180', 'r': m - y, 'c': n - x}}, {{'variant': 'rot270', 'r': x, 'c': m - y}}], recursive := true) FROM t)"""
@@ -392,10 +385,19 @@ SELECT grid_id, row0::INT AS row0, col0::INT AS col0, variant, r::INT AS r, c::I
 
 @query("prj_augment_all_tiles", _AUG_ALL)
 def prj_augment_all_tiles(spark, d):
-    """Every tile of every grid; ``prj_augment_tiles`` is the first tile alone, as its SQL says."""
+    """Every tile of every grid, those at the far edges cut short."""
     return g.augment_grid(fx.cells(spark, d, 50), 16)
 
 
+_ROWS16 = f"SELECT row // 16 AS grid_id, (row % 16)::INT AS row, col, value FROM ({fx.SQL_CELLS})"
+
+
+@query("prj_augment_tiles", _AUG_ALL.replace(G, _ROWS16))
+def prj_augment_tiles(spark, d):
+    """All cells as grids of 16 rows, so that tiles are whole but for the last grid's."""
+    return g.augment_grid(fx.cells(spark, d, 16), 16)
+
+
 _ENS = f"SELECT row, col, avg(value) AS mean, stddev_pop(value) AS spread, count(*) FILTER (value > 0.05) / count(value) AS exceedance, count(value) AS members FROM ({G}) GROUP BY 1, 2"
 
 

@@ -19,6 +19,23 @@ def join_ddf_lookup(spark, d):
     return r.lookup(fx.requests(spark, d), fx.ddf(spark, d))
 
 
+_BOUNDS = f"SELECT station_id, duration_minutes, return_period_years, confidence, round(depth_in * share, 9) AS depth_in FROM ({D}), (VALUES ('estimates', 1.0::DOUBLE), ('upper_bound', 1.2::DOUBLE), ('lower_bound', 0.8::DOUBLE)) c(confidence, share) WHERE confidence = 'estimates' OR station_id % 4 <> 0"
+_ASKS = f"SELECT request_id, station_id, duration_minutes, return_period_years, coalesce([NULL, 'upper_bound', 'lower_bound', 'estimates'][request_id % 4 + 1], 'estimates') AS confidence FROM ({Q})"
+_SURE = f"""SELECT q.*, b.depth_in, CASE WHEN b.depth_in IS NULL THEN CASE WHEN c.station_id IS NULL THEN 'confidence' WHEN u.station_id IS NULL THEN 'duration' ELSE 'return period' END END AS missing FROM ({_ASKS}) q
+  LEFT JOIN ({_BOUNDS}) b USING (station_id, confidence, duration_minutes, return_period_years) LEFT JOIN (SELECT DISTINCT station_id, confidence FROM ({_BOUNDS})) c ON c.station_id = q.station_id AND c.confidence = q.confidence
+  LEFT JOIN (SELECT DISTINCT station_id, confidence, duration_minutes FROM ({_BOUNDS})) u ON u.station_id = q.station_id AND u.confidence = q.confidence AND u.duration_minutes = q.duration_minutes"""
+
+
+@query("join_ddf_confidence", _SURE)
+def join_ddf_confidence(spark, d):
+    """Estimates and bounds; a quarter of the stations have estimates alone."""
+    share = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in zip(r.CONFIDENCE, (1.0, 1.2, 0.8), strict=True)]))
+    bounds = fx.ddf(spark, d).withColumn("s", share).where("s.c = 'estimates' or station_id % 4 <> 0")
+    bounds = bounds.select("station_id", "duration_minutes", "return_period_years", F.col("s.c").alias("confidence"), F.round(F.col("depth_in") * F.col("s.x"), 9).alias("depth_in"))
+    asks = F.get(F.array(F.lit(None), F.lit("upper_bound"), F.lit("lower_bound"), F.lit("estimates")), (F.col("request_id") % 4).cast("int"))
+    return r.lookup_by_confidence(fx.requests(spark, d).withColumn("confidence", asks), bounds)
+
+
 _DAY = f"SELECT station_id, return_period_years, depth_in FROM ({D}) WHERE duration_minutes = 1440"
 _KNOWN = f"SELECT * FROM ({_DAY}) JOIN ({ST}) USING (station_id)"
 _PLACES = f"""SELECT 'nation ' || nation AS location, return_period_years, avg(depth_in) AS depth_in FROM ({_KNOWN}) WHERE value < 0 GROUP BY 1, 2
@@ -64,14 +81,14 @@ def join_ddf_interpolate(spark, d):
 
 
 #: Areas in square miles with factors for a day's rain.
-_ARF = [(0, 1.0), (10, 0.99), (50, 0.97), (100, 0.95), (200, 0.93), (400, 0.91)]
+_ARF = [(0, 1.0), (10, 1.0), (25, 0.99), (50, 0.98), (100, 0.97), (200, 0.96), (500, 0.94), (1000, 0.92)]
 _ARF_SQL = f"""WITH k AS (SELECT a::DOUBLE AS a, f::DOUBLE AS f, lead(a) OVER (ORDER BY a)::DOUBLE AS b, lead(f) OVER (ORDER BY a)::DOUBLE AS g FROM (VALUES {', '.join(map(str, _ARF))}) v(a, f))
-SELECT p_partkey AS request_id, area, depth_in, coalesce(f + (area - a) / (b - a) * (g - f), f) AS factor FROM (SELECT p_partkey, p_size * 10.5::DOUBLE AS area, p_retailprice / 100 AS depth_in FROM part) JOIN k ON area >= a AND (b IS NULL OR area < b)"""
+SELECT p_partkey AS request_id, area, depth_in, coalesce(f + (area - a) / (b - a) * (g - f), f) AS factor FROM (SELECT p_partkey, p_size * 10.37::DOUBLE AS area, p_retailprice / 100 AS depth_in FROM part) JOIN k ON area >= a AND (b IS NULL OR area < b)"""
 
 
 @query("join_area_reduce", sq(f"SELECT *, depth_in * factor AS reduced_in FROM ({_ARF_SQL})", "request_id", "area depth_in factor reduced_in"))
 def join_area_reduce(spark, d):
-    asked = fx.table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), (F.col("p_size") * 10.5).alias("area"), (F.col("p_retailprice") / 100).alias("depth_in"))
+    asked = fx.table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), (F.col("p_size") * 10.37).alias("area"), (F.col("p_retailprice") / 100).alias("depth_in"))
     return rounded(r.area_reduced(asked, spark.createDataFrame([(float(a), f) for a, f in _ARF], "area double, factor double")))
 
 
@@ -138,6 +155,12 @@ def rain_region_points(spark, d):
     return rounded(r.region_points(_boxes(spark, d), 0.25))
 
 
+@query("rain_region_points_beyond", sq(_PTS.replace("floor((east - west) / 0.25)::INT + 1", "ceil((east + 0.4 - west) / 0.4)::INT").replace("floor((north - south) / 0.25)::INT + 1", "ceil((north + 0.4 - south) / 0.4)::INT").replace("0.25", "0.4"), "region_id i j", "lon lat"))
+def rain_region_points_beyond(spark, d):
+    """The stepping that goes on past the far edge, by a step that does not divide the boxes."""
+    return rounded(r.region_points(_boxes(spark, d), 0.4, beyond=True))
+
+
 @query("top_limit_points", sq(f"SELECT * FROM ({_PTS}) ORDER BY lon, lat, region_id LIMIT 50", "region_id i j", "lon lat"))
 def top_limit_points(spark, d):
     """The first fifty points, as a region's point limit does; the limit is the feature."""

@@ -38,10 +38,10 @@ def asked(spark, d):
 
 
 _BAD = [
-    ("latitude must be between -90 and 90", "latitude IS NULL OR latitude NOT BETWEEN -90 AND 90"),
-    ("longitude must be between -180 and 180", "longitude IS NULL OR longitude NOT BETWEEN -180 AND 180"),
-    ("soil moisture must be between 0 and 100", "soil_moisture NOT BETWEEN 0 AND 100"),
-    ("building density must be between 0 and 100", "building_density NOT BETWEEN 0 AND 100"),
+    ("Latitude and longitude are required", "latitude IS NULL OR longitude IS NULL"),
+    ("Invalid coordinates provided", "latitude IS NOT NULL AND longitude IS NOT NULL AND (latitude NOT BETWEEN -90 AND 90 OR longitude NOT BETWEEN -180 AND 180)"),
+    ("Soil moisture must be between 0 and 100", "soil_moisture NOT BETWEEN 0 AND 100"),
+    ("Building density must be between 0 and 100", "building_density NOT BETWEEN 0 AND 100"),
 ]
 _ERR = "list_filter([" + ", ".join(f"CASE WHEN {b} THEN '{t}' END" for t, b in _BAD) + "], lambda x: x IS NOT NULL)"
 
@@ -104,6 +104,19 @@ def score_proximity(spark, d):
     return rounded(s.proximity_score(points, s.MULTIPLIERS["500yr"], noise=0.0))
 
 
+_WIDE = _PROX.replace("36.1 + user_id % 97 / 1000.0::DOUBLE", "35.8 + user_id % 97 / 140.0::DOUBLE").replace("-86.84 + user_id % 89 / 1000.0::DOUBLE", "-87.2 + user_id % 89 / 100.0::DOUBLE").replace(
+    "FROM events))", "FROM events WHERE 35.8 + user_id % 97 / 140.0::DOUBLE > 35.9 AND 35.8 + user_id % 97 / 140.0::DOUBLE < 36.4 AND -87.2 + user_id % 89 / 100.0::DOUBLE > -87.1 AND -87.2 + user_id % 89 / 100.0::DOUBLE < -86.5))"
+)
+
+
+@query("score_proximity_region", sq(_WIDE, "point_id level", "probability depth depth_lower depth_upper probability_lower probability_upper"))
+def score_proximity_region(spark, d):
+    """Points on all sides of the region; those outside have no score."""
+    u = F.col("user_id")
+    points = fx.table(spark, d, "events").select(F.col("event_id").alias("point_id"), (35.8 + u % 97 / 140).alias("latitude"), (-87.2 + u % 89 / 100).alias("longitude"))
+    return rounded(s.proximity_score(s.within_region(points), s.MULTIPLIERS["500yr"], noise=0.0))
+
+
 _TXT = "trim(replace(replace(text, ';', ''), '--', ''))"
 
 

@@ -75,7 +75,7 @@ def agg_freed_bytes(spark, d):
 
 
 _STG = ["prepare", "simulate", "train", "report"]
-_PTS = f"SELECT user_id AS pipeline, [{', '.join(repr(x) for x in _STG)}][event_id % 4 + 1] AS stage, ts FROM events WHERE value > 100"
+_PTS = f"SELECT user_id AS pipeline, [{', '.join(repr(x) for x in _STG)}][event_id % 4 + 1] AS stage, ts FROM events"
 _REC = f"""SELECT pipeline, stage, ts, row_number() OVER (PARTITION BY pipeline ORDER BY o DESC, ts DESC)::INT AS place, array_to_string([{', '.join(repr(x) for x in _STG)}][o + 1:], ',') AS remaining, o / 4 * 100 AS saved_percent
   FROM (SELECT pipeline, stage, max(ts) AS ts, list_position([{', '.join(repr(x) for x in _STG)}], stage) AS o FROM ({_PTS}) GROUP BY 1, 2)"""
 
@@ -83,7 +83,7 @@ _REC = f"""SELECT pipeline, stage, ts, row_number() OVER (PARTITION BY pipeline
 @query("win_recovery_options", sq(_REC, "pipeline stage ts place remaining", "saved_percent"))
 def win_recovery_options(spark, d):
     stage = F.get(F.array(*[F.lit(x) for x in _STG]), (F.col("event_id") % 4).cast("int"))
-    return rounded(s.recovery_options(_events(spark, d).where("value > 100").select(F.col("user_id").alias("pipeline"), stage.alias("stage"), "ts"), _STG))
+    return rounded(s.recovery_options(_events(spark, d).select(F.col("user_id").alias("pipeline"), stage.alias("stage"), "ts"), _STG))
 
 
 @query("win_resource_trend", "SELECT host, event_id, ts, value FROM (SELECT user_id AS host, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 720 MINUTE OR k = 1")
@@ -308,8 +308,8 @@ def set_stack_periods(spark, d):
     return b.stack_periods(fx.cells(spark, d, 50).select(F.floor(g / 3).alias("duration"), period.alias("period"), "row", "col", "value"), [500, 10, 100])
 
 
-@query("set_completeness", "SELECT user_id AS run_id, array_to_string(list_filter(['click', 'error', 'refund'], lambda x: NOT list_contains(names, x)), ',') AS missing, list_has_all(names, ['click', 'error', 'refund']) AS complete FROM (SELECT user_id, list(DISTINCT event_type) AS names FROM events WHERE value > 40 GROUP BY 1)")
+@query("set_completeness", "SELECT user_id AS run_id, array_to_string(list_filter(['click', 'error', 'refund'], lambda x: NOT list_contains(names, x)), ',') AS missing, list_has_all(names, ['click', 'error', 'refund']) AS complete FROM (SELECT user_id, list(DISTINCT CASE WHEN value > 40 THEN event_type ELSE 'other' END) AS names FROM events GROUP BY 1)")
 def set_completeness(spark, d):
-    names = _events(spark, d).where("value > 40").groupBy(F.col("user_id").alias("run_id")).agg(F.collect_set("event_type").alias("names"))
+    names = _events(spark, d).groupBy(F.col("user_id").alias("run_id")).agg(F.collect_set(F.when(F.col("value") > 40, F.col("event_type")).otherwise("other")).alias("names"))
     got = b.completeness(names, ["click", "error", "refund"])
     return got.select("run_id", F.array_join("missing", ",").alias("missing"), "complete")

@@ -63,7 +63,7 @@ def read_rain_sections(spark: SparkSession, path: str) -> DataFrame:
     x = text.select("file", "line", t.alias("t"), section.alias("s"), station.alias("st"), periods.alias("p"))
     x = x.select("t", last("st").alias("station"), last("s").alias("section"), last("p").alias("periods"), F.col("p").isNull().alias("body"))
     x = x.where("body and section is not null and periods is not null and t rlike '^[^,:]+:,'")
-    values = F.transform(F.slice(F.split("t", ","), 2, 1000), lambda v: F.trim(v).try_cast("double"))
+    values = F.transform(F.slice(F.split("t", ","), 2, F.size(F.split("t", ","))), lambda v: F.trim(v).try_cast("double"))
     both = F.inline(F.arrays_zip(F.col("periods").alias("period"), values.alias("depth")))
     return x.select("station", "section", F.split_part("t", F.lit(":"), F.lit(1)).alias("duration"), both).where("period is not null and depth is not null")
 

@@ -172,7 +172,7 @@ def test_throttle_of_exact_gaps_and_of_nothing(spark):
     assert series.throttled(frame.where("false"), 5).count() == 0
 
 
-@pytest.mark.parametrize(("reach", "most"), [(2, 5e-3), (6, 5e-4)])
+@pytest.mark.parametrize(("reach", "most"), [(2, 1e-2), (6, 1e-3)])
 def test_idw_by_squares_is_near_the_exact_mean(spark, reach, most):
     rng = np.random.default_rng(1)
     at = np.concatenate([rng.uniform(-50, 50, (1200, 2)), rng.normal(10, 0.01, (600, 2))])  # a third in one spot
