@@ -14,8 +14,9 @@ whatever the input) reach the driver; candidates never leave their rows. Very
 long texts are scanned whole; a text of many spans costs in proportion to them.
 
 Defined results: a null text counts as empty and has no spans; a null or
-repeated id is carried through; an empty table gives an empty result; extra
-columns are ignored.
+repeated id is carried through; there are no ties: spans are listed by start, then
+kind, and of two that share a character the base one stays; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .spans import find_spans, listing
+from .spans import clear_of, find_spans, listing
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -225,8 +226,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     accepted = [f for f, o in train_classifier(counts, posterior).items() if o >= math.log(least / (1 - least))]
     likely = F.filter("spans", lambda s: ~s["base"] & s["feature"].isin(accepted))
     rows = rows.select(id_col, F.filter("spans", lambda s: s["base"]).alias("spans"), likely.alias("likely"))
-    clash = lambda s: F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.select(id_col, F.concat("spans", F.filter("likely", lambda s: ~clash(s))).alias("spans"))
+    return rows.select(id_col, F.concat("spans", clear_of(F.col("likely"), F.col("spans"))).alias("spans"))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

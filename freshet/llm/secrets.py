@@ -8,8 +8,10 @@ of postings, and only candidates are verified by the regular expression. Rules
 without mandatory trigrams scan every text.
 
 Defined results: a null text counts as empty and has no spans. A null id is a
-key like any other. Rows that repeat an id are each scanned. An empty table
-gives an empty result. Extra columns are ignored.
+key like any other. Rows that repeat an id are each scanned. Very long texts are
+scanned whole, and a span costs the same in a text of many. There are no ties:
+spans of one kind never overlap, and they are listed by start, then kind. An
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
