@@ -36,7 +36,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_heavy: int = 512,
-    min_heavy: int = 64,
+    min_heavy: int = 2,
 ) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
