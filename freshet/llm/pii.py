@@ -42,7 +42,14 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser shapes, which the classifier decides on.
-LOOSE_EMAIL = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}){1,4}"
+LOOSE_EMAIL = (
+    r"[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}){1,4}"
+    r"|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,4})"
+)
+LOOSE_IP = (
+    r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+)
+LOOSE_CARD = r"(?<![0-9.+-])[0-9]{4}(?:\x20{0,2}[./\x20-]\x20{0,2}[0-9]{2,7}){2,4}(?![0-9])"
 LOOSE_PHONE = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20.-][0-9]{2,5}){2,4}(?![0-9A-Za-z.-])"
 
 #: Gazetteers and cue words.
@@ -66,21 +73,31 @@ class Labels:
     def digits(self, hit: Column) -> Column:
         return F.regexp_replace(hit, "[^0-9]", "")
 
+    def plain(self, hit: Column) -> Column:
+        """A looser shape as it is meant: ``a (at) b (dot) org`` as ``a@b.org``, a card's digits alone."""
+        if self.kind == "email":
+            at = F.regexp_replace(hit, r"\x20?[\[(]at[\])]\x20?|\x20at\x20", "@")
+            return F.regexp_replace(F.regexp_replace(at, r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20", "."), r"\x20", "")
+        return F.regexp_replace(hit, r"(?<=[0-9])[./\x20-]+(?=[0-9])", "") if self.kind == "card" else hit
+
     def regex(self, hit: Column) -> Column:
+        hit = self.plain(hit)
         shape = {
             "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}$",
-            "ip": r"^(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$",
+            "ip": r"^(?:(?=.*:)(?=(?:.*[0-9]){2})(?:[0-9A-Fa-f]{1,4}:?){1,8}(?::(?:[0-9A-Fa-f]{1,4}:?){1,8})?|(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3})$",
             "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
             "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20.-]?[0-9]{2,5}){1,5}$",
         }[self.kind]
         return hit.rlike(shape).cast("int")
 
     def gazetteer(self, hit: Column) -> Column:
+        hit = self.plain(hit)
         digits = self.digits(hit)
         if self.kind == "email":
             return F.lower(F.regexp_extract(hit, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS).cast("int")
         if self.kind == "ip":
-            return (~hit.rlike(r"^(?:0|10|127|255|192\.168|169\.254)\.")).cast("int")
+            known = F.when(hit.contains(":"), hit.rlike(r"^[23][0-9A-Fa-f]{3}:")).otherwise(~hit.rlike(r"^(?:0|10|127|255|192\.168|169\.254)\."))
+            return known.cast("int")
         if self.kind == "card":
             return digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|36|6011|65)").cast("int")
         known = reduce(lambda a, b: a | b, [digits.startswith(c) for c in CODES])
@@ -119,9 +136,12 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def loose_spans(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
+    low, card = F.lower(text), Labels("card")
+    numbers = lambda s: card.digits(s["hit"])
     return {
-        "email": F.when(low.contains("at)") | low.contains("at]"), find_spans(text, LOOSE_EMAIL)),
+        "email": F.when(low.contains("at)") | low.contains("at]") | low.contains(" dot "), find_spans(text, LOOSE_EMAIL)),
+        "ip": F.when(text.contains(":"), find_spans(text, LOOSE_IP)),
+        "card": F.filter(find_spans(text, LOOSE_CARD), lambda s: F.char_length(numbers(s)).between(13, 19) & luhn(numbers(s))),
         "phone": F.filter(
             find_spans(text, LOOSE_PHONE), lambda s: F.char_length(Labels("phone").digits(s["hit"])).between(9, 12)
         ),
