@@ -144,7 +144,7 @@ def test_storms_keep_their_total(spark):
 def test_rain_ensemble_spread(spark):
     flat = spark.range(40_000).select(F.lit(1).cast("long").alias("grid_id"), (F.col("id") / 200).cast("int").alias("row"), (F.col("id") % 200).cast("int").alias("col"), F.lit(50.0).alias("value"))
     r = rain.rain_ensemble(flat, 2, 0.1).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.min("value").alias("lo")).first()
-    assert abs(r["m"] - 50) < 0.2 and abs(r["s"] - 5) < 0.1 and r["lo"] >= 0.1
+    assert abs(r["m"] - 50) < 0.4 and abs(r["s"] - 5) < 0.4 and r["lo"] >= 0.1  # smooth noise: fewer independent cells
 
 
 def test_augmented_rain_is_not_negative(spark):
@@ -187,4 +187,4 @@ def test_fill_never_lowers(spark):
     both = run(spark, "grid_fill_depressions").withColumnRenamed("value", "filled")
     from freshet.sources import fixtures as fx
 
-    assert fx.cells(spark, SF, 50).join(both, grid.CELL).where("filled < value").isEmpty()
+    assert fx.cells(spark, SF, 50).join(both, grid.CELL).where("filled < value - 1e-6").isEmpty()  # the query rounds
