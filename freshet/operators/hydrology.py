@@ -19,7 +19,6 @@ from . import grid as g
 from .ranges import with_quantiles
 
 CELL = g.CELL
-_RUN = ["grid_id", "row", "start"]
 
 
 def _jumped(labels: DataFrame) -> DataFrame:
@@ -53,22 +52,59 @@ def connected(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> Data
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def components(extent: DataFrame) -> DataFrame:
+def _pieces(frame: pd.DataFrame) -> pd.DataFrame:
+    """The 4-neighbour components of one block, each named by its first cell: runs along rows, joined where those of two rows touch."""
+    frame = frame.sort_values(["row", "col"], ignore_index=True)
+    row, col = frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)]))
+    run = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(row)]])))
+    low, high, at = col[first].tolist(), col[np.concatenate([first[1:], [len(row)]]) - 1].tolist(), row[first].tolist()
+    up = list(range(len(first)))
+
+    def top(k):
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    above, here = 0, 0  # runs of the row above that may still touch, and of this row
+    while here < len(at):
+        if at[above] < at[here] - 1 or (at[above] == at[here] - 1 and high[above] < low[here]):
+            above += 1
+        elif at[above] == at[here] - 1 and low[above] <= high[here]:
+            x, y = top(above), top(here)
+            up[max(x, y)] = min(x, y)
+            if high[above] < high[here]:
+                above += 1
+            else:
+                here += 1
+        else:
+            here += 1
+    name = (row[first] * (1 << 31) + col[first])[[top(k) for k in range(len(up))]]
+    return frame[["grid_id", "row", "col", "rim"]].assign(component=name[run])
+
+
+def components(extent: DataFrame, block: int = 256) -> DataFrame:
     """``grid_id, row, col, component`` of wet cells; 4-neighbours are together. The component is its first cell as ``row * 2^31 + col``.
 
-    Runs of cells along a row are the nodes, so a lake is few of them.
+    Blocks are labelled in tasks; rounds run over the pieces that touch other
+    blocks alone, so a lake inside a block costs none and a large one few rows.
     """
-    w = Window.partitionBy("grid_id", "row").orderBy("col")
-    island = F.col("col") - F.row_number().over(w)
-    runs = extent.select(*CELL).distinct().withColumn("island", island)
-    runs = runs.withColumn("start", F.min("col").over(Window.partitionBy("grid_id", "row", "island"))).drop("island")
-    runs = Rounds(extent.sparkSession, "runs").keep(runs)
-    node = lambda row, start: F.struct(F.col("grid_id"), (F.col(row).cast("long") * (1 << 31) + F.col(start)).alias("at"))
-    below = runs.select("grid_id", (F.col("row") - 1).alias("row"), "col", F.col("row").alias("row2"), F.col("start").alias("start2"))
-    edges = runs.join(below, CELL).select(node("row", "start").alias("a"), node("row2", "start2").alias("b"))
-    labels = connected(edges, runs.select(node("row", "start").alias("node")).distinct())
-    named = runs.withColumn("node", node("row", "start")).join(labels, "node")
-    return named.select(*CELL, F.col("label.at").alias("component"))
+    rounds = Rounds(extent.sparkSession, "pieces")
+    at = lambda c: F.floor(F.col(c) / block)
+    on_rim = F.pmod("row", F.lit(block)).isin(0, block - 1) | F.pmod("col", F.lit(block)).isin(0, block - 1)
+    cells = extent.select(*CELL).distinct().select("*", on_rim.alias("rim"), at("row").alias("i"), at("col").alias("j"))
+    pieces = rounds.keep(cells.groupBy("grid_id", "i", "j").applyInPandas(_pieces, "grid_id long, row int, col int, rim boolean, component long"))
+    rim = pieces.where("rim").select(*CELL, "component")
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (0, 1))]))
+    there = rim.withColumn("s", steps).select("grid_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), F.col("component").alias("other"))
+    node = lambda c: F.struct("grid_id", F.col(c).alias("at"))
+    edges = rim.join(there, CELL).where("component <> other").select(node("component").alias("a"), node("other").alias("b")).distinct()
+    edges = rounds.keep(edges)
+    if edges.isEmpty():
+        return pieces.drop("rim")
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    named = connected(edges, nodes).select(F.col("node.grid_id").alias("grid_id"), F.col("node.at").alias("component"), F.col("label.at").alias("whole"))
+    return pieces.join(named, ["grid_id", "component"], "left").select(*CELL, F.coalesce("whole", "component").alias("component"))
 
 
 def drop_small(extent: DataFrame, least: int) -> DataFrame:

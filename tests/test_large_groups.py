@@ -248,6 +248,27 @@ def test_ruggedness_window_with_holes(spark):
             assert got[i, j] == (pytest.approx(np.abs(near - z[i, j]).mean()) if len(near) > 1 else None)
 
 
+@pytest.mark.parametrize("block", [4, 7, 256])
+def test_components_across_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    wet = {(int(i), int(j)) for i, j in zip(*np.nonzero(rng.random((31, 26)) < 0.6), strict=True)}
+    wet |= {(-i - 1, j) for i, j in wet if i < 9}  # indices below 0 too
+    got = {(r["row"], r["col"]): r["component"] for r in hydrology.components(spark.createDataFrame([(1, i, j) for i, j in wet], "grid_id long, row int, col int"), block).collect()}
+    left, want = set(wet), {}
+    while left:
+        queue, piece = [left.pop()], []
+        while queue:
+            i, j = queue.pop()
+            piece.append((i, j))
+            for p in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if p in left:
+                    left.remove(p)
+                    queue.append(p)
+        i, j = min(piece)
+        want |= dict.fromkeys(piece, i * (1 << 31) + j)
+    assert got == want
+
+
 def test_no_cells(spark):
     none = spark.createDataFrame([], CELLS)
     for f in (lambda x: hydrology.hand_least(x, x, 3), lambda x: hydrology.hand_nearest(x, x, 3), lambda x: hydrology.stream_distance(x, x), lambda x: hydrology.fill_depressions(x, 8), grid.statistics):
