@@ -315,7 +315,9 @@ def flow_accumulation(directions: DataFrame, most_rounds: int = 64) -> DataFrame
             return now.select("grid_id", F.col("node.r").alias("row"), F.col("node.c").alias("col"), F.col("n").alias("cells"))
         sent = now.where("ptr is not null").groupBy("grid_id", F.col("ptr").alias("node")).agg(F.sum("n").alias("more"))
         up = now.select("grid_id", F.col("node").alias("ptr"), F.col("ptr").alias("next"))
-        got = now.join(up, ["grid_id", "ptr"], "left").select("grid_id", "node", F.col("next").alias("ptr"), "n")
+        # cells that have met their outlet stay out of the join: their null pointers would be one key
+        got = now.where("ptr is not null").join(up, ["grid_id", "ptr"], "left").select("grid_id", "node", F.col("next").alias("ptr"), "n")
+        got = got.unionByName(now.where("ptr is null").select("grid_id", "node", "ptr", "n"))
         got = got.join(sent, ["grid_id", "node"], "left").select("grid_id", "node", "ptr", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
         now = rounds.keep(got, 3)
     raise RuntimeError("flow directions hold a cycle")
