@@ -15,8 +15,8 @@ block meets all rows; more items mean more passes, not a larger broadcast.
 
 Defined results: an item or text without words, or null, matches nothing. An
 item of fewer than five words is its whole word sequence, found anywhere in a
-text. Repeated items and rows each give their own result rows; a null id is
-carried through. Empty tables give an empty result. Extra columns are ignored.
+text. Very long texts are searched whole. Repeated items and rows each give their
+own result rows, so there are no ties; a null id is carried through. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

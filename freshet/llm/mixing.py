@@ -16,8 +16,9 @@ the budget cuts, so no leaf is ever sorted in one task.
 Defined results: a null lang, source or domain is a leaf of its own ('' in the
 result); a null text has no words and is never chosen, nor is any text without
 words; a null id is ordered like the text 'null'; rows that repeat an id are
-ordered by token count. An empty table gives an empty result. Extra columns are
-ignored.
+ordered by token count, the tie-break of equal draws too. Words of a very long
+text are counted over the whole of it. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ Defined results: a null text, or one without words, has an empty set, links with
 nothing and is a component of its own; fewer than five words are one shingle.
 Repeated ids are one document's rows: each row is in the result. A component's
 id is the smallest id in it; null only if all its ids are null. An empty table
-gives an empty result. Extra columns are ignored. Shingles are 64-bit hashes and
+gives an empty result. Very long texts are read whole. There are no ties: links
+have no order. Extra columns are ignored. Shingles are 64-bit hashes and
 nodes 64-bit hashes of sets.
 """
 

@@ -12,7 +12,9 @@ largest page id is the response, the others are revisits that refer to it.
 Defined results: a null html is an empty payload; a null url gets the record's
 own name as target. Rows with a null page id are responses, unless a page with
 an id has the same payload. Rows that repeat page id and payload are each
-written, and are of the same type. An empty table gives no archive and an empty
+written, and are of the same type; of equal payloads the largest page id is the
+response, and there are no other ties. A very long payload is one record, written
+whole. An empty table gives no archive and an empty
 result. Extra columns are ignored.
 """
 
