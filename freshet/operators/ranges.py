@@ -24,10 +24,17 @@ def _key(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
 
+def large_groups(df: DataFrame, small: int) -> DataFrame | None:
+    """``_key`` of groups of more than ``small`` rows; None if there are none, so that nobody plans for them."""
+    large = df.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("_key")
+    return None if large.isEmpty() else large
+
+
 def ranged(df: DataFrame, value: str, small: int = SMALL, levels: int = 10) -> DataFrame:
     """``df`` (_key, value, ...) with ``_range``, which rises with the value: 2^levels ranges of a group of more than ``small`` rows, else one."""
-    n = 1 << levels
-    large = df.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("_key")
+    n, large = 1 << levels, large_groups(df, small)
+    if large is None:
+        return df.withColumn("_range", F.lit(0))
     shares = ", ".join(f"{k / n}D" for k in range(1, n))
     cuts = df.join(large, "_key", "left_semi").groupBy("_key").agg(F.expr(f"percentile_approx({value}, array({shares}), {10 * n})").alias("_cuts"))
     steps = F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
@@ -41,9 +48,13 @@ def running(df: DataFrame, keys: list[str], value: str, sums: list[str], down: b
     ``down``: over larger values. No task holds more than a range of a group.
     """
     kept = Rounds(df.sparkSession, "running").keep(df.withColumn("_key", _key(keys)))  # read several times
-    x = ranged(kept, value, small, levels)
     turn = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if large_groups(kept, small) is None:
+        own = Window.partitionBy("_key")
+        before = {f"{s}_before": F.coalesce(F.sum(s).over(earlier(own.orderBy(turn(value)))), F.lit(0)) for s in sums}
+        return kept.withColumns(before | {f"{s}_whole": F.sum(s).over(own) for s in sums}).drop("_key")
+    x = ranged(kept, value, small, levels)
     totals = x.groupBy("_key", "_range").agg(*[F.sum(s).alias(f"{s}_in") for s in sums])  # a row for each range
     by = Window.partitionBy("_key")
     totals = totals.select(
@@ -91,9 +102,11 @@ def quantiles(df: DataFrame, keys: list[str], columns: list[str], probabilities:
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")
     every = rounds.keep(df.select(_key(keys).alias("g"), named))
     long = every.select(F.struct("g", "s.c").alias("_key"), F.col("s.v").alias("v")).where("v is not null and not isnan(v)")
-    large = long.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("_key")
-    little = long.join(large, "_key", "left_anti").groupBy("_key").agg(F.percentile("v", [float(p) for p in probabilities]).alias("q"))
-    both = little.unionByName(_large_quantiles(long.join(large, "_key", "left_semi"), probabilities, small, levels))
+    large = large_groups(long, small)
+    little = long if large is None else long.join(large, "_key", "left_anti")
+    both = little.groupBy("_key").agg(F.percentile("v", [float(p) for p in probabilities]).alias("q"))
+    if large is not None:
+        both = both.unionByName(_large_quantiles(long.join(large, "_key", "left_semi"), probabilities, small, levels))
     both = both.unionByName(every.select(F.struct("g", "s.c").alias("_key"), F.lit(None).cast("array<double>").alias("q")).distinct())
     got = both.groupBy(F.col("_key.g").alias("g")).agg(*[F.max(F.when(F.col("_key.c") == c, F.col("q"))).alias(f"{c}_q") for c in columns])
     return rounds.keep(got.select(*[F.col(f"g.{k}").alias(k) for k in keys], *[f"{c}_q" for c in columns]))
