@@ -25,7 +25,6 @@ result. Columns beside those named are ignored, whatever their names.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
