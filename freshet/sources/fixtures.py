@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt by ``key`` to tasks of about so many rows: a small file whose rows are exploded would else be one task's work."""
+    n = df.count()
+    return df.repartition(-(-n // rows), key) if n > rows else df
+
+
 def cells(spark, sf_dir: str, rows_per_grid: int | None = None) -> DataFrame:
     """``grid_id, row, col, value``: embeddings as one grid, or as grids of so many rows."""
     dense = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "v"))
@@ -25,7 +31,7 @@ def depth_pairs(spark, sf_dir: str) -> DataFrame:
     depth = cells(spark, sf_dir, 50).withColumn("value", F.abs("value") * 8)
     right = depth.select(F.col("grid_id").alias("g"), F.col("row").alias("r"), (F.col("col") - 1).alias("c"), F.col("value").alias("obs"))
     same = (F.col("grid_id") == F.col("g")) & (F.col("row") == F.col("r")) & (F.col("col") == F.col("c"))
-    return depth.join(right, same).select(F.col("grid_id").alias("case_id"), "row", "col", F.col("value").alias("pred"), "obs")
+    return depth.join(right.hint("merge"), same).select(F.col("grid_id").alias("case_id"), "row", "col", F.col("value").alias("pred"), "obs")
 
 
 def claims(spark, sf_dir: str) -> DataFrame:
@@ -83,11 +89,15 @@ def stations(spark, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("station_id"), F.col("c_nationkey").alias("nation"), x.alias("x"), y.alias("y"), F.col("c_acctbal").alias("value"))
 
 
+#: A station has sixteen depths, and some queries make hundreds of rows of each.
+STATIONS_A_TASK = 5000
+
+
 def ddf(spark, sf_dir: str) -> DataFrame:
     """A frequency table: 24-hour depths by period, by the root of the duration's share of a day, higher where the balance is."""
     known = {10: 4.5, 25: 5.2, 100: 6.4, 500: 7.8}
     both = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(b).alias("b")) for m in (60, 180, 360, 1440) for p, b in known.items()]))
-    rows = stations(spark, sf_dir).select("station_id", "value", both.alias("k"))
+    rows = spread(stations(spark, sf_dir).select("station_id", "value"), "station_id", STATIONS_A_TASK).select("station_id", "value", both.alias("k"))
     depth = F.col("k.b") * F.sqrt(F.col("k.m") / 1440) * F.sqrt(1 + F.col("value") / 50000)
     return rows.select("station_id", F.col("k.m").alias("duration_minutes"), F.col("k.p").alias("return_period_years"), F.round(depth, 9).alias("depth_in"))
 
