@@ -20,7 +20,32 @@ DURATIONS = {
 
 def r6(c: Column) -> Column:
     """Rounded to six digits, without a negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    return to_digits(c, 6) + F.lit(0.0)
+
+
+def to_digits(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines and C libraries do it: the scaled double, halves away from zero.
+
+    ``round`` takes the shortest decimal that stands for the double, so 1.005
+    (really a little less) would become 1.01.
+    """
+    return F.round(c * float(10**digits)) / float(10**digits)
+
+
+def told(c: Column, digits: int) -> Column:
+    """A number below 2^24 as text with so many digits, as printf has it: what the double holds, exact halves to the even digit.
+
+    ``format_string`` rounds the shortest decimal's halves up. The value is cut
+    in two parts whose multiples are exact.
+    """
+    scale = float(10**digits)
+    minus, c = F.when(c < 0, "-").otherwise(""), F.abs(c.cast("double"))
+    high = c.cast("float").cast("double")
+    low = (c - high) * scale
+    whole = F.floor(c * scale)
+    rest = (high * scale - whole) + low
+    up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 != 0))
+    return F.concat(minus, F.format_string(f"%.{digits}f", (whole + up.cast("int")) / scale))
 
 
 def convert_units(value: Column, src: str, dst: str) -> Column:

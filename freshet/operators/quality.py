@@ -253,7 +253,7 @@ def metric_recommendations(metrics: DataFrame, key: str = "case_id") -> DataFram
     """``key, priority, category, issue, recommendation, metric`` of metrics in long form (key, metric, value): a row for each rule that holds."""
     x = metrics.where("value is not null and not isnan(value)")
     rules_ = [
-        F.when((F.col("metric") == m) & F.expr(when), F.struct(*[F.lit(v).alias(n) for n, v in (("priority", p), ("category", c), ("issue", i), ("recommendation", r))], F.format_string(told, F.col("value")).alias("metric")))
+        F.when((F.col("metric") == m) & F.expr(when), F.struct(*[F.lit(v).alias(n) for n, v in (("priority", p), ("category", c), ("issue", i), ("recommendation", r))], F.replace(F.lit(told), F.lit("%.3f"), rules.told(F.col("value"), 3)).alias("metric")))
         for m, when, p, c, i, r, told in METRIC_ADVICE
     ]
     return x.select(key, F.explode(F.array_compact(F.array(*rules_))).alias("r")).select(key, "r.*")

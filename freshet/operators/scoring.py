@@ -84,7 +84,7 @@ def enrich(requests: DataFrame, score: str = "score") -> DataFrame:
     hours = F.when(rain.isNull() | (rain == 0), None).when(rain > 50, 2).when(rain > 20, 4).when(rain > 10, 8).otherwise(12)
     area = F.col(score) * 2 * F.when(density.isNull() | (density == 0), 1.0).otherwise(F.least(density / 1000, F.lit(2.0)))
     return x.withColumns(
-        {"recommendations": distinct_texts(advice), "water_level": F.col(score) * 3, "hours_to_peak": hours.cast("int"), "affected_km2": F.round(area, 2)}
+        {"recommendations": distinct_texts(advice), "water_level": F.col(score) * 3, "hours_to_peak": hours.cast("int"), "affected_km2": rules.to_digits(area, 2)}
     )
 
 

@@ -31,7 +31,7 @@ def join_ddf_confidence(spark, d):
     """Estimates and bounds; a quarter of the stations have estimates alone."""
     share = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in zip(r.CONFIDENCE, (1.0, 1.2, 0.8), strict=True)]))
     bounds = fx.ddf(spark, d).withColumn("s", share).where("s.c = 'estimates' or station_id % 4 <> 0")
-    bounds = bounds.select("station_id", "duration_minutes", "return_period_years", F.col("s.c").alias("confidence"), F.round(F.col("depth_in") * F.col("s.x"), 9).alias("depth_in"))
+    bounds = bounds.select("station_id", "duration_minutes", "return_period_years", F.col("s.c").alias("confidence"), rules.to_digits(F.col("depth_in") * F.col("s.x"), 9).alias("depth_in"))
     asks = F.get(F.array(F.lit(None), F.lit("upper_bound"), F.lit("lower_bound"), F.lit("estimates")), (F.col("request_id") % 4).cast("int"))
     return r.lookup_by_confidence(fx.requests(spark, d).withColumn("confidence", asks), bounds)
 
@@ -77,7 +77,7 @@ _INT = f"""SELECT request_id, p, m, {_piece('p', r.DEPTHS_24H, 'ln({}::DOUBLE)',
 def join_ddf_interpolate(spark, d):
     o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), (2 + F.col("o_orderkey") % 900).alias("return_period_years"), (30 + F.col("o_custkey") % 2000).alias("duration_minutes"))
     v = r.interpolated_depth(F.col("return_period_years"), F.col("duration_minutes"))
-    return o.withColumns({"depth_in": F.round(v, 10), "lower_bound": F.round(v * 0.85, 10), "upper_bound": F.round(v * 1.15, 10)})
+    return o.withColumns({"depth_in": rules.to_digits(v, 10), "lower_bound": rules.to_digits(v * 0.85, 10), "upper_bound": rules.to_digits(v * 1.15, 10)})
 
 
 #: Areas in square miles with factors for a day's rain.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.rules import to_digits
+
 QUERIES: dict = {}
 SQL: dict = {}
 FLAGSHIP = "agg_flood_metrics"
@@ -26,7 +28,7 @@ def query(name: str, sql: str | None = None):
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to so many digits, without negative zeros: sums differ in their last bits by order."""
     return df.select(
-        *[(F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields]
+        *[(to_digits(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields]
     )
 
 

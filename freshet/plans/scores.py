@@ -30,7 +30,7 @@ def asked(spark, d):
         (k * 1.2).alias("soil_moisture"),
         F.when(v > 5, v / 4).alias("drainage_capacity"),
         (k * 1.1).alias("building_density"),
-        (u * 20.37).alias("population_density"),
+        (u * 2037 / 100).alias("population_density"),
         F.when(v > 3, F.array(v / 10, v / 20, v / 40)).otherwise(none).alias("forecast_rainfall"),
         F.when(v > 50, F.array(v, F.lit(1.0))).alias("historical_rainfall"),
         F.array(k).alias("historical_water_levels"),
@@ -86,7 +86,7 @@ FROM (SELECT *, {_FAC} AS factors, CASE WHEN score < 0.25 THEN 'low' WHEN score
 @query("score_enrich", sq(_ENR, "request_id level factors recommendations hours_to_peak", "confidence water_level affected_km2"))
 def score_enrich(spark, d):
     x = asked(spark, d)
-    x = x.withColumn("score", F.round((F.coalesce("current_rainfall", F.lit(0.0)) / 500 + F.col("soil_moisture") / 120) / 2, 9))
+    x = x.withColumn("score", rules.to_digits((F.coalesce("current_rainfall", F.lit(0.0)) / 500 + F.col("soil_moisture") / 120) / 2, 9))
     got = s.enrich(x)
     return rounded(got.select("request_id", "level", "confidence", F.array_join("factors", ",").alias("factors"), F.array_join("recommendations", "|").alias("recommendations"), "water_level", "hours_to_peak", "affected_km2"))
 

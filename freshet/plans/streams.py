@@ -70,7 +70,7 @@ _SCO = f"SELECT request_id, level, confidence, factors, water_level, n_customers
 def str_score_stream(spark, d):
     requests = asked(spark, d).join(_events(spark, d).select(F.col("event_id").alias("request_id"), "ts", "user_id"), "request_id")
     lookup = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_customers"))
-    score = F.round((F.coalesce("current_rainfall", F.lit(0.0)) / 500 + F.col("soil_moisture") / 120) / 2, 9)
+    score = rules.to_digits((F.coalesce("current_rainfall", F.lit(0.0)) / 500 + F.col("soil_moisture") / 120) / 2, 9)
     rows = e.drained(spark, _slices(requests), lambda s: e.score_stream(s, score, scoring.enrich, lookup, "user_id"))
     return rounded(rows.select("request_id", "level", "confidence", F.array_join("factors", ",").alias("factors"), "water_level", "n_customers"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import to_digits
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,7 +81,7 @@ def history(spark, sf_dir: str) -> DataFrame:
     )
     ends = hourly.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))  # one row
     scaled = F.try_divide(F.col("mean") - F.col("lo"), F.col("hi") - F.col("lo"))
-    return hourly.crossJoin(F.broadcast(ends)).select("component", "ts", F.round(scaled, 9).alias("score"))
+    return hourly.crossJoin(F.broadcast(ends)).select("component", "ts", to_digits(scaled, 9).alias("score"))
 
 
 def stations(spark, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def ddf(spark, sf_dir: str) -> DataFrame:
     both = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(b).alias("b")) for m in (60, 180, 360, 1440) for p, b in known.items()]))
     rows = spread(stations(spark, sf_dir).select("station_id", "value"), "station_id", STATIONS_A_TASK).select("station_id", "value", both.alias("k"))
     depth = F.col("k.b") * F.sqrt(F.col("k.m") / 1440) * F.sqrt(1 + F.col("value") / 50000)
-    return rows.select("station_id", F.col("k.m").alias("duration_minutes"), F.col("k.p").alias("return_period_years"), F.round(depth, 9).alias("depth_in"))
+    return rows.select("station_id", F.col("k.m").alias("duration_minutes"), F.col("k.p").alias("return_period_years"), to_digits(depth, 9).alias("depth_in"))
 
 
 def requests(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """What large tables need: no exploded table at the driver, no key with all rows in one task, ties as the SQL has them."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from freshet.functions import rules
 from freshet.operators import rain
 
 
@@ -21,3 +23,15 @@ def test_lookups_never_broadcast_an_exploded_table(spark):
     sure = rain.lookup_by_confidence(asked.withColumn("confidence", F.lit(None).cast("string")), ddf.withColumn("confidence", F.lit("estimates")))
     assert "Broadcast" not in _plan(sure)
     assert {r["request_id"]: r["missing"] for r in sure.collect()} == {1: None, 2: "confidence"}
+
+
+def test_digits_are_those_of_the_double(spark):
+    """1.005 and 0.285 are a little less than they look; 0.0625 and 0.1875 are exact halves."""
+    numbers = [1.005, 0.285, 2.675, 0.125, -0.125, 0.0625, 0.1875, 0.5005, 0.0125, 7.0, -0.0001, -0.0625, float("nan")]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    got = df.select("x", rules.to_digits(F.col("x"), 2).alias("d"), rules.told(F.col("x"), 3).alias("t")).collect()
+    con = duckdb.connect()
+    for r in got[:-1]:
+        assert (r["d"], r["t"]) == con.execute("SELECT round(?::DOUBLE, 2), format('{:.3f}', ?::DOUBLE)", [r["x"], r["x"]]).fetchone()
+        assert r["t"] == f"{r['x']:.3f}"
+    assert got[-1]["d"] != got[-1]["d"]
