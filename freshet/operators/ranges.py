@@ -17,6 +17,8 @@ from ..sources.scratch import Rounds
 
 #: Groups up to so many rows are ordered in one piece.
 SMALL = 8192
+#: Tables of so many large groups at most (8 KB of cut points each) go to every task.
+FEW = 1000
 
 
 def _key(keys: list[str]) -> Column:
@@ -26,8 +28,17 @@ def _key(keys: list[str]) -> Column:
 
 def large_groups(df: DataFrame, small: int) -> DataFrame | None:
     """``_key`` of groups of more than ``small`` rows; None if there are none, so that nobody plans for them."""
-    large = df.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("_key")
-    return None if large.isEmpty() else large
+    large = Rounds(df.sparkSession, "large").keep(df.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("_key"))
+    return None if (n := large.count()) == 0 else to_tasks(large, n)
+
+
+def to_tasks(df: DataFrame, groups: int) -> DataFrame:
+    """``df``, a few rows for each of so many large groups, as the small side of a join by group.
+
+    The planner takes what is aggregated for about as large as what it came from
+    and would send all rows of a group to one task.
+    """
+    return F.broadcast(df) if groups <= FEW else df
 
 
 def ranged(df: DataFrame, value: str, small: int = SMALL, levels: int = 10) -> DataFrame:
@@ -37,6 +48,7 @@ def ranged(df: DataFrame, value: str, small: int = SMALL, levels: int = 10) -> D
         return df.withColumn("_range", F.lit(0))
     shares = ", ".join(f"{k / n}D" for k in range(1, n))
     cuts = df.join(large, "_key", "left_semi").groupBy("_key").agg(F.expr(f"percentile_approx({value}, array({shares}), {10 * n})").alias("_cuts"))
+    cuts = to_tasks(Rounds(df.sparkSession, "cuts").keep(cuts), large.count())
     steps = F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
     place = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.col(value) > F.get("_cuts", at + s - 1), s).otherwise(0))
     return df.join(cuts, "_key", "left").withColumn("_range", F.when(F.col("_cuts").isNotNull(), place).otherwise(0)).drop("_cuts")
@@ -86,7 +98,8 @@ def _large_quantiles(x: DataFrame, probabilities: list[float], small: int, level
     found = held.join(wanted, ["_key", "_range"]).where((low <= F.col("rank")) & (F.col("rank") < low + F.col("k")))
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
     got = found.groupBy("_key", "i").agg(side(0).alias("a"), side(1).alias("b"), F.max("part").alias("part"))
-    got = got.select("_key", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("x"))
+    between = F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part")
+    got = got.select("_key", "i", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("x"))
     return got.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
 
 

@@ -1,10 +1,11 @@
 """What large tables need: no exploded table at the driver, no key with all rows in one task, ties as the SQL has them."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
-from freshet.operators import rain
+from freshet.operators import boxes, rain, ranges
 
 
 def _plan(df) -> str:
@@ -35,3 +36,27 @@ def test_digits_are_those_of_the_double(spark):
         assert (r["d"], r["t"]) == con.execute("SELECT round(?::DOUBLE, 2), format('{:.3f}', ?::DOUBLE)", [r["x"], r["x"]]).fetchone()
         assert r["t"] == f"{r['x']:.3f}"
     assert got[-1]["d"] != got[-1]["d"]
+
+
+def test_cut_points_of_a_large_group_are_drawn_once(spark):
+    """A sketch that is drawn again gives other cut points, and counts by range no longer fit the ranges."""
+    df = spark.range(100).select(ranges._key([]).alias("_key"), (F.col("id") % 37).cast("double").alias("v"))
+    plan = _plan(ranges.ranged(df, "v", small=10, levels=3))
+    assert "percentile_approx" not in plan and "SortMergeJoin" not in plan
+    got = ranges.quantiles(df, [], ["v"], [0.0, 0.3, 0.5, 1.0], small=10, levels=3).first()["v_q"]
+    values = sorted(float(i % 37) for i in range(100))
+    assert got == [values[0], pytest.approx(values[29] * 0.3 + values[30] * 0.7), (values[49] + values[50]) / 2, values[99]]
+
+
+def test_boxes_alike_are_compared_once_and_all_told(spark):
+    rows = [(i, float(i % 3), 0.0, i % 3 + 1.5, 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, west double, south double, east double, north double")
+    got = {(r["id"], r["id2"]): r["mutual"] for r in boxes.pairwise_overlap(df, 1.0).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            share = (min(a[3], b[3]) - max(a[1], b[1])) / 1.5
+            if a[0] < b[0] and share > 0:
+                want[a[0], b[0]] = pytest.approx(share)
+    assert got == want
+    assert "aggregate" in _plan(boxes.pairwise_overlap(df, 1.0)).lower()
