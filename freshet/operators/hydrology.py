@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Rounds
 from . import grid as g
-from .ranges import with_quantiles
+from .ranges import to_tasks, with_quantiles
 
 CELL = g.CELL
 
@@ -343,6 +343,8 @@ def burn_smoothed(cells: DataFrame, stream: DataFrame, buffer: int, sigma: float
 
 
 _STRIP = 32
+#: A strip of columns has so many cells at most, or is one column; tasks are dealt about so many.
+_STRIP_CELLS = 1 << 18
 
 
 def _slices(keys: np.ndarray):
@@ -376,15 +378,18 @@ def _lines(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).assign(grid_id=frame["grid_id"].iloc[0])[[c.split()[0] for c in _LINE.split(", ")]]
 
 
-def _stream_lines(cells: DataFrame, stream: DataFrame) -> DataFrame:
-    """Each row that has stream cells (value), read at every column of its grid: as many rows as the grid's box has cells at most."""
-    ends = cells.groupBy("grid_id").agg(F.min("col").alias("c_min"), F.max("col").alias("c_max"))
-    rows = stream.select(*CELL, "value").join(ends, "grid_id").withColumn("strip", F.floor(F.col("row") / _STRIP))
-    return rows.groupBy("grid_id", "strip").applyInPandas(_lines, _LINE)
+def _stream_lines(ends: DataFrame, stream: DataFrame, deal) -> DataFrame:
+    """Each row that has stream cells (value), read at every column of its grid (c_min to c_max of ends): as many rows as the grid's box has cells at most."""
+    rows = stream.select(*CELL, "value").join(ends.select("grid_id", "c_min", "c_max"), "grid_id").withColumn("strip", F.floor(F.col("row") / _STRIP))
+    return deal(rows, "grid_id", "strip").groupBy("grid_id", "strip").applyInPandas(_lines, _LINE)
 
 
-def _along_columns(cells: DataFrame, lines: DataFrame, found, name: str) -> DataFrame:
-    """``found(rows, values, at, far, height)`` for the cells of each column of a grid: rows and values of the cells; rows, distances and values (a row for each side) of the stream at that column."""
+def _along_columns(cells: DataFrame, stream: DataFrame, found, name: str) -> DataFrame:
+    """``found(rows, values, at, far, height)`` for the cells of each column of a grid: rows and values of the cells; rows, distances and values (a row for each side) of the stream at that column.
+
+    Strips of a tall grid are narrow, and tasks as many as there are cells for:
+    cells take few bytes, and Spark would put the strips of a large grid together.
+    """
 
     def columns(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values(["col", "row"]), right.sort_values(["line_col", "line_row"])
@@ -398,8 +403,16 @@ def _along_columns(cells: DataFrame, lines: DataFrame, found, name: str) -> Data
                 got[own] = found(rows[own], values[own], at[there[col]], far[:, there[col]], height[:, there[col]])
         return left[CELL].assign(**{name: got})
 
-    own = cells.select(*CELL, "value").withColumn("strip", F.floor(F.col("col") / _STRIP))
-    lines = lines.withColumn("line_strip", F.floor(F.col("line_col") / _STRIP)).withColumnRenamed("grid_id", "line_grid")
+    box = [F.min("col").alias("c_min"), F.max("col").alias("c_max"), F.max(F.col("row").cast("long") + 1).alias("r_max"), F.min("row").alias("r_min"), F.count(F.lit(1)).alias("n")]
+    ends = Rounds(cells.sparkSession, "ends").keep(cells.groupBy("grid_id").agg(*box))
+    size = ends.agg(F.max(F.col("r_max") - F.col("r_min")).alias("rows"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("grids")).first()
+    strip = max(1, min(_STRIP, _STRIP_CELLS // (size["rows"] or 1)))
+    few = (size["n"] or 0) <= _STRIP_CELLS
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // _STRIP_CELLS))
+    deal = lambda df, *keys: df if few else df.repartition(tasks, *keys)
+    lines = _stream_lines(to_tasks(ends, size["grids"]), stream, deal)
+    own = deal(cells.select(*CELL, "value").withColumn("strip", F.floor(F.col("col") / strip)), "grid_id", "strip")
+    lines = deal(lines.withColumn("line_strip", F.floor(F.col("line_col") / strip)).withColumnRenamed("grid_id", "line_grid"), "line_grid", "line_strip")
     both = own.groupBy("grid_id", "strip").cogroup(lines.groupBy("line_grid", "line_strip"))
     got = both.applyInPandas(columns, f"grid_id long, row int, col int, {name} double")
     return got.select(*CELL, F.when(~F.isnan(name), F.col(name)).alias(name))
@@ -437,7 +450,7 @@ def stream_distance(cells: DataFrame, stream: DataFrame, size: float = 1.0) -> D
         return np.sqrt(_envelope(rows, at, far.min(0) ** 2)) * size
 
     wet = stream.select(*CELL).distinct().withColumn("value", F.lit(0.0))
-    return _along_columns(cells.withColumn("value", F.lit(0.0)), _stream_lines(cells, wet), nearest, "distance")
+    return _along_columns(cells.withColumn("value", F.lit(0.0)), wet, nearest, "distance")
 
 
 def hand_nearest(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:
@@ -466,7 +479,7 @@ def hand_nearest(cells: DataFrame, stream: DataFrame, reach: int) -> DataFrame:
         return np.maximum(values - under, 0.0)
 
     wet = cells.join(stream.select(*CELL).distinct(), CELL, "left_semi").where("value is not null")
-    return _along_columns(cells, _stream_lines(cells, wet), nearest, "hand")
+    return _along_columns(cells, wet, nearest, "hand")
 
 
 def hand_least(cells: DataFrame, stream: DataFrame, reach: int, block: int = 128) -> DataFrame:

@@ -1,11 +1,12 @@
 """What large tables need: no exploded table at the driver, no key with all rows in one task, ties as the SQL has them."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
-from freshet.operators import boxes, rain, ranges
+from freshet.operators import boxes, hydrology, rain, ranges
 from freshet.sources import fixtures
 
 
@@ -71,7 +72,7 @@ def test_exploded_stations_are_many_tasks(spark):
 
 def test_boxes_of_noise_are_many_tasks_and_narrow_ones_have_noise(spark, monkeypatch):
     """One row a grid is exploded into its box; a box narrower than the kernel is mirrored again."""
-    cells = spark.range(60 * 40).select(F.lit(1).alias("grid_id"), F.expr("int(id div 40)").alias("row"), F.expr("int(id % 40)").alias("col"), F.lit(1.0).alias("value"))
+    cells = spark.range(60 * 40).select(F.expr("id - id % 1 - id + 1").alias("grid_id"), F.expr("int(id div 40)").alias("row"), F.expr("int(id % 40)").alias("col"), F.lit(1.0).alias("value"))
     whole = rain.smooth_noise(cells, 5, 1.0).select("row", "col", "noise")
     monkeypatch.setattr(rain, "CELLS_A_TASK", 250)
     dealt = rain.smooth_noise(cells, 5, 1.0).select("row", "col", "noise")
@@ -92,3 +93,14 @@ def test_storms_stay_in_the_task_they_are_dealt_to(spark, monkeypatch):
     assert sums == {f"s{i}": (24, pytest.approx(10.0 + i)) for i in range(20)}
     kept = rain.storm_ensemble(storm, 3).groupBy("scenario_id", "member").agg(F.count("*").alias("n"), F.sum("depth").alias("t")).collect()
     assert len(kept) == 60 and all(r["n"] == 24 and r["t"] == pytest.approx(10.0 + int(r["scenario_id"][1:])) for r in kept)
+
+
+def test_strips_of_a_tall_grid_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hydrology, "_STRIP_CELLS", 200)
+    cells = spark.range(400 * 8).select((F.col("id") % 1).alias("grid_id"), F.expr("int(id div 8)").alias("row"), F.expr("int(id % 8)").alias("col"), F.lit(1.0).alias("value"))
+    wet = [(3, 1), (150, 6), (151, 0), (390, 7)]
+    stream = cells.where(" or ".join(f"row = {r} and col = {c}" for r, c in wet))
+    found = hydrology.stream_distance(cells, stream)
+    assert found.rdd.getNumPartitions() == 16
+    got = {(r["row"], r["col"]): r["distance"] for r in found.collect()}
+    assert len(got) == 3200 and all(d == pytest.approx(min(np.hypot(r - i, c - j) for i, j in wet)) for (r, c), d in got.items())
