@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,13 @@ class _Rolling(StatefulProcessor):
 
 
 class _Throttle(StatefulProcessor):
-    """Times of a kind wait until the watermark has passed them, so that late ones take their place; then those that fire go out."""
+    """Times of a kind wait until the watermark has passed them, so that late ones take their place; then those that fire go out.
+
+    They wait by the hour, packed: a task holds ``TOGETHER`` new times of a kind
+    at most, and those of one hour, whatever number waits.
+    """
+
+    HOUR, TOGETHER = 3_600_000_000, 1 << 18
 
     def __init__(self, quiet: int):
         self.quiet = quiet
@@ -97,40 +104,69 @@ class _Throttle(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
-        self.waiting = handle.getListState("waiting", "at long")
+        self.waiting = handle.getMapState("waiting", "hour long", "times binary")
+
+    def _wait(self, parts: list[np.ndarray]) -> None:
+        times = np.unique(np.concatenate(parts))
+        hours = times // self.HOUR
+        for hour, own in zip(np.unique(hours).tolist(), np.split(times, np.flatnonzero(np.diff(hours)) + 1), strict=True):
+            if self.waiting.containsKey((hour,)):
+                own = np.union1d(np.frombuffer(self.waiting.getValue((hour,))[0], np.int64), own)
+            self.waiting.updateValue((hour,), (own.tobytes(),))
 
     def handleInputRows(self, key, rows, timerValues):
-        times = {int(t) for frame in rows for t in _micros(frame["ts"])} | {int(t) for (t,) in self.waiting.get()}
-        self.waiting.put([(t,) for t in sorted(times)])
-        self.handle.registerTimer(min(times) // 1000 + 1)
+        parts, held, first = [], 0, None
+        for frame in rows:
+            if frame.empty:
+                continue
+            parts.append(_micros(frame["ts"]))
+            held += len(parts[-1])
+            low = int(parts[-1].min())
+            first = low if first is None else min(first, low)
+            if held >= self.TOGETHER:
+                self._wait(parts)
+                parts, held = [], 0
+        if parts:
+            self._wait(parts)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        times = sorted(int(t) for (t,) in self.waiting.get())
-        last, fired = (int(self.last.get()[0]) if self.last.exists() else None), []
-        for t in (t for t in times if t < passed):
-            if last is None or t - last >= self.quiet:
-                fired.append(t)
-                last = t
-        rest = [t for t in times if t >= passed]
-        if last is not None and (rest or passed < last + self.quiet):
+        last, next_one = (int(self.last.get()[0]) if self.last.exists() else None), None
+        for hour in sorted(int(h) for (h,) in self.waiting.keys()):
+            if hour * self.HOUR >= passed:
+                next_one = int(np.frombuffer(self.waiting.getValue((hour,))[0], np.int64)[0])
+                break
+            times = np.frombuffer(self.waiting.getValue((hour,))[0], np.int64)
+            times, rest = np.split(times, [np.searchsorted(times, passed)])
+            fired, at = [], 0 if last is None else int(np.searchsorted(times, last + self.quiet))
+            while at < len(times):
+                last = int(times[at])
+                fired.append(last)
+                at = int(np.searchsorted(times, last + self.quiet))
+            if len(rest):
+                self.waiting.updateValue((hour,), (rest.tobytes(),))
+            else:
+                self.waiting.removeKey((hour,))
+            if fired:
+                yield pd.DataFrame({"kind": [key[0]] * len(fired), "at": fired})
+            if len(rest):
+                next_one = int(rest[0])
+                break
+        if last is not None and (next_one is not None or passed < last + self.quiet):
             self.last.update((last,))
         else:
             self.last.clear()  # a quiet kind leaves nothing
-        if rest:
-            self.waiting.put([(t,) for t in rest])
-            self.handle.registerTimer(rest[0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-            if self.last.exists():
-                self.handle.registerTimer((last + self.quiet) // 1000 + 1)
-        if fired:
-            yield pd.DataFrame({"kind": [key[0]] * len(fired), "at": fired})
+        if next_one is not None:
+            self.handle.registerTimer(next_one // 1000 + 1)
+        elif self.last.exists():
+            self.handle.registerTimer((last + self.quiet) // 1000 + 1)
 
 
-def _micros(times: pd.Series) -> list[int]:
-    return times.astype("datetime64[us]").astype("int64").tolist()
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
 
 
 def rolling_mean(events: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
@@ -144,8 +180,8 @@ def throttled_warnings(events: DataFrame, minutes: int = 5) -> DataFrame:
     """Warnings (kind, ts) that fire: the first, and those ``minutes`` or more after the last of their kind that fired.
 
     They fire once the watermark has passed them, in the order of their times,
-    whatever order they came in. A kind's state is its waiting times and the last
-    that fired; it goes once the watermark has passed that by the quiet time.
+    whatever order they came in. A kind's state is its waiting times by the hour and the
+    last that fired; it goes once the watermark has passed that by the quiet time.
     """
     rows = events.select("kind", "ts").withWatermark("ts", LATE).groupBy("kind")
     return rows.transformWithStateInPandas(_Throttle(minutes * 60_000_000), "kind string, at long", "append", "eventtime")

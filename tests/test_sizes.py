@@ -1,13 +1,17 @@
 """What large tables need: no exploded table at the driver, no key with all rows in one task, ties as the SQL has them."""
 
+from types import SimpleNamespace
+
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
 from freshet.operators import boxes, hydrology, rain, ranges
 from freshet.sources import fixtures
+from freshet.streaming import events
 
 
 def _plan(df) -> str:
@@ -104,3 +108,19 @@ def test_strips_of_a_tall_grid_are_many_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 16
     got = {(r["row"], r["col"]): r["distance"] for r in found.collect()}
     assert len(got) == 3200 and all(d == pytest.approx(min(np.hypot(r - i, c - j) for i, j in wet)) for (r, c), d in got.items())
+
+
+def test_waiting_warnings_are_packed_by_the_hour(monkeypatch):
+    """Times of a kind are never held all at once: a few frames are, and the hours that they fall in."""
+    state, timers = {}, []
+    waiting = SimpleNamespace(containsKey=state.__contains__, getValue=state.__getitem__, updateValue=state.__setitem__, removeKey=state.pop, keys=lambda: iter(list(state)))
+    last = SimpleNamespace(exists=lambda: False, clear=lambda: None, update=lambda v: None)
+    throttle = events._Throttle(300_000_000)
+    monkeypatch.setattr(throttle, "TOGETHER", 100, raising=False)
+    throttle.init(SimpleNamespace(getValueState=lambda *a: last, getMapState=lambda *a: waiting, getListState=lambda *a: None, registerTimer=timers.append))
+    seconds = np.random.default_rng(1).permutation(np.arange(0, 36_000, 7))
+    frames = (pd.DataFrame({"ts": pd.to_datetime(seconds[i : i + 50], unit="s")}) for i in range(0, len(seconds), 50))
+    throttle.handleInputRows(("a",), frames, None)
+    assert len(state) == 10 and max(len(v[0]) for v in state.values()) <= 8 * 515 and timers == [1]
+    fired = pd.concat(throttle.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 36_000_000), None))
+    assert not state and (fired["at"] // 1_000_000).tolist() == list(range(0, 36_000, 301))
