@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.claims import median_by_ranges
+from ..operators.ranges import quantiles
 from ..sources import fixtures as fx
 from .metrics import sq
 from .registry import query, rounded
@@ -57,8 +57,7 @@ def qc_outliers_iqr_near(spark, d):
 
 def _outside(claims, k):
     """Claims beyond the quartiles by ``k`` of their range; quartiles by value ranges, one row each."""
-    q1, q3 = (median_by_ranges(claims, "amount_paid", probability=p).withColumnRenamed("value", n) for p, n in ((0.25, "q1"), (0.75, "q3")))
-    ends = q1.crossJoin(q3)
+    ends = quantiles(claims, [], ["amount_paid"], [0.25, 0.75]).select(*[F.get("amount_paid_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "q3"))])
     reach = (F.col("q3") - F.col("q1")) * k
     out = (F.col("amount_paid") < F.col("q1") - reach) | (F.col("amount_paid") > F.col("q3") + reach)
     return claims.crossJoin(F.broadcast(ends)).where(out).select("claim_id")
