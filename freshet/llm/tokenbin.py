@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .files import opened, written
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 MAGIC = b"EFTOKEN1"
 _FOOT = "<8sQQQQQQqQ"  # magic, width, tokens, docs, null ids, bytes of ends, bytes of ids, least id, reserved
@@ -107,12 +107,21 @@ _LETTER, _NUMBER = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
 _PIECE = re.compile(f"\n|'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 
 
-def _gathered(table: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``table`` (run k has ``sizes[k]`` items) in the order of ``which``, end to end; and where each ends."""
-    n = sizes[which]
-    ends = np.cumsum(n)
-    starts = (np.cumsum(sizes) - sizes)[which]
-    return table[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+def _gathered(table: np.ndarray, sizes: np.ndarray, which: np.ndarray, together: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``table`` (run k has ``sizes[k]`` items) in the order of ``which``, end to end; and where each ends.
+
+    So many runs are placed ``together``: places take eight bytes an item, an item two or four.
+    """
+    ends = np.cumsum(sizes[which])
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(ends[-1] if len(ends) else 0, table.dtype)
+    for i in range(0, len(which), together):
+        part = which[i : i + together]
+        n, base = sizes[part], int(ends[i - 1]) if i else 0
+        places = np.repeat(starts[part] - ends[i : i + together] + n + base, n)
+        places += np.arange(len(places))
+        out[base : base + len(places)] = table[places]
+    return out, ends
 
 
 class WordCoder:
@@ -138,7 +147,8 @@ class WordCoder:
         self.before: dict[str, bytes] = {}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
-        coded = self.coder.encode_batch_fast(texts, add_special_tokens=False)
+        # one by one: the coder's own record of a text takes some hundred bytes a token
+        coded = (self.coder.encode_batch_fast([t], add_special_tokens=False)[0] for t in texts)
         return [np.array(e.ids, self.dtype).tobytes() for e in coded]
 
     def _together(self, pieces: list[str]) -> list[bytes]:
@@ -198,22 +208,23 @@ class WordCoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
-        hard = pc.match_substring_regex(texts, _HARD).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(texts, _HARD)
+        hard = marked.to_numpy(zero_copy_only=False)
         if not hard.any():
             ids, ends = self._plain(texts)
             return ids, np.diff(ends, prepend=0)
         counts, parts = np.zeros(len(texts), np.int64), [np.empty(0, self.dtype)] * 2
         if not hard.all():
-            parts[0], ends = self._plain(texts.filter(pc.invert(pc.match_substring_regex(texts, _HARD))))
+            parts[0], ends = self._plain(texts.filter(pc.invert(marked)))
             counts[~hard] = np.diff(ends, prepend=0)
-        coded = self._alone(texts.filter(pc.match_substring_regex(texts, _HARD)).to_pylist())
+        coded = self._alone(texts.filter(marked).to_pylist())
         parts[1] = np.frombuffer(b"".join(coded), self.dtype)
         counts[hard] = [len(c) // self.dtype.itemsize for c in coded]
         ids, own = np.empty(counts.sum(), self.dtype), np.repeat(hard, counts)
         ids[~own], ids[own] = parts
         return ids, counts
 
-    def stream(self, columns, size: int = 8 << 20):
+    def stream(self, columns, size: int = 3 << 20):
         """``encode`` of about ``size`` bytes of texts at a time, from Arrow columns one after the other."""
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -354,7 +365,8 @@ def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2)
     """Write ``docs`` as shards in the shared folder and read them back."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    manifest = scratch.keep(write_shards(docs, scratch.path("shards"), tokenizer, end_id), "manifest")
+    with small_batches(spark, 500):  # a worker holds the tokenizer and its words besides
+        manifest = scratch.keep(write_shards(docs, scratch.path("shards"), tokenizer, end_id), "manifest")
     return read_shards(spark, manifest)
 
 

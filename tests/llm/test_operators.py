@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -316,6 +317,21 @@ def test_word_coder_equals_the_tokenizer():
         assert got == want
 
 
+def test_runs_are_gathered_in_little_memory():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 5, 1000)
+    table, which = rng.integers(0, 60_000, sizes.sum()).astype("<u2"), rng.integers(0, 1000, 1_000_000).astype(np.int32)
+    tracemalloc.start()
+    got, ends = tokenbin._gathered(table, sizes, which)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    runs = np.split(table, np.cumsum(sizes)[:-1])
+    assert (got == np.concatenate([runs[k] for k in which])).all() and (ends == np.cumsum(sizes[which])).all()
+    assert peak < 30e6  # ends, sizes and the items; eight bytes for the place of each item would be 50 MB more
+    got, ends = tokenbin._gathered(table, sizes, which[:0])
+    assert not len(got) and not len(ends)
+
+
 @pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (5, 3), (1000, 100_000), (777, 50), (3000, 10**12)])
 def test_elias_fano(n, top):
     values = np.sort(np.random.default_rng(n).integers(0, top, n)).astype(np.uint64)
