@@ -74,19 +74,43 @@ def duration_histogram(events: DataFrame, key: str, value: str, bounds: list[flo
 
 
 class _Rolling(StatefulProcessor):
-    """The last ``n`` values of a key by time, as list state."""
+    """The last ``n`` values by time of each key of a bucket, packed as one state value; no more than a frame is held besides."""
 
-    def __init__(self, key: str, value: str, n: int):
-        self.key, self.value, self.n = key, value, n
+    def __init__(self, n: int):
+        self.n = n
 
     def init(self, handle) -> None:
-        self.kept = handle.getListState("kept", "at long, value double")
+        self.kept = handle.getValueState("kept", "packed binary")
+
+    def _last(self, x: pd.DataFrame) -> pd.DataFrame:
+        """Rows that stay, each key's together and by time and value."""
+        codes = pd.factorize(x["k"], use_na_sentinel=False)[0]
+        order = np.lexsort((x["v"], x["at"], codes))
+        ends = np.cumsum(np.bincount(codes))
+        return x.iloc[order[ends[codes[order]] - np.arange(len(x)) <= self.n]]
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(int(t), float(v)) for frame in rows for t, v in zip(_micros(frame["ts"]), frame[self.value], strict=True)]
-        kept = sorted([*((int(t), float(v)) for t, v in self.kept.get()), *new])[-self.n :]
-        self.kept.put(kept)
-        yield pd.DataFrame({self.key: [key[0]], "seen": [len(kept)], "mean": [sum(v for _, v in kept) / len(kept)]})
+        import pyarrow as pa
+
+        fields = pa.schema([("k", pa.string()), ("at", pa.int64()), ("v", pa.float64())])
+        kept = pa.ipc.open_stream(self.kept.get()[0]).read_pandas() if self.kept.exists() else None
+        came = set()
+        for frame in rows:
+            came.update(None if pd.isna(k) else k for k in frame["k"].unique())
+            new = frame[["k", "at", "v"]]
+            kept = self._last(new if kept is None else pd.concat([kept, new], ignore_index=True))
+        if not came:
+            return
+        packed = pa.BufferOutputStream()
+        with pa.ipc.new_stream(packed, fields) as out:
+            out.write_table(pa.Table.from_pandas(kept, fields, preserve_index=False))
+        self.kept.update((packed.getvalue().to_pybytes(),))
+        codes, keys = pd.factorize(kept["k"], use_na_sentinel=False)
+        seen = np.bincount(codes)
+        means = np.bincount(codes, kept["v"]) / seen
+        got = [(k, n, m) for k, n, m in zip((None if pd.isna(k) else k for k in keys), seen.tolist(), means.tolist(), strict=True) if k in came]
+        if got:
+            yield pd.DataFrame(got, columns=["k", "seen", "mean"])
 
 
 class _Throttle(StatefulProcessor):
@@ -169,11 +193,18 @@ def _micros(times: pd.Series) -> np.ndarray:
     return times.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def rolling_mean(events: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
-    """After each batch the mean of a key's last ``n`` values by time: key, seen, mean. A key's state is ``n`` values."""
+def rolling_mean(events: DataFrame, key: str, value: str, n: int = 1000, buckets: int = 1024) -> DataFrame:
+    """After each batch the mean of a key's last ``n`` values by time: key, seen, mean. A key's state is ``n`` values.
+
+    Keys are dealt to so many ``buckets``, each with one state: a call costs some milliseconds, whatever number of keys
+    it serves. A task holds the state of one bucket. Keys go through text and back.
+    """
     kind = events.schema[key].dataType.simpleString()
-    rows = events.where(F.col("ts").isNotNull() & F.col(value).isNotNull()).select(key, "ts", value).groupBy(key)
-    return rows.transformWithStateInPandas(_Rolling(key, value, n), f"{key} {kind}, seen int, mean double", "update", "none")
+    rows = events.where(F.col("ts").isNotNull() & F.col(value).isNotNull())
+    rows = rows.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col(value).cast("double").alias("v"))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets))).groupBy("bucket")
+    got = dealt.transformWithStateInPandas(_Rolling(n), "k string, seen int, mean double", "update", "none")
+    return got.select(F.col("k").cast(kind).alias(key), "seen", "mean")
 
 
 def throttled_warnings(events: DataFrame, minutes: int = 5) -> DataFrame:

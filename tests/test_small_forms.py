@@ -43,6 +43,30 @@ def test_rolling_means_take_late_rows(spark):
     assert {r["kind"]: (r["seen"], r["mean"]) for r in got.collect()} == {"k": (20, np.mean(range(20))), None: (1, 1.0)}
 
 
+def test_rolling_means_call_python_by_bucket(spark, monkeypatch):
+    """Many keys, null and large ones among them, in two batches: a call serves all keys of a bucket."""
+    rng = np.random.default_rng(4)
+    rows = [(None if k == 0 else (1 << 60) + int(k), int(s), float(v)) for k, s, v in zip(rng.integers(0, 300, 6000), rng.integers(0, 4000, 6000), rng.integers(0, 99, 6000), strict=True)]
+    calls = spark.sparkContext.accumulator(0)
+    own = events._Rolling.handleInputRows
+
+    class Counted(events._Rolling):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from own(self, key, rows, timerValues)
+
+    monkeypatch.setattr(events, "_Rolling", Counted)
+    frame = lambda part: spark.createDataFrame(part, "kind long, s long, value double").select("kind", F.timestamp_seconds("s").alias("ts"), "value")
+    got = events.drained(spark, [frame(rows[:4000]), frame(rows[4000:])], lambda s: events.rolling_mean(s, "kind", "value", 7), "update")
+    assert got.schema["kind"].dataType.simpleString() == "bigint"
+    by = {k: sorted((s, v) for x, s, v in rows if x == k)[-7:] for k in {r[0] for r in rows}}
+    want = {k: (len(x), round(sum(v for _, v in x) / len(x), 9)) for k, x in by.items()}
+    assert {r["kind"]: (r["seen"], round(r["mean"], 9)) for r in events.latest(got, ["kind"]).collect()} == want
+    before = calls.value
+    few = events.drained(spark, [frame(rows)], lambda s: events.rolling_mean(s, "kind", "value", 7, buckets=4), "update")
+    assert {r["kind"]: (r["seen"], round(r["mean"], 9)) for r in few.collect()} == want and before <= 2 * len(by) and 0 < calls.value - before <= 8
+
+
 def test_commits_are_there_once(spark, tmp_path):
     store = Versions(spark, f"file://{tmp_path}/store")
     one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
