@@ -199,11 +199,11 @@ def map_statistics(pairs: DataFrame, thr: float = 0.01, cell_area: float = 1.0,
 
 
 def roc_points(scored: DataFrame, key: str = "case_id") -> DataFrame:
-    """``key, score, t, f, tp, fp, pos, neg``: counts at each distinct score and running ones from the highest down."""
+    """``key, score, t, f, tp, fp, pos, neg``: counts at each distinct score and running ones from the highest down; ``_key`` and ``_range`` as ``running`` has them."""
     by = scored.groupBy(key, "score").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("f"))
     x = running(by, [key], "score", ["t", "f"], down=True)
     run = {"tp": F.col("t_before") + F.col("t"), "fp": F.col("f_before") + F.col("f"), "pos": F.col("t_whole"), "neg": F.col("f_whole")}
-    return x.select(key, "score", "t", "f", *[c.alias(n) for n, c in run.items()])
+    return x.select("_key", "_range", key, "score", "t", "f", *[c.alias(n) for n, c in run.items()])
 
 
 def roc_auc(scored: DataFrame, key: str = "case_id") -> DataFrame:
@@ -219,7 +219,9 @@ def best_threshold(scored: DataFrame, key: str = "case_id") -> DataFrame:
     """The score with the largest precision + recall - 1, the higher of equal ones."""
     gain = F.col("tp") / (F.col("tp") + F.col("fp")) + F.col("tp") / F.col("pos") - 1
     points = roc_points(scored, key).where("pos > 0").withColumn("gain", F.round(gain, 12))
-    return points.groupBy(key).agg(F.max_by("score", F.struct("gain", "score")).alias("threshold"), F.max("gain").alias("gain"))
+    best = points.groupBy("_key", "_range").agg(F.max(F.struct("gain", "score")).alias("best"))  # by key alone, a task would sort all its points
+    got = best.groupBy("_key").agg(F.max("best").alias("best"))
+    return got.select(F.col(f"_key.{key}").alias(key), F.col("best.score").alias("threshold"), F.col("best.gain").alias("gain"))
 
 
 def calibration(scored: DataFrame, bins: int = 10, key: str = "case_id") -> DataFrame:

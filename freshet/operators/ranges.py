@@ -19,6 +19,8 @@ from ..sources.scratch import Rounds
 SMALL = 8192
 #: Tables of so many large groups at most (8 KB of cut points each) go to every task.
 FEW = 1000
+#: Ranges are dealt to tasks of about so many rows.
+TASK_ROWS = 250_000
 
 
 def _key(keys: list[str]) -> Column:
@@ -49,23 +51,27 @@ def ranged(df: DataFrame, value: str, small: int = SMALL, levels: int = 10) -> D
     shares = ", ".join(f"{k / n}D" for k in range(1, n))
     cuts = df.join(large, "_key", "left_semi").groupBy("_key").agg(F.expr(f"percentile_approx({value}, array({shares}), {10 * n})").alias("_cuts"))
     cuts = to_tasks(Rounds(df.sparkSession, "cuts").keep(cuts), large.count())
-    steps = F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)])
-    place = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.col(value) > F.get("_cuts", at + s - 1), s).otherwise(0))
-    return df.join(cuts, "_key", "left").withColumn("_range", F.when(F.col("_cuts").isNotNull(), place).otherwise(0)).drop("_cuts")
+    x = df.join(cuts, "_key", "left").withColumn("_range", F.lit(0))
+    for s in (1 << k for k in range(levels - 1, -1, -1)):  # halves; a step is a projection of its own, since a function of arrays would copy the cuts for each row
+        x = x.withColumn("_range", F.col("_range") + F.when(F.col(value) > F.get("_cuts", F.col("_range") + (s - 1)), s).otherwise(0))
+    return x.drop("_cuts")
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: list[str], down: bool = False, small: int = SMALL, levels: int = 10) -> DataFrame:
     """``df``, one row for each of ``keys`` and ``value``, with ``<s>_before`` (the sum of ``s`` over smaller values) and ``<s>_whole`` for each of ``sums``.
 
-    ``down``: over larger values. No task holds more than a range of a group.
+    ``down``: over larger values. No task holds more than a few ranges of a group.
+    Rows come in the order of ``_key`` (``keys``) and ``_range``, each pair in one
+    task: what is grouped by both is neither moved nor sorted again.
     """
-    kept = Rounds(df.sparkSession, "running").keep(df.withColumn("_key", _key(keys)))  # read several times
+    rounds = Rounds(df.sparkSession, "running")
+    kept = rounds.keep(df.withColumn("_key", _key(keys)))  # read several times
     turn = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     if large_groups(kept, small) is None:
         own = Window.partitionBy("_key")
         before = {f"{s}_before": F.coalesce(F.sum(s).over(earlier(own.orderBy(turn(value)))), F.lit(0)) for s in sums}
-        return kept.withColumns(before | {f"{s}_whole": F.sum(s).over(own) for s in sums}).drop("_key")
+        return kept.withColumns(before | {f"{s}_whole": F.sum(s).over(own) for s in sums}).withColumn("_range", F.lit(0))
     x = ranged(kept, value, small, levels)
     totals = x.groupBy("_key", "_range").agg(*[F.sum(s).alias(f"{s}_in") for s in sums])  # a row for each range
     by = Window.partitionBy("_key")
@@ -73,10 +79,12 @@ def running(df: DataFrame, keys: list[str], value: str, sums: list[str], down: b
         "_key", "_range", *[F.coalesce(F.sum(f"{s}_in").over(earlier(by.orderBy(turn("_range")))), F.lit(0)).alias(f"{s}_start") for s in sums],
         *[F.sum(f"{s}_in").over(by).alias(f"{s}_whole") for s in sums],
     )
+    totals = rounds.keep(totals)
+    x = x.repartition(-(-kept.count() // TASK_ROWS), "_key", "_range")
     inner = earlier(Window.partitionBy("_key", "_range").orderBy(turn(value)))
     x = x.withColumns({f"{s}_inner": F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums}).join(totals, ["_key", "_range"])
     x = x.withColumns({f"{s}_before": F.col(f"{s}_start") + F.col(f"{s}_inner") for s in sums})
-    return x.drop("_key", "_range", *[f"{s}_{c}" for s in sums for c in ("start", "inner")])
+    return x.drop(*[f"{s}_{c}" for s in sums for c in ("start", "inner")])
 
 
 def _large_quantiles(x: DataFrame, probabilities: list[float], small: int, levels: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """What large tables need: no exploded table at the driver, no key with all rows in one task, ties as the SQL has them."""
 
+import re
 from types import SimpleNamespace
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rules
-from freshet.operators import boxes, hydrology, rain, ranges
+from freshet.operators import boxes, hydrology, metrics, rain, ranges
 from freshet.sources import fixtures
 from freshet.streaming import events
 
@@ -54,6 +55,31 @@ def test_cut_points_of_a_large_group_are_drawn_once(spark):
     assert got == [values[0], pytest.approx(values[29] * 0.3 + values[30] * 0.7), (values[49] + values[50]) / 2, values[99]]
 
 
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_best_threshold_of_a_large_case_is_sorted_once(spark, monkeypatch, small):
+    """Ranges go to tasks by the number of rows, and the best of each is found in the order that its running sums need."""
+    monkeypatch.setattr(ranges.running, "__defaults__", (False, small, 6))
+    monkeypatch.setattr(ranges, "TASK_ROWS", 50, raising=False)
+    rng = np.random.default_rng(3)
+    cases = {k: [(float(x), int(rng.random() < x)) for x in np.round(rng.random(400), 2)] for k in ("a", None)}
+    cases |= {"tie": [(4.0, 1), (3.0, 0), (2.0, 0), (1.0, 1)], "none": [(1.0, 0), (2.0, 0)]}
+    scored = spark.createDataFrame([(k, x, y) for k, v in cases.items() for x, y in v], "case_id string, score double, target int")
+    df = metrics.best_threshold(scored)
+    plan = _plan(df)
+    got, want = {r["case_id"]: (r["threshold"], r["gain"]) for r in df.collect()}, {}
+    for k, v in cases.items():
+        pos = sum(y for _, y in v)
+        above = {x: [y for s, y in v if s >= x] for x, _ in v}
+        if pos:
+            gain, at = max((round(sum(ys) / len(ys) + sum(ys) / pos - 1, 12), x) for x, ys in above.items())
+            want[k] = (at, pytest.approx(gain))
+    assert got == want and got["tie"] == (4.0, 0.5)
+    if small == 0:
+        rows = sum(len({x for x, _ in v}) for v in cases.values())
+        assert re.search(rf"hashpartitioning\(_key#\d+, _range#\d+, {-(-rows // 50)}\)", plan)
+        assert plan.count("Sort [") == 2 and "lambda" not in plan  # the ranges, and a row for each task and case
+
+
 def test_boxes_alike_are_compared_once_and_all_told(spark):
     rows = [(i, float(i % 3), 0.0, i % 3 + 1.5, 1.0) for i in range(9)]
     df = spark.createDataFrame(rows, "id long, west double, south double, east double, north double")
