@@ -99,6 +99,7 @@ def _large_quantiles(x: DataFrame, probabilities: list[float], small: int, level
     ends = F.array(F.struct(F.lit(0).alias("side"), F.floor(at).alias("rank")), F.struct(F.lit(1).alias("side"), F.least(F.floor(at) + 1, F.col("n") - 1).alias("rank")))
     wanted = wanted.select("_key", "_range", "before", "m", "i", (at - F.floor(at)).alias("part"), F.explode(ends).alias("e"))
     wanted = wanted.select("_key", "_range", "before", "m", "i", "part", "e.*").where("before <= rank and rank < before + m").drop("m")
+    wanted = Rounds(x.sparkSession, "wanted").keep(wanted)  # its size is known now: it goes to the rows, not they to it
     held = x.join(wanted.select("_key", "_range").distinct(), ["_key", "_range"], "left_semi").groupBy("_key", "_range", "v").agg(F.count(F.lit(1)).alias("k"))
     inner = Window.partitionBy("_key", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("inner", F.coalesce(F.sum("k").over(inner), F.lit(0)))

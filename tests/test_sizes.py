@@ -80,6 +80,19 @@ def test_best_threshold_of_a_large_case_is_sorted_once(spark, monkeypatch, small
         assert plan.count("Sort [") == 2 and "lambda" not in plan  # the ranges, and a row for each task and case
 
 
+def test_rows_are_not_moved_to_find_wanted_ranks(spark):
+    """Where the planner knows how few ranges hold a wanted rank, only their rows are shuffled."""
+    df = spark.range(50_000).select(ranges._key([]).alias("_key"), (F.col("id") * 7919 % 50_000).cast("double").alias("v"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64KB")  # the rows are more than that by the planner's count, as of a large table
+    try:
+        got = ranges._large_quantiles(df, [0.02, 0.98], 10, 5)
+        assert "SortMergeJoin" not in _plan(got)
+        assert got.first()["q"] == pytest.approx([49_999 * 0.02, 49_999 * 0.98])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_boxes_alike_are_compared_once_and_all_told(spark):
     rows = [(i, float(i % 3), 0.0, i % 3 + 1.5, 1.0) for i in range(9)]
     df = spark.createDataFrame(rows, "id long, west double, south double, east double, north double")
