@@ -21,6 +21,8 @@ SMALL = 8192
 FEW = 1000
 #: Ranges are dealt to tasks of about so many rows.
 TASK_ROWS = 250_000
+#: Past so many tasks, which a shuffle writes without sorting rows by task in memory, tasks grow to four times the rows first.
+UNSORTED = 200
 
 
 def _key(keys: list[str]) -> Column:
@@ -80,7 +82,8 @@ def running(df: DataFrame, keys: list[str], value: str, sums: list[str], down: b
         *[F.sum(f"{s}_in").over(by).alias(f"{s}_whole") for s in sums],
     )
     totals = rounds.keep(totals)
-    x = x.repartition(-(-kept.count() // TASK_ROWS), "_key", "_range")
+    tasks = -(-kept.count() // TASK_ROWS)
+    x = x.repartition(max(min(tasks, UNSORTED), -(-tasks // 4)), "_key", "_range")
     inner = earlier(Window.partitionBy("_key", "_range").orderBy(turn(value)))
     x = x.withColumns({f"{s}_inner": F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums}).join(totals, ["_key", "_range"])
     x = x.withColumns({f"{s}_before": F.col(f"{s}_start") + F.col(f"{s}_inner") for s in sums})

@@ -78,6 +78,8 @@ def test_best_threshold_of_a_large_case_is_sorted_once(spark, monkeypatch, small
         rows = sum(len({x for x, _ in v}) for v in cases.values())
         assert re.search(rf"hashpartitioning\(_key#\d+, _range#\d+, {-(-rows // 50)}\)", plan)
         assert plan.count("Sort [") == 2 and "lambda" not in plan  # the ranges, and a row for each task and case
+        monkeypatch.setattr(ranges, "UNSORTED", 2, raising=False)
+        assert re.search(r"hashpartitioning\(_key#\d+, _range#\d+, 2\)", _plan(metrics.best_threshold(scored)))
 
 
 def test_rows_are_not_moved_to_find_wanted_ranks(spark):
