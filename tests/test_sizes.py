@@ -109,6 +109,25 @@ def test_boxes_alike_are_compared_once_and_all_told(spark):
     assert "aggregate" in _plan(boxes.pairwise_overlap(df, 1.0)).lower()
 
 
+def test_pairs_of_boxes_that_are_all_alike_are_many_tasks(spark, monkeypatch):
+    """One box that all rows have is not one task's work, and its rows are told in packs."""
+    monkeypatch.setattr(boxes, "PACK", 7, raising=False)
+    monkeypatch.setattr(boxes, "PAIRS_A_TASK", 300, raising=False)
+    rows = [(i % 97 if i else None, 0.0, 0.0, 2.0, 3.0) for i in range(100)] + [(200, 1.0, 0.0, 2.0, 3.0), (201, 2.0, 0.0, 3.0, 3.0), (202, None, 0.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, west double, south double, east double, north double")
+    got = boxes.pairwise_overlap(df, 4.0)
+    ids = [r[0] for r in rows[:100] if r[0] is not None]
+    want = sorted([(a, b, 1.0, 1.0, 1.0) for a in ids for b in ids if a < b] + [(a, 200, 0.5, 1.0, 0.5) for a in ids])
+    assert sorted(map(tuple, got.collect())) == want
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 8 and max(shares) < len(want) / 4
+    thirds = boxes.pairwise_overlap(spark.createDataFrame([(1, 0.0, 0.0, 3.0, 1.0), (2, 2.0, 0.0, 4.0, 1.0)], df.schema), 4.0, 2).first()
+    assert (thirds["of_first"], thirds["of_second"], thirds["mutual"]) == (0.33, 0.5, 0.33)
+    asked = spark.createDataFrame([(k, 2.0, 3.0, 5.0, 4.0) for k in (None, 5, 5)], "query_id long, west double, south double, east double, north double")
+    found = boxes.catalog_search(df.withColumnRenamed("id", "item_id"), asked, 8.0)
+    assert found.groupBy("query_id").count().orderBy("query_id").collect() == [(None, 102), (5, 204)] and found.where("item_id is null").count() == 3
+
+
 def test_exploded_stations_are_many_tasks(spark):
     df = spark.range(1000, numPartitions=1).withColumnRenamed("id", "k")
     assert fixtures.spread(df, "k", 100).rdd.getNumPartitions() == 10
