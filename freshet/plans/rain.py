@@ -248,10 +248,14 @@ _HY = f"""SELECT scenario_id, hour, raw * total / sum(raw) OVER (PARTITION BY sc
   FROM ({_DAY}), (VALUES ('uniform'), ('front'), ('back'), ('centre')) v(pattern), (SELECT unnest(range(0, 24)) AS hour))"""
 
 
-def _hyeto(spark, d):
+def _patterns(spark, d):
     day = fx.ddf(spark, d).where("duration_minutes = 1440").withColumn("pattern", F.explode(F.array(*[F.lit(p) for p in _PAT])))
     name = F.concat_ws("_", "station_id", "return_period_years", "pattern")
-    return r.hyetographs(day.select(name.alias("scenario_id"), "pattern", (F.col("depth_in") * 25.4).alias("total"), F.lit(24).alias("hours")))
+    return day.select(name.alias("scenario_id"), "pattern", (F.col("depth_in") * 25.4).alias("total"), F.lit(24).alias("hours"))
+
+
+def _hyeto(spark, d):
+    return r.hyetographs(_patterns(spark, d))
 
 
 @query("rain_hyetographs", sq(_HY, "scenario_id hour", "depth", 3))
@@ -290,7 +294,7 @@ def rain_ensemble(spark, d):
 
 @query("rain_storm_ensemble")
 def rain_storm_ensemble(spark, d):
-    return r.storm_ensemble(_hyeto(spark, d).withColumnRenamed("hour", "step"), 3)
+    return r.curve_ensemble(r.hyetograph_curves(_patterns(spark, d)), 3)
 
 
 def _tiles(spark, d):

@@ -128,6 +128,56 @@ def test_pairs_of_boxes_that_are_all_alike_are_many_tasks(spark, monkeypatch):
     assert found.groupBy("query_id").count().orderBy("query_id").collect() == [(None, 102), (5, 204)] and found.where("item_id is null").count() == 3
 
 
+def _moved_by_hand(points, z, weights, timing):
+    """A storm's line moved by ``z`` and read at whole steps, stretch by stretch: step to depth."""
+    ends = [t for t, _ in points if t is not None]
+    first, last = min(ends), max(ends)
+    move = max(min(timing * (last - first) * z, (last - first) / 4), -(last - first) / 4)
+    line = [(t + move, None if d is None else d * w) for (t, d), w in zip(points, weights, strict=True) if t is not None]
+    out = {t: 0.0 for t, _ in points}
+    for (s, a), (s2, b) in zip(line, [*line[1:], (float("inf"), None)], strict=True):
+        if first <= s <= last:
+            for to in range(int(np.ceil(s)), int(np.ceil(s2)) if s2 <= last else int(np.floor(s)) + 1):
+                depth = a if to == s else None if a is None or b is None else a + (b - a) * (to - s) / (s2 - s)
+                out[to] = max(depth or 0.0, 0.0)
+    total, fell = sum(d or 0.0 for _, d in points), sum(out.values())
+    return {t: d * total / fell if fell else 0.0 for t, d in out.items()}
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_members_of_storms_with_gaps_and_nulls_need_no_window(spark, monkeypatch, kind):
+    """A storm is a row, and blocks of storms are worked out at once."""
+    monkeypatch.setattr(rain, "STEPS_AT_ONCE", 20, raising=False)
+    monkeypatch.setattr(rain, "STEPS_OUT", 60, raising=False)
+    storms = {"gaps": [(0, 1.0), (2, 4.0), (5, 2.0), (6, None), (9, 3.0), (10, 1.0)], "one": [(4, 2.0)], "dry": [(0, 0.0), (1, 0.0), (2, 0.0)], None: [(None, 5.0), (-2, 2.0), (-1, 1.0), (0, 6.0)], "unknown": [(1, None), (2, None)]}
+    storms |= {f"s{i}": [(t - i, float((t * 7 + i) % 5)) for t in range(3 + i % 17)] for i in range(40)}
+    storm = spark.createDataFrame([(k, t, d) for k, v in reversed(storms.items()) for t, d in reversed(v)], f"scenario_id string, step {kind}, depth double")
+    made = rain.storm_ensemble(storm, 4, 0.2, 0.3)
+    assert "Window" not in _plan(made)
+    drawn = storm.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("scenario_id", "member", "step", F.exp(0.2 * rain.normal_of(8, "scenario_id", "member", "step")).alias("w"), rain.normal_of(7, "scenario_id", "member").alias("z"))
+    draws = {(r["scenario_id"], r["member"], r["step"]): (r["w"], r["z"]) for r in drawn.collect()}
+    want = {}
+    for k, points in storms.items():
+        for m in range(4):
+            weights, moves = zip(*(draws[k, m, t] for t, _ in points), strict=True)
+            want |= {(k, m, t): pytest.approx(d) for t, d in _moved_by_hand(points, moves[0], weights, 0.3).items()}
+    rows = made.collect()
+    assert {(r["scenario_id"], r["member"], r["step"]): r["depth"] for r in rows} == want and len(rows) == len(want)
+    curves = storm.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("step", "depth"))).alias("curve"))
+    assert made.exceptAll(rain.curve_ensemble(curves.repartition(3), 4, 0.2, 0.3)).isEmpty()
+
+
+def test_curves_are_hyetographs_and_hashes_go_on_as_in_spark(spark):
+    asked = spark.createDataFrame([(f"{p}{h}", p, 30.0 + h, h) for p in ("front", "back", "centre", None) for h in (1, 9)], "scenario_id string, pattern string, total double, hours int")
+    curves = rain.hyetograph_curves(asked)
+    assert curves.select("scenario_id", F.inline("curve")).exceptAll(rain.hyetographs(asked)).isEmpty() and curves.count() == 8
+    assert all([c["step"] for c in r["curve"]] == list(range(len(r["curve"]))) for r in curves.collect())
+    for kind in ("int", "long", "double"):
+        x = spark.range(-40, 40).select(F.xxhash64(F.lit(3), F.col("id").cast("string")).alias("h"), (F.col("id") * 1_234_567).cast(kind).alias("v"), F.col("id").cast("string").alias("s"))
+        got = x.select("h", "v", F.xxhash64(F.lit(3), "s", "v").alias("want")).toPandas()
+        assert (rain._hash_on(got["h"].to_numpy().view(np.uint64), got["v"].to_numpy()).view(np.int64) == got["want"].to_numpy()).all()
+
+
 def test_exploded_stations_are_many_tasks(spark):
     df = spark.range(1000, numPartitions=1).withColumnRenamed("id", "k")
     assert fixtures.spread(df, "k", 100).rdd.getNumPartitions() == 10
